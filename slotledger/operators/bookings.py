@@ -53,15 +53,20 @@ def flatten_bookings(days: DataFrame) -> DataFrame:
 def day_grid(bookings: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Every date with all four shifts and both kinds, and how many slots are held, zero included.
 
-    The empty cells come in as zero rows next to the counts, so one aggregate completes the grid without a join.
+    Covers the dates that have bookings, and any others given. Each counted cell brings along the empty cells of its
+    date, so the bookings are read once and completing the grid takes no join.
     """
     counts = bookings.groupBy(*GROUP_KEYS).agg(F.count("*").alias("held"))
-    # Without given dates the grid covers those that are in the counts, which are already one row per cell.
-    days = (counts if dates is None else dates).select("date").distinct()
-    cells = days.select("date", F.explode(F.array(*map(F.lit, SHIFTS))).alias("shift")).select(
-        "date", "shift", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"), F.lit(0).cast("bigint").alias("held")
-    )
-    return counts.unionByName(cells).groupBy(*GROUP_KEYS).agg(F.sum("held").alias("held"))
+    grid = [_cell(F.lit(shift), F.lit(kind), F.lit(0)) for shift in SHIFTS for kind in KINDS]
+    own = _cell(F.col("shift"), F.col("kind"), F.col("held"))
+    cells = counts.select("date", F.inline(F.array(own, *grid)))
+    if dates is not None:
+        cells = cells.unionByName(dates.select("date", F.inline(F.array(*grid))))
+    return cells.groupBy(*GROUP_KEYS).agg(F.sum("held").alias("held"))
+
+
+def _cell(shift: Column, kind: Column, held: Column) -> Column:
+    return F.struct(shift.alias("shift"), kind.alias("kind"), held.cast("bigint").alias("held"))
 
 
 def day_image(bookings: DataFrame) -> DataFrame:

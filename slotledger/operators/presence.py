@@ -9,33 +9,29 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.periods import resolve_period
 from slotledger.operators.bookings import applicable, within
-from slotledger.schemas import Settings
+from slotledger.schemas import KINDS, Settings
 
 MARK = "X"
 
 
-def presence_marks(bookings: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def presence_marks(bookings: DataFrame) -> DataFrame:
     """Distinct (user_id, date) with a desk or a parking spot on a worked shift.
 
     The two kinds are united and made distinct. Both come from one table, so the union is its kind filter.
     """
-    kept = applicable(within(bookings, start, end))
-    return kept.where(F.col("kind").isin("desks", "parking")).select("user_id", "date").distinct()
+    kept = applicable(bookings).where(F.col("kind").isin(*KINDS))
+    return kept.select("user_id", "date").distinct()
 
 
-def presence_of_employees(bookings: DataFrame, employees: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def presence_of_employees(bookings: DataFrame, employees: DataFrame) -> DataFrame:
     """Marks of users who are employees. Marks are at most one per user and day before they meet the employees."""
     ids = employees.select(F.col("id").alias("user_id"))
-    return presence_marks(bookings, start, end).join(ids, "user_id", "left_semi")
+    return presence_marks(bookings).join(ids, "user_id", "left_semi")
 
 
-def presence_days(bookings: DataFrame, employees: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def presence_days(bookings: DataFrame, employees: DataFrame) -> DataFrame:
     """Days present per employee; an employee without any keeps zero."""
-    days = (
-        presence_marks(bookings, start, end)
-        .groupBy(F.col("user_id").alias("id"))
-        .agg(F.count("*").alias("days_present"))
-    )
+    days = presence_marks(bookings).groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("days_present"))
     return employees.join(days, "id", "left").withColumn("days_present", F.coalesce("days_present", F.lit(0)))
 
 
@@ -46,7 +42,7 @@ def presence_long(bookings: DataFrame, employees: DataFrame, start: dt.date, end
     period's dates in place, so the dense grid needs no cross join.
     """
     held = (
-        presence_marks(bookings, start, end)
+        presence_marks(within(bookings, start, end))
         .groupBy(F.col("user_id").alias("id"))
         .agg(F.collect_set("date").alias("held"))
     )
@@ -88,7 +84,7 @@ def attainment(bookings: DataFrame, employees: DataFrame, settings: Settings, pe
     """Days present against the target, per employee."""
     start, end = resolve_period(period, ref)
     weeks = target_weeks(period, start, end)
-    return presence_days(bookings, employees, start, end).select(
+    return presence_days(within(bookings, start, end), employees).select(
         "id", "ordinal", "name", *_attainment(F.col("days_present"), settings, weeks)
     )
 
@@ -101,7 +97,7 @@ def presence_matrix(bookings: DataFrame, employees: DataFrame, settings: Setting
     """
     start, end = resolve_period(period, ref)
     columns = mark_columns(start, end)
-    kept = applicable(within(bookings, start, end)).where(F.col("kind").isin("desks", "parking"))
+    kept = applicable(within(bookings, start, end)).where(F.col("kind").isin(*KINDS))
     wide = kept.groupBy(F.col("user_id").alias("id")).agg(
         *(F.max(F.when(F.col("date") == F.lit(day), MARK)).alias(name) for name, day in columns.items())
     )

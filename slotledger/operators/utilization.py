@@ -13,36 +13,29 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.periods import resolve_period, shift_order
 from slotledger.operators.bookings import applicable, within
-from slotledger.operators.calendar import date_series, shift_calendar
-from slotledger.schemas import SHIFT_HOURS, Settings
+from slotledger.operators.calendar import shift_calendar
+from slotledger.schemas import KINDS, SHIFT_HOURS, Settings
 
 DIGITS = 6
 
 
-def shift_counts(bookings: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Desks and parking spots held per (date, shift): partial counts in every task, then one small shuffle."""
-    return (
-        applicable(within(bookings, start, end))
-        .groupBy("date", "shift")
-        .agg(
-            F.count_if(F.col("kind") == "desks").alias("desks"),
-            F.count_if(F.col("kind") == "parking").alias("parking"),
-        )
-    )
-
+def complete_counts(bookings: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Desks and parking spots held per (date, shift) of a calendar, zero where nothing is held.
 
-def complete_counts(bookings: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """``shift_counts`` on the full calendar, zero where nothing is held.
-
-    A period is at most a year, so the counts are at most three rows for each of 366 days: small enough to
-    broadcast whatever the size of the booking table.
+    The calendar's cells are added as zeros to the bookings themselves, so the grid is complete after one aggregate:
+    partial counts in every task, then a single shuffle of at most a row per task and cell.
     """
-    counts = F.broadcast(shift_counts(bookings, start, end))
-    return (
-        shift_calendar(bookings.sparkSession, start, end)
-        .join(counts, ["date", "shift"], "left")
-        .select("date", "shift", *(F.coalesce(F.col(k), F.lit(0)).alias(k) for k in ("desks", "parking")))
+    zero = F.lit(0).cast("bigint")
+    held = applicable(bookings).select(
+        "date", "shift", *((F.col("kind") == kind).cast("bigint").alias(kind) for kind in KINDS)
     )
+    cells = calendar.select("date", "shift", *(zero.alias(kind) for kind in KINDS))
+    return held.unionByName(cells).groupBy("date", "shift").agg(*(F.sum(kind).alias(kind) for kind in KINDS))
+
+
+def period_counts(bookings: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """``complete_counts`` of one report period."""
+    return complete_counts(within(bookings, start, end), shift_calendar(bookings.sparkSession, start, end))
 
 
 def _share(held: Column, capacity: int, cells: Column) -> Column:
@@ -51,17 +44,16 @@ def _share(held: Column, capacity: int, cells: Column) -> Column:
     return F.round(held.cast("double") / (F.lit(capacity) * cells).cast("double"), DIGITS)
 
 
-def _shares(settings: Settings, held: str = "{}", cells: Column | None = None) -> list[Column]:
-    cells = F.lit(1) if cells is None else cells
+def _shares(settings: Settings, cells: Column) -> list[Column]:
     return [
-        _share(F.col(held.format("desks")), settings.desks, cells).alias("desk_util"),
-        _share(F.col(held.format("parking")), settings.parking, cells).alias("parking_util"),
+        _share(F.col("desks"), settings.desks, cells).alias("desk_util"),
+        _share(F.col("parking"), settings.parking, cells).alias("parking_util"),
     ]
 
 
-def shift_utilization(bookings: DataFrame, settings: Settings, start: dt.date, end: dt.date) -> DataFrame:
+def shift_utilization(counts: DataFrame, settings: Settings) -> DataFrame:
     """Utilization of each worked shift, empty ones included."""
-    return complete_counts(bookings, start, end).select("date", "shift", *_shares(settings))
+    return counts.select("date", "shift", *_shares(settings, F.lit(1)))
 
 
 def rollup_utilization(counts: DataFrame, settings: Settings, *by: Column | str) -> DataFrame:
@@ -70,14 +62,14 @@ def rollup_utilization(counts: DataFrame, settings: Settings, *by: Column | str)
         F.sum("desks").alias("desks"), F.sum("parking").alias("parking"), F.count("*").alias("shift_days")
     )
     kept = [c for c in sums.columns if c not in ("desks", "parking", "shift_days")]
-    return sums.select(*kept, "shift_days", *_shares(settings, cells=F.col("shift_days")))
+    return sums.select(*kept, "shift_days", *_shares(settings, F.col("shift_days")))
 
 
 def daily_by_shift(bookings: DataFrame, settings: Settings, ref: str) -> DataFrame:
     """Week report: a row per date and worked shift."""
     start, end = resolve_period("week", ref)
     hours = F.create_map(*(F.lit(part) for pair in SHIFT_HOURS.items() for part in pair))
-    return shift_utilization(bookings, settings, start, end).select(
+    return shift_utilization(period_counts(bookings, start, end), settings).select(
         "date",
         F.date_format("date", "EEE").alias("day"),
         "shift",
@@ -90,7 +82,7 @@ def daily_by_shift(bookings: DataFrame, settings: Settings, ref: str) -> DataFra
 def daily_means(bookings: DataFrame, settings: Settings, ref: str) -> DataFrame:
     """Month report: a row per date, averaged over its shifts."""
     start, end = resolve_period("month", ref)
-    daily = rollup_utilization(complete_counts(bookings, start, end), settings, "date")
+    daily = rollup_utilization(period_counts(bookings, start, end), settings, "date")
     return daily.select("date", F.date_format("date", "EEE").alias("day"), "desk_util", "parking_util")
 
 
@@ -99,7 +91,7 @@ def weekly_means(bookings: DataFrame, settings: Settings, ref: str) -> DataFrame
     start, end = resolve_period("month", ref)
     first_week = start - dt.timedelta(days=start.weekday())
     monday = F.date_sub("date", F.weekday("date"))
-    weekly = rollup_utilization(complete_counts(bookings, start, end), settings, monday.alias("week_start"))
+    weekly = rollup_utilization(period_counts(bookings, start, end), settings, monday.alias("week_start"))
     number = (F.datediff("week_start", F.lit(first_week)) / 7).cast("int") + 1
     return weekly.select(
         F.concat(F.lit("Week "), number.cast("string")).alias("week"), "week_start", "desk_util", "parking_util"
@@ -110,7 +102,7 @@ def monthly_means(bookings: DataFrame, settings: Settings, period: str, ref: str
     """Quarter and year report: a row per month."""
     start, end = resolve_period(period, ref)
     first = F.trunc("date", "MM").cast("date").alias("month_start")
-    monthly = rollup_utilization(complete_counts(bookings, start, end), settings, first)
+    monthly = rollup_utilization(period_counts(bookings, start, end), settings, first)
     return monthly.select(
         F.date_format("month_start", "MMMM yyyy").alias("month"), "month_start", "desk_util", "parking_util"
     )
@@ -174,8 +166,3 @@ def _tally(rows: DataFrame, column: str) -> DataFrame:
             for name in ("desks", "parking", "people", "cells")
         )
     )
-
-
-def period_dates(bookings: DataFrame, period: str, ref: str) -> DataFrame:
-    """The dates of a period as a table."""
-    return date_series(bookings.sparkSession, *resolve_period(period, ref))
