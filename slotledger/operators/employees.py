@@ -13,17 +13,17 @@ BAD_TARGET = "Bad target days"
 NEW_EMPLOYEE = "New Employee"
 
 
-def requested_names(requests: DataFrame) -> DataFrame:
+def requested_names(requests: DataFrame, *kept: str) -> DataFrame:
     """The employees asked for: a row per usable name of a list, else one for the single name.
 
     Names in a list are stripped and blank ones dropped; a blank single name becomes the default. An empty list
-    counts as none.
+    counts as none. Columns named in ``kept`` are passed on.
     """
     listed = F.coalesce(F.size("names"), F.lit(0)) > 0
     cleaned = F.filter(F.transform("names", strip), lambda name: name != "")
     single = or_default(strip(or_default(F.col("name"), NEW_EMPLOYEE)), NEW_EMPLOYEE)
     names = F.when(listed, cleaned).otherwise(F.array(single))
-    return requests.select("seq", F.posexplode(names).alias("position", "name"))
+    return requests.select("seq", *kept, F.posexplode(names).alias("position", "name"))
 
 
 def lifespans(log: DataFrame) -> DataFrame:

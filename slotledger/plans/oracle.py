@@ -121,7 +121,7 @@ select seq, fb_id, op, cast(sum(step) over (order by seq) as bigint) as count fr
 select *, row_number() over (partition by date, shift, kind order by seq) as rn from commands""",
     "replayed": """
 select date, shift, kind, cast(0 as bigint) as rn, cast(null as bigint) as seq, cast(null as varchar) as slot,
-  cast(null as varchar) as user_id, cast(null as varchar) as outcome, cast(null as varchar) as by,
+  cast(null as varchar) as user_id, cast(null as varchar) as outcome, cast(null as varchar) as "by",
   cast(map([]::varchar[], []::varchar[]) as map(varchar, varchar)) as st
 from (select distinct date, shift, kind from commands)
 union all
@@ -140,7 +140,7 @@ from (
       when n.user_id is not null and n.user_id <> r.st[n.slot] and not n.is_admin then 'not_yours'
       else 'freed' end as outcome
   from replayed r join numbered n on n.date = r.date and n.shift = r.shift and n.kind = r.kind and n.rn = r.rn + 1)""",
-    "outcomes": "select date, shift, kind, seq, slot, user_id, outcome, by from replayed where rn > 0",
+    "outcomes": """select date, shift, kind, seq, slot, user_id, outcome, "by" from replayed where rn > 0""",
     "moves": """
 select *, lead(seq) over (partition by date, shift, kind, slot order by seq) as valid_to
 from outcomes where outcome in ('booked', 'freed')""",
@@ -280,7 +280,7 @@ _SHIFT_ITEMS = f"""list_filter(list_transform(string_split(shifts, ','), lambda
   lambda x: x in ('day', 'evening', 'night', 'weekend'))"""
 _SHIFTS = f"case when len({_SHIFT_ITEMS}) > 0 then {_SHIFT_ITEMS} else ['day'] end"
 
-_OUTCOMES = with_views("select seq, date, shift, kind, slot, outcome, by from outcomes", "outcomes")
+_OUTCOMES = with_views("select seq, date, shift, kind, slot, outcome, \"by\" from outcomes", "outcomes")
 
 SQL = {
     "bookings_flatten": with_views("select date, shift, kind, slot, user_id from bookings", "bookings"),

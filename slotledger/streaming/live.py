@@ -103,7 +103,7 @@ def stage_log(commands: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     log = commands.select(*GROUP_KEYS, *PAYLOAD).withColumn("date", F.col("date").cast("string"))
     slices = max(MIN_SLICES, -(-commands.count() // slice_rows))
     points = [n / slices for n in range(1, slices)]
-    bounds = sorted({int(p) for p in log.approxQuantile("seq", points, 1 / (10 * slices))})
+    bounds = sorted({int(p) for p in log.approxQuantile("seq", points, 1 / (10 * slices))}) if points else []
     path = shared_path(spark, "log")
     edges = [None, *bounds, None]
     for number, (low, high) in enumerate(zip(edges, edges[1:])):
