@@ -308,10 +308,9 @@ def feedback_count_feed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def booking_outcomes_stream(spark: SparkSession, sf: str) -> DataFrame:
     outcomes = live.outcomes_of_log(validation.valid_commands(X.commands(spark, sf)))
-    return outcomes.select("seq", F.col("date").cast("date").alias("date"), "shift", "kind", "slot", "outcome", "by")
+    return outcomes.select("seq", "date", "shift", "kind", "slot", "outcome", "by")
 
 
 @query
 def util_shift_live(spark: SparkSession, sf: str) -> DataFrame:
-    held = live.occupancy_of_log(validation.valid_commands(X.commands(spark, sf)))
-    return held.select(F.col("date").cast("date").alias("date"), "shift", "kind", "held")
+    return live.occupancy_of_log(validation.valid_commands(X.commands(spark, sf)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from slotledger.schemas import GROUP_KEYS
 from slotledger.session import shared_path
 
 STATE = "slots array<string>, users array<string>, since array<bigint>"
-# Rows per staged file, hence per micro-batch of a replayed log.
+# Rows per micro-batch when a stored log is replayed as a stream.
 SLICE_ROWS = 5_000_000
 MIN_SLICES = 4
 
@@ -93,42 +93,46 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 # ---- a stored log as a stream -------------------------------------------------------------------------------------
 
 
-def stage_log(commands: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Turn a stored log into a stream of files that arrive in order.
+def _slices(log: DataFrame, slice_rows: int) -> Iterator[DataFrame]:
+    """The log in consecutive pieces of about equal size, as filters on ``seq`` at its quantiles."""
+    count = max(MIN_SLICES, -(-log.count() // slice_rows))
+    points = [n / count for n in range(1, count)]
+    bounds = sorted({int(p) for p in log.approxQuantile("seq", points, 1 / (10 * count))}) if points else []
+    seq = F.col("seq")
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = log if low is None else log.where(seq > low)
+        yield part if high is None else part.where(seq <= high)
 
-    The file source takes files by modification time, so the slices of the log are written one after the other. Their
-    bounds are quantiles of ``seq``; each slice is a filter on it.
+
+def run_log(
+    commands: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    mode: str = "append",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Feed a stored log to a streaming job piece by piece, and return what the job published.
+
+    Each piece is written in parallel, in any number of files, and then taken up as one micro-batch by the same job,
+    which finds its state and progress in its checkpoint. So the order holds however a piece is spread over files.
     """
     spark = commands.sparkSession
-    log = commands.select(*GROUP_KEYS, *PAYLOAD).withColumn("date", F.col("date").cast("string"))
-    slices = max(MIN_SLICES, -(-commands.count() // slice_rows))
-    points = [n / slices for n in range(1, slices)]
-    bounds = sorted({int(p) for p in log.approxQuantile("seq", points, 1 / (10 * slices))}) if points else []
-    path = shared_path(spark, "log")
-    edges = [None, *bounds, None]
-    for number, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = log
-        if low is not None:
-            part = part.where(F.col("seq") > low)
-        if high is not None:
-            part = part.where(F.col("seq") <= high)
-        part.write.mode("overwrite").parquet(f"{path}/slice={number:05d}")
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/slice=*")
-
-
-def _run(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    spark = stream.sparkSession
-    path = shared_path(spark, label)
-    write_changes(stream, path, shared_path(spark, f"{label}-progress"), mode).awaitTermination()
-    return read_changes(spark, path, stream.schema)
+    log = commands.select(*GROUP_KEYS, *PAYLOAD)
+    inbox, outbox, progress = (shared_path(spark, label) for label in ("inbox", "outbox", "progress"))
+    published = None
+    for number, part in enumerate(_slices(log, slice_rows)):
+        part.write.mode("overwrite").parquet(f"{inbox}/slice={number:05d}")
+        stream = build(spark.readStream.schema(log.schema).parquet(f"{inbox}/slice=*"))
+        write_changes(stream, outbox, progress, mode).awaitTermination()
+        published = stream.schema
+    return read_changes(spark, outbox, published)
 
 
 def outcomes_of_log(commands: DataFrame) -> DataFrame:
     """Outcomes of a stored log, computed by the streaming replay."""
-    return _run(replay_stream(stage_log(commands)), "append", "outcomes").drop("batch")
+    return run_log(commands, replay_stream).drop("batch")
 
 
 def occupancy_of_log(commands: DataFrame) -> DataFrame:
     """Slots held per room at the end of a stored log, from the updates of the live count."""
-    updates = _run(live_occupancy(replay_stream(stage_log(commands))), "update", "occupancy")
+    updates = run_log(commands, lambda stream: live_occupancy(replay_stream(stream)), "update")
     return updates.groupBy(*GROUP_KEYS).agg(F.max_by("held", "batch").alias("held"))

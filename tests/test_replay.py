@@ -2,10 +2,13 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from conftest import rows
 from model import as_commands, random_commands, replay_model
 from slotledger.operators import changes
 from slotledger.operators.replay import replay
+from slotledger.operators.spots import client_state, spot_updates
 from slotledger.streaming import live
 
 
@@ -131,7 +134,9 @@ def test_live_occupancy_matches_model(spark):
 
 
 def test_published_batches_are_replaced_not_repeated(spark, tmp_path):
-    stream = live.stage_log(as_commands(spark, random_commands(seed=8, count=40)))
+    commands = as_commands(spark, random_commands(seed=8, count=40))
+    commands.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(commands.schema).parquet(str(tmp_path / "in"))
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     for _ in range(2):
         live.write_changes(stream, out, progress).awaitTermination()
@@ -139,10 +144,7 @@ def test_published_batches_are_replaced_not_repeated(spark, tmp_path):
 
 
 def test_live_client_state(spark):
-    from slotledger.operators.spots import client_state, spot_updates
-
     commands = as_commands(spark, random_commands(seed=9, count=60))
-    stream = live.live_client_state(spot_updates(live.stage_log(commands)))
-    shown = live._run(stream, "update", "spots")
-    latest = shown.where("seq is not null").groupBy("type", "id").agg({"seq": "max"})
-    assert rows(latest) == rows(client_state(spot_updates(commands)), "type", "id", "seq")
+    shown = live.run_log(commands, lambda stream: live.live_client_state(spot_updates(stream)), "update")
+    latest = shown.groupBy("type", "id").agg(F.max_by("reserved_by", "seq").alias("reserved_by"), F.max("seq").alias("seq"))
+    assert rows(latest) == rows(client_state(spot_updates(commands)))

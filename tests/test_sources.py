@@ -141,7 +141,8 @@ def test_requests_as_a_stream(spark, tmp_path):
     from slotledger.streaming import live
 
     stream = live.replay_stream(valid_commands(R.booking_commands(R.stream_requests(spark, str(tmp_path / "in")))))
-    assert rows(live._run(stream, "append", "requests"), "seq", "outcome") == [(1, "booked"), (2, "rebook"), (3, "rebook")]
+    live.write_changes(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert rows(live.read_changes(spark, str(tmp_path / "out"), stream.schema), "seq", "outcome") == [(1, "booked"), (2, "rebook"), (3, "rebook")]
 
 
 DOCUMENT = {
