@@ -101,7 +101,8 @@ def current_employees(log: DataFrame, settings_log: DataFrame | None = None) ->
     )
     target = F.lit(DEFAULT_TARGET_DAYS).cast("bigint")
     if settings_log is not None:
-        folded, target = target_as_of(folded, settings_log), F.col("default_target")
+        folded = target_as_of(folded, settings_log, along=log.where(is_add))
+        target = F.col("default_target")
     return folded.select(
         "id",
         F.col("seq").alias("ordinal"),

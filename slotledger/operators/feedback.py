@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotledger.functions.text import or_default, strip
 from slotledger.operators.scan import running_total
 from slotledger.schemas import FEEDBACK_NOT_FOUND, MESSAGE_REQUIRED
+from slotledger.session import checkpoint
 
 # What stored feedback is cut to, and what missing parts become.
 NAME_LENGTH, MESSAGE_LENGTH = 80, 1000
@@ -98,7 +99,7 @@ def feedback_counts(log: DataFrame) -> DataFrame:
     ends = spans.where(F.col("deleted").isNotNull()).select(
         F.col("deleted").alias("seq"), "fb_id", F.lit("delete").alias("op"), F.lit(-1).alias("step")
     )
-    return running_total(steps.unionByName(ends), "seq", "step", "count").drop("step")
+    return running_total(checkpoint(steps.unionByName(ends)), "seq", "step", "count").drop("step")
 
 
 def feedback_changes(log: DataFrame) -> DataFrame:

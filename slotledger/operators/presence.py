@@ -41,11 +41,8 @@ def presence_long(bookings: DataFrame, employees: DataFrame, start: dt.date, end
     Each employee carries the set of days present, at most one per day of the period, and is spread over the
     period's dates in place, so the dense grid needs no cross join.
     """
-    held = (
-        presence_marks(within(bookings, start, end))
-        .groupBy(F.col("user_id").alias("id"))
-        .agg(F.collect_set("date").alias("held"))
-    )
+    kept = applicable(within(bookings, start, end)).where(F.col("kind").isin(*KINDS))
+    held = kept.groupBy(F.col("user_id").alias("id")).agg(F.collect_set("date").alias("held"))
     dates = F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date")
     mark = F.when(F.array_contains("held", F.col("date")), MARK).otherwise("")
     return (
@@ -80,30 +77,43 @@ def _attainment(total: Column, settings: Settings, weeks: int) -> list[Column]:
     ]
 
 
+def _days_as_bits(bookings: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Per user of a week or month, the days present as bits of one number, the first date being bit 0.
+
+    One hash aggregate does it. Its partial step leaves a single number per user and task, so neither the marks nor
+    a busy user's bookings are shuffled one by one.
+    """
+    if (end - start).days >= 63:
+        raise ValueError("the presence matrix is for weeks and months")
+    kept = applicable(within(bookings, start, end)).where(F.col("kind").isin(*KINDS))
+    # A shift by a column needs SQL: the function takes a constant number of bits only.
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.datediff("date", F.lit(start)))
+    return kept.groupBy(F.col("user_id").alias("id")).agg(F.bit_or(bit).alias("days"))
+
+
+def _people_with_days(bookings: DataFrame, employees: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    joined = employees.join(_days_as_bits(bookings, start, end), "id", "left")
+    return joined.withColumn("days", F.coalesce("days", F.lit(0).cast("bigint")))
+
+
 def attainment(bookings: DataFrame, employees: DataFrame, settings: Settings, period: str, ref: str) -> DataFrame:
-    """Days present against the target, per employee."""
+    """Days present against the target, per employee, for a week or month."""
     start, end = resolve_period(period, ref)
-    weeks = target_weeks(period, start, end)
-    return presence_days(within(bookings, start, end), employees).select(
-        "id", "ordinal", "name", *_attainment(F.col("days_present"), settings, weeks)
+    total = F.bit_count("days").cast("bigint")
+    return _people_with_days(bookings, employees, start, end).select(
+        "id", "ordinal", "name", *_attainment(total, settings, target_weeks(period, start, end))
     )
 
 
 def presence_matrix(bookings: DataFrame, employees: DataFrame, settings: Settings, period: str, ref: str) -> DataFrame:
-    """One row per employee, one column per date, then total, target and whether it is met.
-
-    The columns are conditional maxima in one aggregate by user. Its partial step already shrinks every task's share
-    to a row per user, so neither the marks nor a busy user's bookings are shuffled one by one.
-    """
+    """One row per employee, one column per date of the week or month, then total, target and whether it is met."""
     start, end = resolve_period(period, ref)
-    columns = mark_columns(start, end)
-    kept = applicable(within(bookings, start, end)).where(F.col("kind").isin(*KINDS))
-    wide = kept.groupBy(F.col("user_id").alias("id")).agg(
-        *(F.max(F.when(F.col("date") == F.lit(day), MARK)).alias(name) for name, day in columns.items())
-    )
-    marks = [F.coalesce(F.col(name), F.lit("")).alias(name) for name in columns]
-    total = sum((F.col(name).isNotNull().cast("bigint") for name in columns), F.lit(0).cast("bigint"))
+    marks = [
+        F.when(F.col("days").bitwiseAND(1 << number) != 0, MARK).otherwise("").alias(name)
+        for number, name in enumerate(mark_columns(start, end))
+    ]
     shift = [F.coalesce(F.col("shift"), F.lit("")).alias("shift")] if period == "week" else []
-    return employees.join(wide, "id", "left").select(
+    total = F.bit_count("days").cast("bigint")
+    return _people_with_days(bookings, employees, start, end).select(
         "id", "ordinal", "name", *shift, *marks, *_attainment(total, settings, target_weeks(period, start, end))
     )

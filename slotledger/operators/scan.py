@@ -1,4 +1,4 @@
-"""Running totals and carried-forward values over one global order, without gathering the order in one task.
+"""Running totals and as-of values over one global order, without gathering the order in one task.
 
 The order is cut into even ranges at quantiles of the order column. Each range is scanned by a window of its own; a
 summary row per range carries what the ranges before it contribute.
@@ -6,6 +6,8 @@ summary row per range carries what the ranges before it contribute.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,21 +16,30 @@ from pyspark.sql import functions as F
 MAX_RANGES = 10_000
 
 
-def _cut(rows: DataFrame, order: str) -> DataFrame:
-    """Add ``range``, the number of the stretch of the order a row is in."""
+def _cutter(rows: DataFrame, order: str) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """Cut the order at quantiles of these rows: what adds a row's ``range`` number, and how many ranges there are."""
     ranges = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    as_double = rows.withColumn("_order", F.col(order).cast("double"))
     points = [n / ranges for n in range(1, ranges)]
-    inner = sorted(set(as_double.approxQuantile("_order", points, 1 / (4 * ranges)))) if points else []
-    splits = [float("-inf"), *inner, float("inf")]
-    if len(splits) == 2:
-        return as_double.drop("_order").withColumn("range", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="_order", outputCol="range").transform(as_double).drop("_order")
+    position = F.col(order).cast("double").alias("_order")
+    inner = rows.select(position).approxQuantile("_order", points, 1 / (4 * ranges)) if points else []
+    splits = [float("-inf"), *sorted(set(inner)), float("inf")]
+
+    def cut(some: DataFrame) -> DataFrame:
+        if len(splits) == 2:
+            return some.withColumn("range", F.lit(0.0))
+        buckets = Bucketizer(splits=splits, inputCol="_order", outputCol="range")
+        return buckets.transform(some.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+
+    return cut, len(splits) - 1
 
 
 def running_total(rows: DataFrame, order: str, value: str, total: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows up to and including this one in ``order``."""
-    cut = _cut(rows, order)
+    """Add the sum of ``value`` over all rows up to and including this one in ``order``.
+
+    The rows are gone through three times (cut, summaries, scan): pass in a table or a checkpoint.
+    """
+    cutter, _ = _cutter(rows, order)
+    cut = cutter(rows)
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = (
         cut.groupBy("range")
@@ -44,20 +55,29 @@ def running_total(rows: DataFrame, order: str, value: str, total: str) -> DataFr
     )
 
 
-def carry_forward(rows: DataFrame, order: str, value: str, carried: str) -> DataFrame:
-    """Add the latest known ``value`` at or before this row in ``order``, NULL if there is none yet."""
-    cut = _cut(rows, order)
-    known = F.col(value).isNotNull()
+def as_of(rows: DataFrame, history: DataFrame, order: str, value: str, along: DataFrame | None = None) -> DataFrame:
+    """Add the ``value`` the history (``order``, ``value``) has at or before each row, NULL if there is none yet.
+
+    The cut is made along both inputs, so that ranges are even wherever rows pile up. ``along`` may stand in for rows
+    that are costly to compute: they are then gone through only once.
+    """
+    both = (rows if along is None else along).select(order).unionByName(history.select(order))
+    cut, ranges = _cutter(both, order)
+    known = cut(history.select(order, value).where(F.col(value).isNotNull()))
+    last = known.groupBy("range").agg(F.max_by(value, order).alias("_last"))
+    every = rows.sparkSession.range(ranges).select(F.col("id").cast("double").alias("range"))
+    starts = every.join(last, "range", "left")
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = (
-        cut.groupBy("range")
-        .agg(F.max_by(value, F.when(known, F.col(order))).alias("_last"))
-        .select("range", F.last("_last", ignorenulls=True).over(earlier).alias("_offset"))
+    offsets = starts.select("range", F.last("_last", ignorenulls=True).over(earlier).alias("_offset"))
+    inside = (
+        Window.partitionBy("range").orderBy(order, "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = cut(rows).withColumn("_row", F.lit(1))
     return (
-        cut.withColumn(carried, F.last(value, ignorenulls=True).over(inside))
-        .join(F.broadcast(offsets), "range")  # at most MAX_RANGES rows
-        .withColumn(carried, F.coalesce(carried, "_offset"))
-        .drop("range", "_offset")
+        marked.unionByName(known.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+        .withColumn(value, F.last(value, ignorenulls=True).over(inside))
+        .where(F.col("_row") == 1)
+        .join(F.broadcast(offsets), "range", "left")  # at most MAX_RANGES rows
+        .withColumn(value, F.coalesce(value, "_offset"))
+        .drop("range", "_offset", "_row")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.functions.text import comma_items, int_items, to_int
-from slotledger.operators.scan import carry_forward
+from slotledger.operators.scan import as_of
 from slotledger.schemas import DEFAULT_SETTINGS, DEFAULT_TARGET_DAYS, LIST_SETTINGS
 
 
@@ -58,14 +58,12 @@ def settings_changes(log: DataFrame) -> DataFrame:
     )
 
 
-def target_as_of(adds: DataFrame, log: DataFrame) -> DataFrame:
+def target_as_of(adds: DataFrame, log: DataFrame, along: DataFrame | None = None) -> DataFrame:
     """Employee adds with ``default_target``: the weekly target configured when each add arrived.
 
-    Both logs share one arrival order; the configured value is carried forward along their union.
+    Both logs share one arrival order. See ``scan.as_of`` for ``along``.
     """
-    target = F.when(F.col("key") == "targetDays", to_int(F.col("raw_value")))
-    known = log.select("seq", target.alias("_target")).where(F.col("_target").isNotNull())
-    both = adds.withColumn("_add", F.lit(True)).unionByName(known, allowMissingColumns=True)
-    carried = carry_forward(both, "seq", "_target", "default_target").where(F.col("_add"))
+    history = log.where(F.col("key") == "targetDays").select("seq", to_int(F.col("raw_value")).alias("default_target"))
     default = F.lit(DEFAULT_TARGET_DAYS).cast("bigint")
-    return carried.withColumn("default_target", F.coalesce("default_target", default)).drop("_add", "_target")
+    found = as_of(adds, history, "seq", "default_target", along)
+    return found.withColumn("default_target", F.coalesce("default_target", default))

@@ -14,8 +14,8 @@ from slotledger.operators import calendar as C
 from slotledger.operators import changes, employees, feedback, presence, settings, spots, validation
 from slotledger.operators import utilization as U
 from slotledger.operators.replay import replay
+from slotledger.plans import changefeed
 from slotledger.plans import fixtures as X
-from slotledger.plans.changefeed import change_feed
 from slotledger.schemas import Settings
 from slotledger.session import tune
 from slotledger.streaming import live
@@ -41,6 +41,11 @@ def query(build: Query) -> Query:
     return build
 
 
+def _period_bookings(spark: SparkSession, sf: str, period: str, ref: str) -> DataFrame:
+    """The bookings of a report period, with its bounds in reach of the scan."""
+    return X.bookings(spark, sf, *resolve_period(period, ref))
+
+
 # ---- bookings and calendar --------------------------------------------------------------------------------------
 
 
@@ -94,7 +99,7 @@ def util_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(period: str, ref: str) -> Query:
-    return lambda spark, sf: U.summary(X.bookings(spark, sf), X.employees(spark, sf), REPORT, period, ref)
+    return lambda spark, sf: U.summary(_period_bookings(spark, sf, period, ref), X.employees(spark, sf), REPORT, period, ref)
 
 
 @query
@@ -119,27 +124,27 @@ def summary_year(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def daily_week(spark: SparkSession, sf: str) -> DataFrame:
-    return U.daily_by_shift(X.bookings(spark, sf), REPORT, WEEK_REF)
+    return U.daily_by_shift(_period_bookings(spark, sf, "week", WEEK_REF), REPORT, WEEK_REF)
 
 
 @query
 def daily_month(spark: SparkSession, sf: str) -> DataFrame:
-    return U.daily_means(X.bookings(spark, sf), REPORT, MONTH_REF)
+    return U.daily_means(_period_bookings(spark, sf, "month", MONTH_REF), REPORT, MONTH_REF)
 
 
 @query
 def weekly_agg(spark: SparkSession, sf: str) -> DataFrame:
-    return U.weekly_means(X.bookings(spark, sf), REPORT, MONTH_REF)
+    return U.weekly_means(_period_bookings(spark, sf, "month", MONTH_REF), REPORT, MONTH_REF)
 
 
 @query
 def monthly_agg_quarter(spark: SparkSession, sf: str) -> DataFrame:
-    return U.monthly_means(X.bookings(spark, sf), REPORT, "quarter", QUARTER_REF)
+    return U.monthly_means(_period_bookings(spark, sf, "quarter", QUARTER_REF), REPORT, "quarter", QUARTER_REF)
 
 
 @query
 def monthly_agg_year(spark: SparkSession, sf: str) -> DataFrame:
-    return U.monthly_means(X.bookings(spark, sf), REPORT, "year", YEAR_REF)
+    return U.monthly_means(_period_bookings(spark, sf, "year", YEAR_REF), REPORT, "year", YEAR_REF)
 
 
 # ---- presence ---------------------------------------------------------------------------------------------------
@@ -152,39 +157,48 @@ def presence_marks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def presence_days(spark: SparkSession, sf: str) -> DataFrame:
-    held = B.within(X.bookings(spark, sf), *resolve_period("year", YEAR_REF))
-    return presence.presence_days(held, X.employees(spark, sf)).select("id", "days_present")
+    return presence.presence_days(_period_bookings(spark, sf, "year", YEAR_REF), X.employees(spark, sf)).select("id", "days_present")
 
 
 @query
 def presence_long(spark: SparkSession, sf: str) -> DataFrame:
     bounds = resolve_period("month", MONTH_REF)
-    return presence.presence_long(X.bookings(spark, sf), X.employees(spark, sf), *bounds)
+    return presence.presence_long(X.bookings(spark, sf, *bounds), X.employees(spark, sf), *bounds)
 
 
 @query
 def attainment_week(spark: SparkSession, sf: str) -> DataFrame:
-    return presence.attainment(X.bookings(spark, sf), X.employees(spark, sf), REPORT, "week", WEEK_REF)
+    return presence.attainment(
+        _period_bookings(spark, sf, "week", WEEK_REF), X.employees(spark, sf), REPORT, "week", WEEK_REF
+    )
 
 
 @query
 def attainment_month(spark: SparkSession, sf: str) -> DataFrame:
-    return presence.attainment(X.bookings(spark, sf), X.employees(spark, sf), REPORT, "month", MONTH_REF)
+    return presence.attainment(
+        _period_bookings(spark, sf, "month", MONTH_REF), X.employees(spark, sf), REPORT, "month", MONTH_REF
+    )
 
 
 @query
 def attainment_long_month(spark: SparkSession, sf: str) -> DataFrame:
-    return presence.attainment(X.bookings(spark, sf), X.employees(spark, sf), REPORT, "month", LONG_MONTH_REF)
+    return presence.attainment(
+        _period_bookings(spark, sf, "month", LONG_MONTH_REF), X.employees(spark, sf), REPORT, "month", LONG_MONTH_REF
+    )
 
 
 @query
 def presence_matrix_week(spark: SparkSession, sf: str) -> DataFrame:
-    return presence.presence_matrix(X.bookings(spark, sf), X.employees(spark, sf), REPORT, "week", WEEK_REF)
+    return presence.presence_matrix(
+        _period_bookings(spark, sf, "week", WEEK_REF), X.employees(spark, sf), REPORT, "week", WEEK_REF
+    )
 
 
 @query
 def presence_matrix_month(spark: SparkSession, sf: str) -> DataFrame:
-    return presence.presence_matrix(X.bookings(spark, sf), X.employees(spark, sf), REPORT, "month", MONTH_REF)
+    return presence.presence_matrix(
+        _period_bookings(spark, sf, "month", MONTH_REF), X.employees(spark, sf), REPORT, "month", MONTH_REF
+    )
 
 
 # ---- commands and replay ----------------------------------------------------------------------------------------
@@ -221,15 +235,12 @@ def occupancy_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def change_feed_all(spark: SparkSession, sf: str) -> DataFrame:
-    return change_feed(
+def change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return changefeed.change_feed(
         _outcomes(spark, sf), X.config_cmds(spark, sf), X.employee_cmds(spark, sf), X.feedback_cmds(spark, sf)
     )
 
 
-QUERIES["change_feed"] = QUERIES.pop("change_feed_all")
-
-
 @query
 def client_state(spark: SparkSession, sf: str) -> DataFrame:
     return spots.client_state(spots.spot_updates(X.commands(spark, sf)))

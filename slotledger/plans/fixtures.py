@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,20 @@ def commands_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settled bookings, from ``lineitem`` and ``orders``: one owner per slot."""
+def bookings(
+    spark: SparkSession, sf_dir: str, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
+    """Settled bookings, from ``lineitem`` and ``orders``: one owner per slot, the customer with the lowest number.
+
+    Dates are derived from a timestamp. With the bounds of a report period given, that timestamp is filtered as well,
+    which the scan can use.
+    """
     lines = table(spark, sf_dir, "lineitem")
-    owners = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("e_"), "o_custkey").alias("user_id"))
+    if start is not None:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        lines = lines.where(F.col("l_shipdate") < F.lit(end + dt.timedelta(days=1)).cast("timestamp_ntz"))
+    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     date = F.col("l_shipdate").cast("date")
     line = F.col("l_linenumber")
     desks = F.col("l_linestatus") == "O"
@@ -60,9 +72,17 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("night")
         .alias("shift"),
         F.when(desks, "desks").otherwise("parking").alias("kind"),
-        F.when(desks, F.col("l_partkey") % 28 + 1).otherwise(F.col("l_suppkey") % 10 + 1).cast("string").alias("slot"),
+        F.when(desks, F.col("l_partkey") % 28 + 1).otherwise(F.col("l_suppkey") % 10 + 1).alias("slot"),
+    )
+    # Numbers until after the aggregate, which can then hash; a minimum of text would sort every row first.
+    owned = slots.join(owners, "o_orderkey").groupBy("date", "shift", "kind", "slot").agg(F.min("o_custkey").alias("owner"))
+    return owned.select(
+        "date",
+        "shift",
+        "kind",
+        F.col("slot").cast("string").alias("slot"),
+        F.concat(F.lit("e_"), "owner").alias("user_id"),
     )
-    return slots.join(owners, "o_orderkey").groupBy("date", "shift", "kind", "slot").agg(F.min("user_id").alias("user_id"))
 
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,14 +26,14 @@ select seq, case when seq % 11 = 0 then null else date end as date,
   case when seq % 23 = 0 then null else user_id end as user_id, is_admin
 from commands""",
     "bookings": """
-select date, shift, kind, slot, min(user_id) as user_id from (
+select date, shift, kind, slot, 'e_' || min(o_custkey) as user_id from (
   select cast(l_shipdate as date) as date,
     case when isodow(l_shipdate) >= 6 and l_linenumber < 6 then 'weekend'
          when l_linenumber % 3 = 0 then 'day' when l_linenumber % 3 = 1 then 'evening'
          else 'night' end as shift,
     case when l_linestatus = 'O' then 'desks' else 'parking' end as kind,
     cast(case when l_linestatus = 'O' then l_partkey % 28 + 1 else l_suppkey % 10 + 1 end as varchar) as slot,
-    'e_' || o_custkey as user_id
+    o_custkey
   from lineitem join orders on l_orderkey = o_orderkey) t
 group by date, shift, kind, slot""",
     "employees": """

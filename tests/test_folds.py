@@ -110,19 +110,22 @@ def test_feedback_fold_matches_model(spark, seed):
 
 def test_global_scans(spark):
     rng = random.Random(7)
-    data = [(n * 3, rng.randrange(-5, 9), rng.choice([None, n])) for n in range(500)]
-    df = spark.createDataFrame(data, "seq bigint, step bigint, known bigint").repartition(7)
-    total, expected = 0, {}
-    last = None
-    for seq, step, known in data:
+    data = [(n * 3, rng.randrange(-5, 9)) for n in range(500)]
+    known = [(rng.randrange(1500) * 2 + 1, n) for n in range(40)] + [(9999, 1)]
+    df = spark.createDataFrame(data, "seq bigint, step bigint").repartition(7)
+    history = spark.createDataFrame(list(dict(known).items()), "seq bigint, value bigint")
+    total, sums, latest = 0, {}, {}
+    for seq, step in data:
         total += step
-        last = known if known is not None else last
-        expected[seq] = (total, last)
-    sums = {r["seq"]: r["total"] for r in scan.running_total(df, "seq", "step", "total").collect()}
-    lasts = {r["seq"]: r["last"] for r in scan.carry_forward(df, "seq", "known", "last").collect()}
-    assert {s: (sums[s], lasts[s]) for s in sums} == expected
+        sums[seq] = total
+        earlier = [k for k in dict(known) if k <= seq]
+        latest[seq] = dict(known)[max(earlier)] if earlier else None
+    assert {r["seq"]: r["total"] for r in scan.running_total(df, "seq", "step", "total").collect()} == sums
+    assert {r["seq"]: r["value"] for r in scan.as_of(df, history, "seq", "value").collect()} == latest
+    assert {r["seq"]: r["value"] for r in scan.as_of(df, history, "seq", "value", along=history).collect()} == latest
     assert scan.running_total(df.limit(0), "seq", "step", "total").count() == 0
     assert scan.running_total(df.limit(1), "seq", "step", "total").count() == 1
+    assert scan.as_of(df, history.limit(0), "seq", "value").where("value is null").count() == 500
 
 
 def test_client_view(spark):
