@@ -26,19 +26,33 @@ def dangling(bookings: DataFrame, employees: DataFrame) -> DataFrame:
     )
 
 
+# Most slots gathered into one map. A room with more is spread over several maps.
+PART_SLOTS = 10_000
+
+
+def _with_parts(bookings: DataFrame, part_slots: int) -> DataFrame:
+    """Add ``part``: 0 in rooms of ordinary size, else which of the room's maps the slot goes into.
+
+    The room sizes are one row per room; a room with very many slots is only ever on the bookings' side of the join.
+    """
+    parts = F.ceil(F.count("*") / part_slots).alias("parts")
+    sizes = bookings.groupBy(*GROUP_KEYS).agg(parts)
+    part = F.pmod(F.xxhash64("slot"), F.col("parts")).cast("int")
+    return bookings.join(sizes, list(GROUP_KEYS)).select(*SLOT_KEYS, "user_id", part.alias("part"))
+
+
 def _gather(key: str, value: str) -> Column:
     return F.map_from_entries(F.collect_list(F.struct(key, value)))
 
 
-def nest_bookings(bookings: DataFrame) -> DataFrame:
-    """One row per date holding shift -> kind -> slot -> user.
+def nest_bookings(bookings: DataFrame, part_slots: int = PART_SLOTS) -> DataFrame:
+    """One row per date holding shift -> kind -> slot -> user, or several where a room has very many slots.
 
-    Slots are gathered per (date, shift, kind), the size of one room plan. What one date then brings together are
-    the eight finished maps.
+    Reads the bookings twice, for the room sizes and for the maps.
     """
-    rooms = bookings.groupBy(*GROUP_KEYS).agg(_gather("slot", "user_id").alias("slots"))
-    shifts = rooms.groupBy("date", "shift").agg(_gather("kind", "slots").alias("kinds"))
-    return shifts.groupBy("date").agg(_gather("shift", "kinds").alias("day"))
+    rooms = _with_parts(bookings, part_slots).groupBy(*GROUP_KEYS, "part").agg(_gather("slot", "user_id").alias("slots"))
+    shifts = rooms.groupBy("date", "part", "shift").agg(_gather("kind", "slots").alias("kinds"))
+    return shifts.groupBy("date", "part").agg(_gather("shift", "kinds").alias("day"))
 
 
 def flatten_bookings(days: DataFrame) -> DataFrame:
@@ -69,15 +83,16 @@ def _cell(shift: Column, kind: Column, held: Column) -> Column:
     return F.struct(shift.alias("shift"), kind.alias("kind"), held.cast("bigint").alias("held"))
 
 
-def day_image(bookings: DataFrame) -> DataFrame:
-    """What one room shows: per (date, shift, kind) the slots with their users, as a map and as sorted text.
+def day_image(bookings: DataFrame, part_slots: int = PART_SLOTS) -> DataFrame:
+    """What a room shows: per (date, shift, kind) the slots with their users, as a map and as sorted text.
 
-    One row holds one room's slots, each once: its size is that of the floor plan, not of the booking history.
+    Rooms with very many slots are shown in several parts. Reads the bookings twice, like ``nest_bookings``.
     """
     pairs = F.array_sort(F.collect_list(F.struct("slot", "user_id")))
     text = F.array_join(F.transform("pairs", lambda p: F.concat(p["slot"], F.lit("="), p["user_id"])), ",")
     return (
-        bookings.groupBy(*GROUP_KEYS)
+        _with_parts(bookings, part_slots)
+        .groupBy(*GROUP_KEYS, "part")
         .agg(pairs.alias("pairs"))
-        .select(*GROUP_KEYS, F.map_from_entries("pairs").alias("slots"), text.alias("image"))
+        .select(*GROUP_KEYS, "part", F.map_from_entries("pairs").alias("slots"), text.alias("image"))
     )

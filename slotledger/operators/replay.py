@@ -36,7 +36,7 @@ from slotledger.schemas import GROUP_KEYS
 from slotledger.session import checkpoint
 
 # Largest group replayed in one piece, and size of the chunks of larger ones.
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 4_000_000
 # Chunks grow with the log beyond this many, so lists of chunks and of large groups stay this short.
 MAX_CHUNKS = 20_000
 

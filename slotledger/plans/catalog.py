@@ -17,7 +17,7 @@ from slotledger.operators.replay import replay
 from slotledger.plans import changefeed
 from slotledger.plans import fixtures as X
 from slotledger.schemas import Settings
-from slotledger.session import tune
+from slotledger.session import checkpoint, tune
 from slotledger.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,7 @@ def _period_bookings(spark: SparkSession, sf: str, period: str, ref: str) -> Dat
 
 @query
 def bookings_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    return B.flatten_bookings(B.nest_bookings(X.bookings(spark, sf)))
+    return B.flatten_bookings(B.nest_bookings(checkpoint(X.bookings(spark, sf))))
 
 
 @query
@@ -71,7 +71,7 @@ def day_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def day_image(spark: SparkSession, sf: str) -> DataFrame:
-    return B.day_image(X.bookings(spark, sf)).drop("slots")
+    return B.day_image(checkpoint(X.bookings(spark, sf))).drop("slots")
 
 
 @query

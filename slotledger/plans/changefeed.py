@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from slotledger.operators.changes import booking_changes
 from slotledger.operators.employees import employee_changes
@@ -18,3 +19,8 @@ def change_feed(outcomes: DataFrame, settings_log: DataFrame, employee_log: Data
         .unionByName(employee_changes(employee_log))
         .unionByName(feedback_changes(feedback_log))
     )
+
+
+def messages(feed: DataFrame) -> DataFrame:
+    """The events as JSON texts, ``seq`` alongside."""
+    return feed.select("seq", F.to_json(F.struct("action", "log", "seq", "ref", "detail")).alias("message"))

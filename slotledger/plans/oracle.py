@@ -299,7 +299,7 @@ left join bookings b on b.date = g.date and b.shift = g.shift and b.kind = g.kin
         "bookings",
     ),
     "day_image": with_views(
-        """select date, shift, kind, string_agg(slot || '=' || user_id, ',' order by slot) as image
+        """select date, shift, kind, 0 as part, string_agg(slot || '=' || user_id, ',' order by slot) as image
 from bookings group by date, shift, kind""",
         "bookings",
     ),

@@ -18,8 +18,8 @@ from slotledger.session import shared_path
 
 STATE = "slots array<string>, users array<string>, since array<bigint>"
 # Rows per micro-batch when a stored log is replayed as a stream.
-SLICE_ROWS = 5_000_000
-MIN_SLICES = 4
+SLICE_ROWS = 2_000_000
+MIN_SLICES = 2
 
 
 def replay_stream(commands: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,6 +11,7 @@ from model import as_commands, random_commands, replay_model
 from slotledger.operators import changes
 from slotledger.operators.replay import replay
 from slotledger.operators.spots import client_state, spot_updates
+from slotledger.plans.changefeed import messages
 from slotledger.streaming import live
 
 
@@ -143,6 +146,15 @@ def test_published_batches_are_replaced_not_repeated(spark, tmp_path):
     assert live.read_changes(spark, out, stream.schema).count() == 40
 
 
+def test_published_feed_of_bookings(spark):
+    log = random_commands(seed=10, count=80)
+    shown = [q for q, (outcome, _) in replay_model(log)[0].items() if outcome in ("booked", "rebook", "freed")]
+    feed = live.run_log(as_commands(spark, log), lambda stream: changes.booking_changes(live.replay_stream(stream)))
+    texts = {r["seq"]: json.loads(r["message"]) for r in messages(feed).collect()}
+    assert sorted(texts) == shown
+    assert all(t["action"] == "booking" and t["ref"].count("|") == 3 for t in texts.values())
+
+
 def test_live_client_state(spark):
     commands = as_commands(spark, random_commands(seed=9, count=60))
     shown = live.run_log(commands, lambda stream: live.live_client_state(spot_updates(stream)), "update")

@@ -128,7 +128,18 @@ def test_presence(office):
 
 def test_nesting_round_trip_and_grid(office):
     held = office[0]
-    assert rows(B.flatten_bookings(B.nest_bookings(held))) == rows(held)
+    for part_slots in (B.PART_SLOTS, 1):
+        assert rows(B.flatten_bookings(B.nest_bookings(held, part_slots))) == rows(held)
+    crowd = held.sparkSession.range(500).select(
+        F.lit(D(2026, 1, 5)).alias("date"),
+        F.lit("day").alias("shift"),
+        F.lit("desks").alias("kind"),
+        F.col("id").cast("string").alias("slot"),
+        F.concat(F.lit("u"), "id").alias("user_id"),
+    )
+    days = B.nest_bookings(crowd, 50)
+    assert days.count() == 10 and rows(B.flatten_bookings(days)) == rows(crowd)
+    assert B.day_image(crowd, 50).agg(F.sum(F.size("slots"))).first()[0] == 500
     dates = held.sparkSession.createDataFrame([(D(2027, 1, 1),)], "date date")
     grid = B.day_grid(held, dates)
     assert grid.count() == 8 * 5 and grid.agg(F.sum("held")).first()[0] == held.count()
