@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.text import or_default, shift_list, strip, to_int
 from slotledger.operators.settings import target_as_of
+from slotledger.operators.skew import LARGE_ROWS, LargeGroups, join_unique, large_groups
 from slotledger.schemas import DEFAULT_TARGET_DAYS, EMPLOYEE_NOT_FOUND, SHIFTS
 
 BAD_TARGET = "Bad target days"
@@ -26,28 +27,29 @@ def requested_names(requests: DataFrame, *kept: str) -> DataFrame:
     return requests.select("seq", *kept, F.posexplode(names).alias("position", "name"))
 
 
-def lifespans(log: DataFrame) -> DataFrame:
-    """When each employee was added and first deleted after that, by ``seq``.
+def lifespans(log: DataFrame, large: LargeGroups | None = None) -> DataFrame:
+    """When each employee was added and first deleted after that, by ``seq``: one row per id.
 
     An add whose target cannot be read fails as a whole. Ids are given out by the add and never used again.
     """
     failed = F.col("target_days").isNotNull() & to_int(F.col("target_days")).isNull()
     adds = log.where((F.col("op") == "add") & ~failed).groupBy("id").agg(F.min("seq").alias("added"))
     deletes = log.where(F.col("op") == "delete").select("id", "seq")
-    ended = adds.join(deletes, "id").where(F.col("seq") > F.col("added")).groupBy("id").agg(F.min("seq").alias("ended"))
-    return adds.join(ended, "id", "left")
+    later = join_unique(deletes, adds, "id", large, "inner").where(F.col("seq") > F.col("added"))
+    return adds.join(later.groupBy("id").agg(F.min("seq").alias("ended")), "id", "left")
 
 
-def judge(log: DataFrame) -> DataFrame:
+def judge(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
     """The log with ``added``, ``ended`` and ``error``: NULL for commands that were carried out.
 
-    The lifespans are one row per id, so a busy id is only ever on the log's side of the join, where AQE splits it.
+    An id with very many commands is judged where its commands are, without shuffling them.
     """
+    large = large_groups(log, ["id"], large_rows)
     seq, added, ended = F.col("seq"), F.col("added"), F.col("ended")
     alive = (seq > added) & (ended.isNull() | (seq <= ended))
     carried_out = F.when(F.col("op") == "add", seq == added).otherwise(alive)
     reason = F.when(F.col("op") == "add", BAD_TARGET).otherwise(EMPLOYEE_NOT_FOUND)
-    return log.join(lifespans(log), "id", "left").withColumn(
+    return join_unique(log, lifespans(log, large), "id", large).withColumn(
         "error", F.when(~F.coalesce(carried_out, F.lit(False)), reason)
     )
 
@@ -68,14 +70,16 @@ def employee_changes(log: DataFrame) -> DataFrame:
     )
 
 
-def current_employees(log: DataFrame, settings_log: DataFrame | None = None) -> DataFrame:
+def current_employees(
+    log: DataFrame, settings_log: DataFrame | None = None, large_rows: int = LARGE_ROWS
+) -> DataFrame:
     """The employees left at the end of the log, with the last value sent of every field.
 
     One aggregate per id with a ``max_by`` per field does the folding; its partial step runs before the shuffle.
     A field that was not sent, or was sent with an unusable value, is NULL by then and does not count. An add without
     a target takes the one configured at that time, which needs the settings log.
     """
-    alive = judge(log).where(F.col("error").isNull() & F.col("ended").isNull())
+    alive = judge(log, large_rows).where(F.col("error").isNull() & F.col("ended").isNull())
     is_add = F.col("op") == "add"
     lone_shift = F.when(F.col("shifts").isNull() & F.col("shift").isin(*SHIFTS), F.col("shift"))
     # Only an update leaves the shifts alone when it does not send any; an add falls back to its single shift.

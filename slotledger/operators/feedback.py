@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.text import or_default, strip
 from slotledger.operators.scan import running_total
+from slotledger.operators.skew import LARGE_ROWS, LargeGroups, join_unique, large_groups
 from slotledger.schemas import FEEDBACK_NOT_FOUND, MESSAGE_REQUIRED
 from slotledger.session import checkpoint
 
 # What stored feedback is cut to, and what missing parts become.
 NAME_LENGTH, MESSAGE_LENGTH = 80, 1000
 ANONYMOUS, GENERAL = "Anonymous", "general"
+EDITS = ("read", "delete")
 
 
 def clean_name(name: Column) -> Column:
@@ -49,15 +51,24 @@ def _arrivals(log: DataFrame) -> DataFrame:
     return _stored(log).select("fb_id", F.col("seq").alias("submitted"))
 
 
-def histories(log: DataFrame) -> DataFrame:
+def _large_ids(log: DataFrame, large_rows: int) -> LargeGroups | None:
+    """Ids edited very often, existing or not. Submissions have an id each and need no counting."""
+    return large_groups(log.where(F.col("op").isin(*EDITS)), ["fb_id"], large_rows)
+
+
+def histories(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
     """Per stored submission: when it was submitted, first deleted and first marked as read.
 
     Edits of ids that do not exist meet no submission and drop out before the aggregate.
     """
-    edits = log.where(F.col("op").isin("read", "delete")).select("fb_id", "seq", "op")
+    return _histories(log, _large_ids(log, large_rows))
+
+
+def _histories(log: DataFrame, large: LargeGroups | None) -> DataFrame:
+    edits = log.where(F.col("op").isin(*EDITS)).select("fb_id", "seq", "op")
     arrivals = _arrivals(log)
     edited = (
-        arrivals.join(edits, "fb_id")
+        join_unique(edits, arrivals, "fb_id", large, "inner")
         .where(F.col("seq") > F.col("submitted"))
         .groupBy("fb_id")
         .agg(
@@ -76,16 +87,16 @@ def current_feedback(log: DataFrame) -> DataFrame:
     return _stored(log).drop("error").join(left, "fb_id")
 
 
-def feedback_rejects(log: DataFrame) -> DataFrame:
+def feedback_rejects(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
     """Blank submissions, and deletes of ids that are not stored at that time."""
+    large = _large_ids(log, large_rows)
     blank = clean_submissions(log).where(F.col("error").isNotNull()).select(
         "seq", F.lit("submit").alias("op"), "fb_id", "error"
     )
+    deletes = log.where(F.col("op") == "delete").select("seq", "op", "fb_id")
     first = F.coalesce(F.col("seq") == F.col("deleted"), F.lit(False))
     unknown = (
-        log.where(F.col("op") == "delete")
-        .select("seq", "op", "fb_id")
-        .join(histories(log).select("fb_id", "deleted"), "fb_id", "left")
+        join_unique(deletes, _histories(log, large).select("fb_id", "deleted"), "fb_id", large)
         .where(~first)
         .select("seq", "op", "fb_id", F.lit(FEEDBACK_NOT_FOUND).alias("error"))
     )

@@ -32,13 +32,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slotledger.operators.room import BOOKED, FREED, Room
+from slotledger.operators.skew import MOST_GROUPS, large_groups
 from slotledger.schemas import GROUP_KEYS
 from slotledger.session import checkpoint
 
 # Largest group replayed in one piece, and size of the chunks of larger ones.
 CHUNK_ROWS = 4_000_000
 # Chunks grow with the log beyond this many, so lists of chunks and of large groups stay this short.
-MAX_CHUNKS = 20_000
+MAX_CHUNKS = MOST_GROUPS
 
 PAYLOAD = ("seq", "slot", "op", "user_id", "is_admin")
 PLACE = "place"
@@ -58,17 +59,11 @@ def replay(
     ``since`` is the ``seq`` of the command that holder booked with. ``seq`` must be unique within a group.
     """
     log = commands.select(*keys, *PAYLOAD)
-    sizes = log.groupBy(*keys).agg(F.count("*").alias("rows"))
-    largest, total = sizes.agg(F.max("rows"), F.sum("rows")).first()
-    if (largest or 0) <= chunk_rows:
+    large = large_groups(log, keys, chunk_rows, max_chunks)
+    if large is None:
         return _replay_groups(log, keys)
-
-    chunk_rows = max(chunk_rows, -(-total // max_chunks))
-    large = sizes.where(F.col("rows") > chunk_rows).collect()  # fewer than max_chunks rows by construction
-    if not large:
-        return _replay_groups(log, keys)
-    marks = F.broadcast(commands.sparkSession.createDataFrame(large, sizes.schema).select(*keys))
-    chunks = -(-sum(row["rows"] for row in large) // chunk_rows)
+    marks = F.broadcast(large.keys)  # fewer than max_chunks rows
+    chunks = -(-large.rows // large.limit)
     return _replay_groups(log.join(marks, list(keys), "left_anti"), keys).unionByName(
         _replay_chunks(log.join(marks, list(keys), "left_semi"), keys, chunks)
     )

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from model import EMPLOYEE_DDL, employees_model, feedback_model, random_employee_log
 from slotledger.operators import employees, feedback, scan, settings, spots
+from slotledger.operators.skew import large_groups
 
 
 def config(spark, entries):
@@ -48,6 +49,10 @@ def test_employee_fold_matches_model(spark, seed):
     assert {i: {k: got[i][k] for k in people[i]} for i in got} == people
     assert sorted((r["seq"], r["op"]) for r in employees.employee_rejects(df).collect()) == refused
     assert employees.employee_changes(df).count() == len(log) - len(refused)
+    # with busy ids handled apart
+    again = {r["id"]: r.asDict() for r in employees.current_employees(df, large_rows=30).collect()}
+    assert again == got
+    assert employees.judge(df, large_rows=30).where("error is not null").count() == len(refused)
 
 
 def test_failed_add_leaves_nothing(spark):
@@ -106,6 +111,23 @@ def test_feedback_fold_matches_model(spark, seed):
     assert dict(feedback.current_feedback(df).select("fb_id", "read").collect()) == stored
     assert sorted(r["seq"] for r in feedback.feedback_rejects(df).collect()) == refused
     assert sorted((r["seq"], r["count"]) for r in feedback.feedback_counts(df).collect()) == counts
+    # with one id edited far more often than the others, and unknown ones without an id
+    busy = [(1000 + n, "read" if n % 3 else "delete", 2 if n % 2 else None, None, None, None) for n in range(60)]
+    more = df.unionByName(df.sparkSession.createDataFrame(busy, df.schema))
+    stored, refused, _ = feedback_model(log + [(q, o, i, None) for q, o, i, *_ in busy])
+    assert sorted(r["seq"] for r in feedback.feedback_rejects(more, large_rows=10).collect()) == refused
+    assert sorted(r["seq"] for r in feedback.feedback_rejects(more).collect()) == refused
+    left = feedback.histories(more, large_rows=10).where("deleted is null")
+    assert {r["fb_id"]: r["first_read"] is not None for r in left.collect()} == stored
+
+
+def test_large_groups(spark):
+    df = spark.range(100).selectExpr("case when id < 60 then 0 when id < 90 then 1 else id end as k")
+    assert large_groups(df, ["k"], limit=60) is None
+    found = large_groups(df, ["k"], limit=20)
+    assert rows(found.keys) == [(0,), (1,)] and found.rows == 90
+    assert rows(large_groups(df, ["k"], limit=20, most=2).keys) == [(0,)]
+    assert large_groups(df.limit(0), ["k"], limit=1) is None
 
 
 def test_global_scans(spark):
