@@ -50,7 +50,8 @@ def nest_bookings(bookings: DataFrame, part_slots: int = PART_SLOTS) -> DataFram
 
     Reads the bookings twice, for the room sizes and for the maps.
     """
-    rooms = _with_parts(bookings, part_slots).groupBy(*GROUP_KEYS, "part").agg(_gather("slot", "user_id").alias("slots"))
+    slots = _with_parts(bookings, part_slots)
+    rooms = slots.groupBy(*GROUP_KEYS, "part").agg(_gather("slot", "user_id").alias("slots"))
     shifts = rooms.groupBy("date", "part", "shift").agg(_gather("kind", "slots").alias("kinds"))
     return shifts.groupBy("date", "part").agg(_gather("shift", "kinds").alias("day"))
 

@@ -98,28 +98,28 @@ def util_shift(spark: SparkSession, sf: str) -> DataFrame:
     return U.shift_utilization(U.complete_counts(held, C.span_calendar(held)), REPORT)
 
 
-def _summary(period: str, ref: str) -> Query:
-    return lambda spark, sf: U.summary(_period_bookings(spark, sf, period, ref), X.employees(spark, sf), REPORT, period, ref)
+def _summary(spark: SparkSession, sf: str, period: str, ref: str) -> DataFrame:
+    return U.summary(_period_bookings(spark, sf, period, ref), X.employees(spark, sf), REPORT, period, ref)
 
 
 @query
 def summary_week(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary("week", WEEK_REF)(spark, sf)
+    return _summary(spark, sf, "week", WEEK_REF)
 
 
 @query
 def summary_month(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary("month", MONTH_REF)(spark, sf)
+    return _summary(spark, sf, "month", MONTH_REF)
 
 
 @query
 def summary_quarter(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary("quarter", QUARTER_REF)(spark, sf)
+    return _summary(spark, sf, "quarter", QUARTER_REF)
 
 
 @query
 def summary_year(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary("year", YEAR_REF)(spark, sf)
+    return _summary(spark, sf, "year", YEAR_REF)
 
 
 @query
@@ -157,7 +157,8 @@ def presence_marks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def presence_days(spark: SparkSession, sf: str) -> DataFrame:
-    return presence.presence_days(_period_bookings(spark, sf, "year", YEAR_REF), X.employees(spark, sf)).select("id", "days_present")
+    held = _period_bookings(spark, sf, "year", YEAR_REF)
+    return presence.presence_days(held, X.employees(spark, sf)).select("id", "days_present")
 
 
 @query

@@ -11,7 +11,9 @@ from slotledger.operators.feedback import feedback_changes
 from slotledger.operators.settings import settings_changes
 
 
-def change_feed(outcomes: DataFrame, settings_log: DataFrame, employee_log: DataFrame, feedback_log: DataFrame) -> DataFrame:
+def change_feed(
+    outcomes: DataFrame, settings_log: DataFrame, employee_log: DataFrame, feedback_log: DataFrame
+) -> DataFrame:
     """Events ``(log, seq, action, ref, detail)``. Each log is ordered by ``seq``; across logs no order is promised."""
     return (
         booking_changes(outcomes)

@@ -89,7 +89,8 @@ def bookings(
         F.when(desks, F.col("l_partkey") % 28 + 1).otherwise(F.col("l_suppkey") % 10 + 1).alias("slot"),
     )
     # Numbers until after the aggregate, which can then hash; a minimum of text would sort every row first.
-    owned = slots.join(owners, "o_orderkey").groupBy("date", "shift", "kind", "slot").agg(F.min("o_custkey").alias("owner"))
+    claims = slots.join(owners, "o_orderkey")
+    owned = claims.groupBy("date", "shift", "kind", "slot").agg(F.min("o_custkey").alias("owner"))
     return owned.select(
         "date",
         "shift",

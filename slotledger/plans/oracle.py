@@ -352,8 +352,8 @@ from (select cast(date_trunc('week', date) as date) as week_start, {MEANS} from
     "monthly_agg_year": monthly(*YEAR),
     "presence_days": with_views(
         f"""
-, p as (select distinct user_id, date from worked where kind = 'desks' and date between date {YEAR[0]} and date {YEAR[1]}
-  union select distinct user_id, date from worked where kind = 'parking' and date between date {YEAR[0]} and date {YEAR[1]})
+, y as (select * from worked where date between date {YEAR[0]} and date {YEAR[1]}),
+p as (select user_id, date from y where kind = 'desks' union select user_id, date from y where kind = 'parking')
 select id, count(date) as days_present from employees left join p on user_id = id group by id""",
         "worked",
         "employees",

@@ -78,7 +78,3 @@ SNAPSHOT_DOCUMENT = _struct(
 
 # One request as logged: its arrival number and time, the operation, the caller's authority, and the body as received.
 REQUEST = _struct(seq=_long, ts=T.TimestampType(), op=_text, is_admin=_flag, body=_text)
-
-BOOKING_COMMAND = _struct(
-    seq=_long, date=_text, shift=_text, kind=_text, slot=_text, op=_text, user_id=_text, is_admin=_flag,
-)

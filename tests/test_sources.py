@@ -8,7 +8,7 @@ from slotledger.operators.replay import replay
 from slotledger.operators.settings import effective_lists, effective_settings
 from slotledger.operators.validation import valid_commands, validate_commands
 from slotledger.plans.changefeed import change_feed
-from slotledger.sinks.state import day_documents, write_days, write_tables
+from slotledger.sinks.state import write_day_documents, write_days, write_tables
 from slotledger.sources import requests as R
 from slotledger.sources import snapshot as S
 
@@ -197,10 +197,11 @@ def test_missing_snapshot_is_an_empty_office(spark, tmp_path):
     assert [tables[n].count() for n in ("employees", "bookings", "feedback")] == [0, 0, 0]
 
 
-def test_day_documents(spark):
+def test_day_documents(spark, tmp_path):
     held = spark.createDataFrame(
         [(D(2026, 1, 5), "day", "desks", "1", "a"), (D(2026, 1, 5), "day", "parking", "1", "b")],
         "date date, shift string, kind string, slot string, user_id string",
     )
-    (line,) = [json.loads(r["value"]) for r in day_documents(held).collect()]
+    write_day_documents(held, str(tmp_path / "days"))
+    (line,) = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "days")).collect()]
     assert line == {"date": "2026-01-05", "day": {"day": {"desks": {"1": "a"}, "parking": {"1": "b"}}}}
