@@ -42,3 +42,29 @@ def plan(df):
 def test_no_query_crosses_or_loops(spark, small, name):
     text = plan(QUERIES[name](spark, small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_report_bounds_reach_the_scan(spark, small):
+    text = plan(QUERIES["summary_month"](spark, small))
+    scan = next(line for line in text.splitlines() if "PushedFilters" in line and "l_shipdate" in line)
+    assert "GreaterThanOrEqual(l_shipdate,1998-02-01T00:00)" in scan and "LessThan(l_shipdate,1998-03-01T00:00)" in scan
+    read = next(line for line in text.splitlines() if "ReadSchema" in line and "l_shipdate" in line)
+    assert "l_extendedprice" not in read and "l_quantity" not in read
+
+
+def test_stored_bookings_are_pruned_by_date(spark, small, tmp_path):
+    from slotledger.operators import utilization as U
+    from slotledger.schemas import Settings
+    from slotledger.sinks.state import write_days
+
+    write_days(X.bookings(spark, small), str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/bookings")
+    text = plan(U.daily_means(stored, Settings(), "1998-02-10"))
+    scan = next(line for line in text.splitlines() if "PartitionFilters" in line)
+    assert "1998-02-01" in scan and "1998-02-28" in scan
+    assert text.count("Exchange") < 12 and "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["bookings_applicable", "day_grid", "util_shift", "presence_matrix_month"])
+def test_counting_hashes_rather_than_sorts(spark, small, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, small))
