@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from slotledger.llm.chat import op8_chat
+from slotledger.llm.language import op4_language
 from slotledger.llm.mixing import op7_mixing
 from slotledger.llm.quality import op10_quality
 from slotledger.llm.token_counts import op5_token_counts
 from slotledger.llm.token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_token_files, op7_mixing, op8_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op4_language, op5_token_counts, op6_token_files, op7_mixing, op8_chat, op10_quality)}
 
 SQL: dict[str, str] = {}
