@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotledger.llm.chat import op8_chat
 from slotledger.llm.decontamination import OP2_SQL, op2_decontamination
+from slotledger.llm.doc_fingerprints import op9_fingerprints
 from slotledger.llm.language import op4_language
 from slotledger.llm.mixing import op7_mixing
 from slotledger.llm.near_dedup import op1_near_dedup
@@ -11,6 +12,19 @@ from slotledger.llm.quality import op10_quality
 from slotledger.llm.token_counts import op5_token_counts
 from slotledger.llm.token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_language, op5_token_counts, op6_token_files, op7_mixing, op8_chat, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_decontamination,
+        op4_language,
+        op5_token_counts,
+        op6_token_files,
+        op7_mixing,
+        op8_chat,
+        op9_fingerprints,
+        op10_quality,
+    )
+}
 
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
