@@ -9,6 +9,7 @@ from slotledger.llm.language import op4_language
 from slotledger.llm.mixing import op7_mixing
 from slotledger.llm.near_dedup import op1_near_dedup
 from slotledger.llm.quality import op10_quality
+from slotledger.llm.substring_dedup import op3_substring_dedup
 from slotledger.llm.token_counts import op5_token_counts
 from slotledger.llm.token_files import op6_token_files
 
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_near_dedup,
         op2_decontamination,
+        op3_substring_dedup,
         op4_language,
         op5_token_counts,
         op6_token_files,
