@@ -61,6 +61,20 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def row_hash(*columns: str) -> Column:
-    """64 bits that tell rows with one id apart by their text."""
-    return F.xxhash64(*columns)
+#: What tells rows apart: the id, and a hash that also knows a null id and the text. Rows alike in both are the same document.
+KEY = ["k", "h"]
+
+
+def key_columns() -> list[Column]:
+    """``KEY`` of rows with doc_id and text; neither is ever null, so they join by plain equality."""
+    return [F.coalesce("doc_id", F.lit(0)).cast("long").alias("k"), F.xxhash64("doc_id", "text").alias("h")]
+
+
+def rows_by_key(docs: DataFrame, marked: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``how`` (left_semi or left_anti) gives for the keys in ``marked``, columns unchanged.
+
+    With ``once``, rows alike in id and text come out once.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_columns())
+    chosen = rows.join(marked.select(*KEY).distinct(), KEY, how)
+    return (chosen.dropDuplicates(KEY) if once else chosen).select("row.*")

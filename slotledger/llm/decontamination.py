@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import read_table, stored, text_or_empty
+from slotledger.llm.common import KEY, key_columns, read_table, stored, text_or_empty
 
 # Words are runs of ASCII digits and lower-case letters and of everything beyond ASCII, after A-Z are lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,8 +27,6 @@ WINDOW_WORDS = 10
 #: Test tables of up to this many words are broadcast; larger ones are joined by shuffle.
 MOST_BROADCAST_WORDS = 2_000_000
 
-KEY = ["k", "h"]
-
 
 def lower_ascii(word: Column) -> Column:
     """A-Z only. ``lower`` is the same, and quicker, where a word has one byte per code point."""
@@ -39,11 +37,6 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text_or_empty(text), F.lit(RUNS), F.lit(0))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells apart rows with one id, or none, by their text."""
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("doc_id", "text").alias("h"))
-
-
 def item_words(items: DataFrame) -> DataFrame:
     """e (an item text), item_id and its words; texts without words are left out. Written once: it is read by every step."""
     words = F.transform(raw_words(F.col("text")), lower_ascii)
@@ -62,7 +55,7 @@ class TestIndex:
     __test__ = False
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS):
-        self.docs, self.items, self.window = keyed(docs), item_words(items), window
+        self.docs, self.items, self.window = docs.select("doc_id", "text", *key_columns()), item_words(items), window
         self.total = self.items.agg(F.sum(F.size("words"))).first()[0] or 0
         self.places = self.items.select("e", F.posexplode("words").alias("q", "term"))
         vocabulary = self.near(self.places.select("term").distinct())
@@ -136,7 +129,7 @@ class TestIndex:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the row's key for every row of ``docs``.
 
     Null texts have no words. Null and repeated ids stay, one row each, judged by their own text. An item without an id counts as one
     with an empty id. Items repeated under one id count once. Empty tables give no rows, or documents without hits.
@@ -156,11 +149,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS)
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        *KEY,
     )
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop(*KEY)
 
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import crc_mod, map_batches, read_table, stored
+from slotledger.llm.common import KEY, crc_mod, key_columns, map_batches, read_table, stored
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 TRAIN_DOCS = 1_000
@@ -234,7 +234,7 @@ def _worker_memory(path: str, table) -> Memory:
 
 
 def languages(docs: DataFrame, langs: list[str], p: np.ndarray, path: str = VOCABULARY, step: int = 200) -> DataFrame:
-    """doc_id, lang_pred and score for every row, from the text alone.
+    """doc_id, the row's key, lang_pred and score for every row, from the text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. The score is the language's share of
     the likelihoods. Repeated rows and null ids stay; ties go to the first language in order; an empty table gives none.
@@ -257,11 +257,13 @@ def languages(docs: DataFrame, langs: list[str], p: np.ndarray, path: str = VOCA
                         if words:
                             pred[k], score[k] = langs[best[k]], top[k]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
+                    [*(part.column(c) for c in ("doc_id", *KEY)), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                    ["doc_id", *KEY, "lang_pred", "score"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select("doc_id", *key_columns(), "text")
+    return map_batches(rows, run, f"doc_id {kind}, k long, h long, lang_pred string, score double")
 
 
 def held_out(key):

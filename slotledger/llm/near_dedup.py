@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import map_batches, read_table, stored, text_or_empty
+from slotledger.llm.common import KEY, key_columns, map_batches, read_table, stored, text_or_empty
 from slotledger.llm.components import components
 
 # Fixed values of the fingerprint.
@@ -52,14 +52,16 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row; null texts are empty."""
+    """doc_id, key and fp (signed 64 bits) of every row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps, pa.int64())], [*names, "fp"])
 
-    return map_batches(docs.select("doc_id", text_or_empty(F.col("text")).alias("text")), run, "doc_id long, fp long")
+    names = ["doc_id", *KEY]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key_columns(), text_or_empty(F.col("text")).alias("text"))
+    return map_batches(rows, run, "doc_id long, k long, h long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -122,19 +124,30 @@ def links(distinct: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_B
     return _bucket_links(buckets, radius).union(_crowd_links(crowds))
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """doc_id, key, fp and root (the smallest fingerprint of the component) of every row."""
+    rows = stored(fingerprints(docs), "fingerprints")
+    distinct = stored(rows.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(distinct, radius, small_bucket))
+    placed = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return rows.join(placed, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for every row.
 
     Null and empty texts have fingerprint zero and link like any other. Rows without an id take part; a component of such
     rows only has a null id. Repeated rows stay, one each. An empty table gives none; other columns are ignored.
     """
-    rows = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius, small_bucket))
-    placed = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = placed.join(lowest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = stored(grouped(docs, radius, small_bucket), "near-groups")
+    lowest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The key of one row of each group: the smallest id (null last), then the smallest hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *KEY)).alias("first")
+    return grouped(docs, radius).groupBy("root").agg(first).select("first.k", "first.h")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import map_batches, read_table, text_or_empty
+from slotledger.llm.common import KEY, key_columns, map_batches, read_table, text_or_empty
 
 # Fixed value of the operator.
 WINDOW = 35
@@ -38,7 +38,6 @@ SALTS = 64
 OUT_ROWS = 2_000
 MOST_WORDS = 300_000
 
-KEY = ["k", "h"]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,9 +76,8 @@ def anchors(words: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells apart rows with one id, or none, by their text."""
-    text = text_or_empty(F.col("text"))
-    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("doc_id", "text").alias("h"), "doc_id", text.alias("text"))
+    """The rows' key, doc_id and text."""
+    return docs.select(*key_columns(), "doc_id", text_or_empty(F.col("text")).alias("text"))
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
