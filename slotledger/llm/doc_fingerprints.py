@@ -54,13 +54,13 @@ def vote_sums(term: Column) -> list[Column]:
 
 
 def voted(k: int, n: Column) -> Column:
-    """Word ``k`` of the fingerprint: bit set where over half of ``n`` terms have it set."""
+    """Word ``k`` of the fingerprint: bit set where over half of ``n`` terms have it set. Zero without terms: a null's hash is no vote."""
     bits = []
     for i in range(32):
         s = F.col(f"s{k * 32 + i}")
         for count, at in ((s.bitwiseAND(F.lit(LOW_LANE)), i), (F.shiftrightunsigned(s, 32), i + 32)):
             bits.append(F.when(2 * count > n, F.lit(1 << at if at < 63 else -(1 << 63))).otherwise(F.lit(0)))
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return F.when(n > 0, reduce(lambda a, b: a.bitwiseOR(b), bits)).otherwise(F.lit(0))
 
 
 def hex_of(*words: str) -> Column:

@@ -35,7 +35,7 @@ MOST_WORDS = 200_000
 UNDETERMINED = "und"
 
 # Fixed value: the word mark of the vocabulary.
-MARK = "▁"
+MARK = chr(0x2581)
 
 _LETTERS = re.compile(rf"[^\W\d_]{{1,{MOST_LETTERS}}}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)

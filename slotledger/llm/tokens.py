@@ -18,11 +18,13 @@ from tokenizers import Tokenizer
 TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 # White space other than the plain space and the line feed.
-OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0" + "".join(
+    map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 ADJACENT = ("  ", " \n", "\n ")
 
 #: The compiled merges are used for code points below this; tests compare them with the tokenizer library there.
-COMPILED_BELOW = "ɐ"
+COMPILED_BELOW = chr(0x250)
 
 
 @lru_cache(maxsize=4)
