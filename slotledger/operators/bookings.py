@@ -26,38 +26,44 @@ def dangling(bookings: DataFrame, employees: DataFrame) -> DataFrame:
     )
 
 
-# Most slots gathered into one map. A room with more is spread over several maps.
-PART_SLOTS = 10_000
+def with_dates(bookings: DataFrame) -> DataFrame:
+    """Turn date keys into dates. A key not written as an ISO date is kept as text but has no date to report under."""
+    iso = F.col("date").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    return bookings.withColumn("date_raw", F.col("date")).withColumn(
+        "date", F.when(iso, F.try_to_date("date_raw", "yyyy-MM-dd"))
+    )
 
 
-def _with_parts(bookings: DataFrame, part_slots: int) -> DataFrame:
-    """Add ``part``: 0 in rooms of ordinary size, else which of the room's maps the slot goes into.
+def day_key(bookings: DataFrame) -> Column:
+    """The text a day is stored under: as it was written, where that is known, else the ISO date."""
+    iso = F.date_format("date", "yyyy-MM-dd")
+    return F.coalesce("date_raw", iso) if "date_raw" in bookings.columns else iso
 
-    The room sizes are one row per room; a room with very many slots is only ever on the bookings' side of the join.
-    """
-    parts = F.ceil(F.count("*") / part_slots).alias("parts")
-    sizes = bookings.groupBy(*GROUP_KEYS).agg(parts)
-    part = F.pmod(F.xxhash64("slot"), F.col("parts")).cast("int")
-    return bookings.join(sizes, list(GROUP_KEYS)).select(*SLOT_KEYS, "user_id", part.alias("part"))
+
+def _rooms(bookings: DataFrame, key: str, parts: int) -> DataFrame:
+    """The bookings by day text, shift, kind and part. A slot's part depends on the slot alone, never on how many there are."""
+    part = F.pmod(F.xxhash64("slot"), F.lit(parts)).cast("int").alias("part")
+    return bookings.select(day_key(bookings).alias(key), "shift", "kind", part, "slot", "user_id")
 
 
 def _gather(key: str, value: str) -> Column:
     return F.map_from_entries(F.collect_list(F.struct(key, value)))
 
 
-def nest_bookings(bookings: DataFrame, part_slots: int = PART_SLOTS) -> DataFrame:
-    """One row per date holding shift -> kind -> slot -> user, or several where a room has very many slots.
+def nest_bookings(bookings: DataFrame, parts: int = 1) -> DataFrame:
+    """``parts`` rows per date text at most, holding shift -> kind -> slot -> user.
 
-    Reads the bookings twice, for the room sizes and for the maps.
+    With more than one part every room is dealt over them alike, whatever its size, so ``date`` and ``part`` are the key. One read,
+    no join. Days without a proper date keep the text they were stored under.
     """
-    slots = _with_parts(bookings, part_slots)
-    rooms = slots.groupBy(*GROUP_KEYS, "part").agg(_gather("slot", "user_id").alias("slots"))
+    slots = _rooms(bookings, "date", parts)
+    rooms = slots.groupBy("date", "shift", "kind", "part").agg(_gather("slot", "user_id").alias("slots"))
     shifts = rooms.groupBy("date", "part", "shift").agg(_gather("kind", "slots").alias("kinds"))
     return shifts.groupBy("date", "part").agg(_gather("shift", "kinds").alias("day"))
 
 
 def flatten_bookings(days: DataFrame) -> DataFrame:
-    """The inverse of ``nest_bookings``. Absent or NULL levels give no rows."""
+    """The inverse of ``nest_bookings``, with the date as text (see ``with_dates``). Absent or NULL levels give no rows."""
     return (
         days.select("date", F.explode("day").alias("shift", "kinds"))
         .select("date", "shift", F.explode("kinds").alias("kind", "slots"))
@@ -84,16 +90,16 @@ def _cell(shift: Column, kind: Column, held: Column) -> Column:
     return F.struct(shift.alias("shift"), kind.alias("kind"), held.cast("bigint").alias("held"))
 
 
-def day_image(bookings: DataFrame, part_slots: int = PART_SLOTS) -> DataFrame:
-    """What a room shows: per (date, shift, kind) the slots with their users, as a map and as sorted text.
+def day_image(bookings: DataFrame, parts: int = 1) -> DataFrame:
+    """What a room shows: per (day text, shift, kind, part) the slots with their users, as a map and as sorted text.
 
-    Rooms with very many slots are shown in several parts. Reads the bookings twice, like ``nest_bookings``.
+    ``parts`` is as in ``nest_bookings``. A slot without a user shows an empty one.
     """
     pairs = F.array_sort(F.collect_list(F.struct("slot", "user_id")))
-    text = F.array_join(F.transform("pairs", lambda p: F.concat(p["slot"], F.lit("="), p["user_id"])), ",")
+    shown = F.transform("pairs", lambda p: F.concat(p["slot"], F.lit("="), F.coalesce(p["user_id"], F.lit(""))))
     return (
-        _with_parts(bookings, part_slots)
-        .groupBy(*GROUP_KEYS, "part")
+        _rooms(bookings, "day", parts)
+        .groupBy("day", "shift", "kind", "part")
         .agg(pairs.alias("pairs"))
-        .select(*GROUP_KEYS, "part", F.map_from_entries("pairs").alias("slots"), text.alias("image"))
+        .select("day", "shift", "kind", "part", F.map_from_entries("pairs").alias("slots"), F.array_join(shown, ",").alias("image"))
     )

@@ -16,8 +16,10 @@ from slotledger.operators import utilization as U
 from slotledger.operators.replay import replay
 from slotledger.plans import changefeed
 from slotledger.plans import fixtures as X
-from slotledger.schemas import Settings
-from slotledger.session import checkpoint, tune
+from slotledger.schemas import STORED_TABLES, Settings
+from slotledger.session import checkpoint, shared_path, tune
+from slotledger.sinks import state
+from slotledger.sources import snapshot
 from slotledger.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +53,28 @@ def _period_bookings(spark: SparkSession, sf: str, period: str, ref: str) -> Dat
 
 @query
 def bookings_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    return B.flatten_bookings(B.nest_bookings(checkpoint(X.bookings(spark, sf))))
+    days = B.flatten_bookings(B.nest_bookings(X.bookings_raw(spark, sf)))
+    return B.with_dates(days).select("date", "date_raw", "shift", "kind", "slot", "user_id")
+
+
+@query
+def snapshot_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The bookings as they come back from the stored tables, and from day documents in one part and in three."""
+    held = checkpoint(X.bookings_raw(spark, sf))
+    columns = ("date", "date_raw", "shift", "kind", "slot", "user_id")
+    tables = {name: spark.createDataFrame([], schema) for name, schema in STORED_TABLES.items()}
+    state.write_tables(tables | {"bookings": held}, store := shared_path(spark, "tables"))
+    state.write_day_documents(held, days := shared_path(spark, "days"))
+    state.write_day_documents(held, parts := shared_path(spark, "parts"), parts=3)
+    back = {
+        "tables": snapshot.read_tables(spark, store)["bookings"],
+        "days": state.read_day_documents(spark, days),
+        "parts": state.read_day_documents(spark, parts),
+    }
+    first, *rest = [table.select(F.lit(name).alias("source"), *columns) for name, table in back.items()]
+    for table in rest:
+        first = first.unionByName(table)
+    return first
 
 
 @query
@@ -71,7 +94,7 @@ def day_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def day_image(spark: SparkSession, sf: str) -> DataFrame:
-    return B.day_image(checkpoint(X.bookings(spark, sf))).drop("slots")
+    return B.day_image(X.bookings_raw(spark, sf)).drop("slots")
 
 
 @query

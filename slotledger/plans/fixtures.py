@@ -100,6 +100,20 @@ def bookings(
     )
 
 
+def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bookings with the text their day is stored under: some days are written in a way that is no date."""
+    odd = F.col("user_id").endswith("7")
+    text = F.date_format("date", "yyyy-MM-dd"), F.date_format("date", "yyyy/MM/dd")
+    return bookings(spark, sf_dir).select(
+        F.when(~odd, F.col("date")).alias("date"),
+        F.when(odd, text[1]).otherwise(text[0]).alias("date_raw"),
+        "shift",
+        "kind",
+        "slot",
+        "user_id",
+    )
+
+
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The employee table, from ``customer``. One market segment is external staff, so its bookings dangle."""
     key = F.col("c_custkey")

@@ -36,6 +36,10 @@ select date, shift, kind, slot, 'e_' || min(o_custkey) as user_id from (
     o_custkey
   from lineitem join orders on l_orderkey = o_orderkey) t
 group by date, shift, kind, slot""",
+    "bookings_raw": """
+select case when user_id like '%7' then null else date end as date,
+  case when user_id like '%7' then strftime(date, '%Y/%m/%d') else strftime(date, '%Y-%m-%d') end as date_raw, shift, kind, slot, user_id
+from bookings""",
     "employees": """
 select 'e_' || c_custkey as id, c_custkey as ordinal, c_name as name, c_mktsegment as department,
   case c_custkey % 4 when 0 then 'day' when 1 then 'evening' when 2 then 'night' else 'weekend' end as shift,
@@ -152,6 +156,7 @@ from commands group by kind, slot""",
 
 # Which views a view is built from.
 NEEDS = {
+    "bookings_raw": ["bookings"],
     "commands_raw": ["commands"],
     "worked": ["bookings"],
     "config_ints": ["config_cmds"],
@@ -283,7 +288,14 @@ _SHIFTS = f"case when len({_SHIFT_ITEMS}) > 0 then {_SHIFT_ITEMS} else ['day'] e
 _OUTCOMES = with_views("select seq, date, shift, kind, slot, outcome, \"by\" from outcomes", "outcomes")
 
 SQL = {
-    "bookings_flatten": with_views("select date, shift, kind, slot, user_id from bookings", "bookings"),
+    "bookings_flatten": with_views(
+        "select date, date_raw, shift, kind, slot, user_id from bookings_raw", "bookings_raw"
+    ),
+    "snapshot_round_trip": with_views(
+        """select source, date, date_raw, shift, kind, slot, user_id
+from bookings_raw, (select unnest(['tables', 'days', 'parts']) as source)""",
+        "bookings_raw",
+    ),
     "bookings_applicable": with_views("select date, shift, kind, slot, user_id from worked", "worked"),
     "bookings_dangling": with_views(
         """select date, shift, kind, slot, user_id from bookings
@@ -299,9 +311,9 @@ left join bookings b on b.date = g.date and b.shift = g.shift and b.kind = g.kin
         "bookings",
     ),
     "day_image": with_views(
-        """select date, shift, kind, 0 as part, string_agg(slot || '=' || user_id, ',' order by slot) as image
-from bookings group by date, shift, kind""",
-        "bookings",
+        """select date_raw as day, shift, kind, 0 as part, string_agg(slot || '=' || user_id, ',' order by slot) as image
+from bookings_raw group by date_raw, shift, kind""",
+        "bookings_raw",
     ),
     "calendar_shifts": """select d as date,
   unnest(case when isodow(d) >= 6 then ['weekend'] else ['day', 'evening', 'night'] end) as shift

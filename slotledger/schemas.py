@@ -76,5 +76,20 @@ SNAPSHOT_DOCUMENT = _struct(
     feedback=T.ArrayType(FEEDBACK_DOCUMENT),
 )
 
+# The stored tables, partition columns included, so that reading never has to infer a type.
+STORED_TABLES = {
+    "settings": _struct(
+        **dict.fromkeys(DEFAULT_SETTINGS, _long), **dict.fromkeys(LIST_SETTINGS, T.ArrayType(_long)), stored=_text
+    ),
+    "employees": _struct(
+        id=_text, ordinal=_long, name=_text, shift=_text, shifts=T.ArrayType(_text), department=_text,
+        target_days=_long, remote=_flag, has_car=_flag,
+    ),
+    "bookings": _struct(shift=_text, kind=_text, slot=_text, user_id=_text, date_raw=_text, date=T.DateType()),
+    "feedback": _struct(
+        id=_text, ordinal=_long, name=_text, message=_text, category=_text, ts=T.TimestampType(), read=_flag
+    ),
+}
+
 # One request as logged: its arrival number and time, the operation, the caller's authority, and the body as received.
 REQUEST = _struct(seq=_long, ts=T.TimestampType(), op=_text, is_admin=_flag, body=_text)

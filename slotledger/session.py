@@ -42,16 +42,23 @@ def local_session(cores: int = 8, app: str = "slotledger") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or on one machine a temporary one where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
+    if not is_one_machine(context.master) and not context.getCheckpointDir():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="slotledger-"))
     return context.getCheckpointDir()
 
 
+def is_one_machine(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path of its own below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 
 from slotledger.functions.periods import resolve_period
@@ -21,10 +23,11 @@ def export_report(
 ) -> str:
     """Write every sheet of the report as parquet or CSV and return the report's folder.
 
-    The bookings of the period are read once and kept for all sheets.
+    The bookings of the period are read once and kept for all sheets. A period's name may be any text (which then means the
+    year), so it is escaped in the folder's name.
     """
     start, end = resolve_period(period, ref)
-    folder = f"{out.rstrip('/')}/report-{period}-{start.isoformat()}"
+    folder = f"{out.rstrip('/')}/report-{quote(period, safe="")}-{start.isoformat()}"
     columns = ("date", "shift", "kind", "user_id")
     kept = within(bookings, start, end).select(*columns).persist()
     try:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slotledger.operators.bookings import nest_bookings
+from slotledger.operators.bookings import flatten_bookings, nest_bookings, with_dates
+from slotledger.schemas import DAY_DOCUMENT, STORED_TABLES
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Replace the stored state. Give it another path than the tables were read from."""
     for name, table in tables.items():
+        types = {f.name: f.dataType for f in STORED_TABLES[name]}
+        table = table.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in table.columns])
         if name == "bookings":
             _write_bookings(table, f"{path}/{name}", "static")
         else:
@@ -28,11 +32,21 @@ def _write_bookings(bookings: DataFrame, path: str, overwrite: str) -> None:
     writer.option("partitionOverwriteMode", overwrite).parquet(path)
 
 
-def day_documents(bookings: DataFrame) -> DataFrame:
-    """One JSON text per date: ``{"date": ..., "day": {shift: {kind: {slot: user}}}}``."""
-    return nest_bookings(bookings).select(F.to_json(F.struct("date", "day")).alias("value"))
+def day_documents(bookings: DataFrame, parts: int = 1) -> DataFrame:
+    """One JSON text per date text: ``{"date": ..., "day": {shift: {kind: {slot: user}}}}``.
 
+    With more ``parts`` up to that many texts per date, each with its ``part``; date and part are then the key.
+    """
+    keys = ("date", "day") if parts == 1 else ("date", "part", "day")
+    return nest_bookings(bookings, parts).select(F.to_json(F.struct(*keys)).alias("value"))
 
-def write_day_documents(bookings: DataFrame, path: str) -> None:
-    """Write the nested form as JSON lines, a line per date."""
-    day_documents(bookings).write.mode("overwrite").text(path)
+
+def read_day_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The bookings that ``write_day_documents`` stored. A damaged line is an error."""
+    schema = T.StructType([T.StructField("date", T.StringType()), T.StructField("day", DAY_DOCUMENT)])
+    return with_dates(flatten_bookings(spark.read.schema(schema).json(path, mode="FAILFAST")))
+
+
+def write_day_documents(bookings: DataFrame, path: str, parts: int = 1) -> None:
+    """Write the nested form as JSON lines, a line per date and part."""
+    day_documents(bookings, parts).write.mode("overwrite").text(path)

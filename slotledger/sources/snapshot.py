@@ -7,16 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotledger.operators.bookings import flatten_bookings
-from slotledger.schemas import DEFAULT_SETTINGS, LIST_SETTINGS, SNAPSHOT_DOCUMENT, Settings
-
-TABLES = ("settings", "employees", "bookings", "feedback")
+from slotledger.operators.bookings import flatten_bookings, with_dates
+from slotledger.schemas import DEFAULT_SETTINGS, LIST_SETTINGS, SNAPSHOT_DOCUMENT, STORED_TABLES, Settings
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a snapshot document. A missing file is an office without people or bookings."""
+    """The tables of a snapshot document. A missing file is an office without people or bookings.
+
+    A damaged document is an error here and now, before anything is written from it. One task parses a document, as it is
+    one JSON value; at volume, read the request log or the stored tables instead.
+    """
     try:
-        document = spark.read.schema(SNAPSHOT_DOCUMENT).json(path, multiLine=True)
+        document = spark.read.schema(SNAPSHOT_DOCUMENT).json(path, multiLine=True, mode="FAILFAST")
+        # One row per document; every section is named, so every section is parsed.
+        document.select("config", *(F.size(c) for c in ("employees", "bookings", "feedback"))).write.format("noop").mode("overwrite").save()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -63,14 +67,6 @@ def normalize_settings(config: DataFrame) -> DataFrame:
     return config.select(*numbers, *lists, F.to_json("config").alias("stored"))
 
 
-def with_dates(bookings: DataFrame) -> DataFrame:
-    """Turn date keys into dates. A key not written as an ISO date is kept as text but has no date to report under."""
-    iso = F.col("date").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
-    return bookings.withColumn("date_raw", F.col("date")).withColumn(
-        "date", F.when(iso, F.try_to_date("date_raw", "yyyy-MM-dd"))
-    )
-
-
 def report_settings(settings: DataFrame) -> Settings:
     """The one settings row as plain numbers."""
     row = settings.select("desks", "parking", "targetDays").first()
@@ -78,8 +74,8 @@ def report_settings(settings: DataFrame) -> Settings:
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables ``write_tables`` stored."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    """The tables ``write_tables`` stored, empty ones included."""
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in STORED_TABLES.items()}
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:

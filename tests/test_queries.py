@@ -15,7 +15,8 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -23,7 +24,7 @@ def test_query_matches_sql(spark, con, small, name):
     assert compare(spark, con, name, QUERIES[name], SQL[name], small) > 0
 
 
-@pytest.mark.parametrize("name", ["commands", "commands_raw", "bookings", "employees", "config_cmds", "employee_cmds", "add_requests", "feedback_cmds"])
+@pytest.mark.parametrize("name", ["commands", "commands_raw", "bookings", "bookings_raw", "employees", "config_cmds", "employee_cmds", "add_requests", "feedback_cmds"])
 def test_inputs_match_sql(spark, con, small, name):
     from slotledger.plans.oracle import with_views
 
@@ -44,6 +45,13 @@ def test_no_query_crosses_or_loops(spark, small, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["bookings_flatten", "day_image"])
+def test_nesting_reads_once(spark, small, name):
+    text = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 2 and text.count("Join") == 1  # lineitem and its orders, in the fixture
+    assert "ExistingRDD" not in text
+
+
 def test_report_bounds_reach_the_scan(spark, small):
     text = plan(QUERIES["summary_month"](spark, small))
     scan = next(line for line in text.splitlines() if "PushedFilters" in line and "l_shipdate" in line)

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from conftest import rows
 from slotledger.operators.employees import current_employees, employee_rejects
 from slotledger.operators.feedback import current_feedback
@@ -8,7 +10,7 @@ from slotledger.operators.replay import replay
 from slotledger.operators.settings import effective_lists, effective_settings
 from slotledger.operators.validation import valid_commands, validate_commands
 from slotledger.plans.changefeed import change_feed
-from slotledger.sinks.state import write_day_documents, write_days, write_tables
+from slotledger.sinks.state import read_day_documents, write_day_documents, write_days, write_tables
 from slotledger.sources import requests as R
 from slotledger.sources import snapshot as S
 
@@ -205,3 +207,44 @@ def test_day_documents(spark, tmp_path):
     write_day_documents(held, str(tmp_path / "days"))
     (line,) = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "days")).collect()]
     assert line == {"date": "2026-01-05", "day": {"day": {"desks": {"1": "a"}, "parking": {"1": "b"}}}}
+
+
+def test_day_documents_without_a_date(spark, tmp_path):
+    held = spark.createDataFrame(
+        [(D(2026, 1, 5), "2026-01-05", "day", "desks", "1", "a"), (None, "2026-1-7", "day", "desks", "1", "b")],
+        "date date, date_raw string, shift string, kind string, slot string, user_id string",
+    )
+    for parts in (1, 2):
+        write_day_documents(held, str(tmp_path / f"days{parts}"), parts)
+        assert rows(read_day_documents(spark, str(tmp_path / f"days{parts}")), *held.columns) == rows(held)
+
+
+def test_empty_and_dateless_stores_come_back(spark, tmp_path):
+    empty = S.read_document(spark, str(tmp_path / "nothing.json"))
+    write_tables(empty, str(tmp_path / "empty"))
+    back = S.read_tables(spark, str(tmp_path / "empty"))
+    assert [back[n].count() for n in ("settings", "employees", "bookings", "feedback")] == [1, 0, 0, 0]
+    dateless = spark.createDataFrame(
+        [(None, "2026-1-7", "day", "desks", "1", "b")], "date date, date_raw string, shift string, kind string, slot string, user_id string"
+    )
+    write_tables(empty | {"bookings": dateless}, str(tmp_path / "dateless"))
+    found = S.read_tables(spark, str(tmp_path / "dateless"))["bookings"]
+    assert dict(found.dtypes)["date"] == "date" and rows(found, *dateless.columns) == rows(dateless)
+
+
+@pytest.mark.parametrize("text", ['{"bookings": {"2026-01-05": ', "[1, 2", "not json"])
+def test_damaged_snapshot_is_an_error(spark, tmp_path, text):
+    (tmp_path / "state.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        S.read_document(spark, str(tmp_path / "state.json"))
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from slotledger.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)
