@@ -10,9 +10,13 @@ from slotledger.operators.settings import target_as_of
 from slotledger.operators.skew import LARGE_ROWS, LargeGroups, join_unique, large_groups
 from slotledger.schemas import DEFAULT_TARGET_DAYS, EMPLOYEE_NOT_FOUND, SHIFTS
 
-BAD_TARGET = "Bad target days"
+# Fixed value: the name of an employee added without one.
 NEW_EMPLOYEE = "New Employee"
 
+BAD_TARGET = "Bad target days"
+# The operation of a request that was to add names and had none that could be used.
+ADD_NONE = "add_none"
+
 
 def requested_names(requests: DataFrame, *kept: str) -> DataFrame:
     """The employees asked for: a row per usable name of a list, else one for the single name.
@@ -47,7 +51,7 @@ def judge(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
     large = large_groups(log, ["id"], large_rows)
     seq, added, ended = F.col("seq"), F.col("added"), F.col("ended")
     alive = (seq > added) & (ended.isNull() | (seq <= ended))
-    carried_out = F.when(F.col("op") == "add", seq == added).otherwise(alive)
+    carried_out = F.when(F.col("op") == "add", seq == added).when(F.col("op") == ADD_NONE, True).otherwise(alive)
     reason = F.when(F.col("op") == "add", BAD_TARGET).otherwise(EMPLOYEE_NOT_FOUND)
     return join_unique(log, lifespans(log, large), "id", large).withColumn(
         "error", F.when(~F.coalesce(carried_out, F.lit(False)), reason)
@@ -60,8 +64,15 @@ def employee_rejects(log: DataFrame) -> DataFrame:
 
 
 def employee_changes(log: DataFrame) -> DataFrame:
-    """The change events of the employee log: every command that was carried out."""
-    return judge(log).where(F.col("error").isNull()).select(
+    """The change events of the employee log: one per request that was carried out.
+
+    ``ref`` has the ids it dealt with, several of an add with several names, none of one without a usable name.
+    """
+    done = judge(log).where(F.col("error").isNull())
+    is_add = F.col("op").isin("add", ADD_NONE)
+    ids = F.coalesce(F.array_join(F.sort_array(F.collect_list("id")), ","), F.lit(""))
+    adds = done.where(is_add).groupBy("seq").agg(ids.alias("id"), F.lit("add").alias("op"))
+    return adds.unionByName(done.where(~is_add).select("seq", "id", "op")).select(
         F.lit("employees").alias("log"),
         "seq",
         F.lit("employees").alias("action"),
@@ -76,10 +87,11 @@ def current_employees(
     """The employees left at the end of the log, with the last value sent of every field.
 
     One aggregate per id with a ``max_by`` per field does the folding; its partial step runs before the shuffle.
-    A field that was not sent, or was sent with an unusable value, is NULL by then and does not count. An add without
+    A field that was not sent, or was sent with an unusable value, is NULL by then and does not count; a name or department that
+    the log says was sent (``name_sent``, ``department_sent``) counts as NULL too. An add without
     a target takes the one configured at that time, which needs the settings log.
     """
-    alive = judge(log, large_rows).where(F.col("error").isNull() & F.col("ended").isNull())
+    alive = judge(log, large_rows).where(F.col("error").isNull() & F.col("ended").isNull() & (F.col("op") != ADD_NONE))
     is_add = F.col("op") == "add"
     lone_shift = F.when(F.col("shifts").isNull() & F.col("shift").isin(*SHIFTS), F.col("shift"))
     # Only an update leaves the shifts alone when it does not send any; an add falls back to its single shift.
@@ -98,6 +110,7 @@ def current_employees(
         to_int(F.col("target_days")).alias("target_days"),
         "remote",
         "has_car",
+        *((_was_sent(log, name) | is_add).alias(f"{name}_sent") for name in NULLABLE),
     )
     folded = sent.groupBy("id").agg(
         F.min("added").alias("seq"),
@@ -120,5 +133,14 @@ def current_employees(
     )
 
 
+# Fields whose NULL can be a value.
+NULLABLE = ("name", "department")
+
+
+def _was_sent(log: DataFrame, name: str) -> Column:
+    return F.col(f"{name}_sent") if f"{name}_sent" in log.columns else F.col(name).isNotNull()
+
+
 def _last_sent(name: str) -> Column:
-    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
+    sent = F.col(f"{name}_sent") if name in NULLABLE else F.col(name).isNotNull()
+    return F.max_by(name, F.when(sent, F.col("seq"))).alias(name)

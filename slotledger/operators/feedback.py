@@ -30,13 +30,15 @@ def clean_message(message: Column) -> Column:
 def clean_submissions(log: DataFrame) -> DataFrame:
     """Submissions as they would be stored, with the error of those that are not."""
     message = clean_message(F.col("message"))
+    # A category sent as null stays null; only a missing one gets the default.
+    missing = ~F.col("category_sent") if "category_sent" in log.columns else F.col("category").isNull()
     stamp = [name for name in ("ts",) if name in log.columns]
     return log.where(F.col("op") == "submit").select(
         "seq",
         "fb_id",
         clean_name(F.col("name")).alias("name"),
         message.alias("message"),
-        F.coalesce("category", F.lit(GENERAL)).alias("category"),
+        F.when(missing, GENERAL).otherwise(F.col("category")).alias("category"),
         *stamp,
         F.when(message == "", MESSAGE_REQUIRED).alias("error"),
     )

@@ -81,3 +81,21 @@ def as_of(rows: DataFrame, history: DataFrame, order: str, value: str, along: Da
         .withColumn(value, F.coalesce(value, "_offset"))
         .drop("range", "_offset", "_row")
     )
+
+
+def running_last(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """Replace each of ``values`` by its last value that is not NULL, up to and including this row in ``order``.
+
+    The rows are gone through three times (cut, summaries, scan): pass in a table or a checkpoint.
+    """
+    cutter, _ = _cutter(rows, order)
+    cut = cutter(rows)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    last = cut.groupBy("range").agg(
+        *(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_{v}") for v in values)
+    )
+    offsets = last.select("range", *(F.last(f"_{v}", ignorenulls=True).over(earlier).alias(f"_{v}") for v in values))
+    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = cut.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values})
+    joined = seen.join(F.broadcast(offsets), "range")  # at most MAX_RANGES rows
+    return joined.withColumns({v: F.coalesce(v, f"_{v}") for v in values}).drop("range", *(f"_{v}" for v in values))

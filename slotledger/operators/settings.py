@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.functions.text import comma_items, int_items, to_int
-from slotledger.operators.scan import as_of
+from slotledger.operators.scan import as_of, running_last
 from slotledger.schemas import DEFAULT_SETTINGS, DEFAULT_TARGET_DAYS, LIST_SETTINGS
+from slotledger.session import checkpoint
 
 
 def effective_settings(log: DataFrame) -> DataFrame:
@@ -46,15 +47,26 @@ def effective_lists(log: DataFrame) -> DataFrame:
 
 
 def settings_changes(log: DataFrame) -> DataFrame:
-    """The change events of the settings log. Every command makes one, with NULL where its value is unreadable."""
-    numbers = F.array_join(F.transform(int_items(comma_items(F.col("raw_value"))), lambda n: n.cast("string")), ",")
-    value = F.when(F.col("key").isin(*LIST_SETTINGS), numbers).otherwise(to_int(F.col("raw_value")).cast("string"))
-    return log.select(
+    """The change events of the settings log: one per request, with all settings as they are after it.
+
+    A request is one ``seq``, however many settings it sends. One that sends none, or nothing readable, is an event too; it
+    has a row with a NULL key. The detail is a JSON object.
+    """
+    number, listed = to_int(F.col("raw_value")), int_items(comma_items(F.col("raw_value")))
+    numbers = [F.max(F.when(F.col("key") == key, number)).alias(key) for key in DEFAULT_SETTINGS]
+    texts = F.array_join(F.transform(listed, lambda n: n.cast("string")), ",")
+    lists = [F.max(F.when(F.col("key") == key, texts)).alias(key) for key in LIST_SETTINGS]
+    requests = checkpoint(log.groupBy("seq").agg(*numbers, *lists))
+    after = running_last(requests, "seq", [*DEFAULT_SETTINGS, *LIST_SETTINGS])
+    fields = [F.coalesce(key, F.lit(default)).cast("string") for key, default in DEFAULT_SETTINGS.items()]
+    fields += [F.concat(F.lit("["), F.coalesce(key, F.lit("")), F.lit("]")) for key in LIST_SETTINGS]
+    named = [F.concat(F.lit(f'"{key}":'), field) for key, field in zip([*DEFAULT_SETTINGS, *LIST_SETTINGS], fields)]
+    return after.select(
         F.lit("settings").alias("log"),
         "seq",
         F.lit("config").alias("action"),
-        F.col("key").alias("ref"),
-        value.alias("detail"),
+        F.lit(None).cast("string").alias("ref"),
+        F.concat(F.lit("{"), F.concat_ws(",", *named), F.lit("}")).alias("detail"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotledger.functions.periods import resolve_period
-from slotledger.functions.text import shift_list
+from slotledger.functions.text import shift_list, to_int
 from slotledger.operators import bookings as B
 from slotledger.operators import calendar as C
 from slotledger.operators import changes, employees, feedback, presence, settings, spots, validation
@@ -16,9 +16,10 @@ from slotledger.operators import utilization as U
 from slotledger.operators.replay import replay
 from slotledger.plans import changefeed
 from slotledger.plans import fixtures as X
-from slotledger.schemas import STORED_TABLES, Settings
+from slotledger.schemas import LIST_SETTINGS, STORED_TABLES, Settings
 from slotledger.session import checkpoint, shared_path, tune
 from slotledger.sinks import state
+from slotledger.sources import requests as R
 from slotledger.sources import snapshot
 from slotledger.streaming import live
 
@@ -337,6 +338,46 @@ def feedback_count_feed(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.feedback_counts(X.feedback_cmds(spark, sf))
 
 
+# ---- from JSON requests ------------------------------------------------------------------------------------------
+
+
+@query
+def request_bookings(spark: SparkSession, sf: str) -> DataFrame:
+    commands = validation.validate_commands(R.booking_commands(X.requests(spark, sf)))
+    return commands.select("seq", F.col("date").cast("string").alias("date"), "shift", "kind", "slot", "user_id", "error")
+
+
+@query
+def request_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every setting sent, as it is read: a number, or a list as text."""
+    sent = R.settings_commands(X.requests(spark, sf))
+    is_list = F.col("key").isin(*LIST_SETTINGS)
+    value = F.when(is_list, F.col("raw_value")).otherwise(to_int(F.col("raw_value")).cast("string"))
+    return sent.select("seq", "key", value.alias("value"))
+
+
+@query
+def request_employees(spark: SparkSession, sf: str) -> DataFrame:
+    requests = X.requests(spark, sf)
+    current = employees.current_employees(R.employee_commands(requests))
+    return current.withColumn("shifts", F.array_join("shifts", ","))
+
+
+@query
+def request_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    log = R.feedback_commands(X.requests(spark, sf))
+    return feedback.current_feedback(log).select("seq", "fb_id", "name", "message", "category", "read")
+
+
+@query
+def change_feed_requests(spark: SparkSession, sf: str) -> DataFrame:
+    requests = X.requests(spark, sf)
+    outcomes = replay(validation.valid_commands(R.booking_commands(requests)))
+    return changefeed.change_feed(
+        outcomes, R.settings_commands(requests), R.employee_commands(requests), R.feedback_commands(requests)
+    )
+
+
 # ---- streaming twins --------------------------------------------------------------------------------------------
 
 

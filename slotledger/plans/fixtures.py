@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -219,3 +219,76 @@ def feedback_cmds(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("category"),
     )
     return submits.unionByName(edits)
+
+
+# Bodies of the request log by kind; ``$p`` stands for the part's number. Odd in as many ways as clients are.
+CONFIG_BODIES = (
+    "{}",
+    '{"desks": $p}',
+    '{"desks": "$p", "parking": 7}',
+    '{"unavailableDesks": "1, x,3 ,"}',
+    '{"unavailableParking": [1, "2", null, "z"], "year": 2027.9}',
+    "not json",
+    '{"targetDays": null, "desks": true}',
+    '{"targetDays": " +3 ", "color": "blue"}',
+)
+ADD_BODIES = (
+    '{"names": ["A $p", " ", "B"]}',
+    '{"names": [" ", ""]}',
+    '{"name": "  N $p ", "department": "ops", "shifts": "night,x"}',
+    '{"name": "X", "targetDays": "bad"}',
+    '{"targetDays": "4", "shift": "evening"}',
+    "[1]",
+)
+UPDATE_FIELDS = (
+    '"name": null',
+    '"department": null, "shifts": ["nope"]',
+    '"shift": "weekend", "targetDays": 5.9',
+    '"remote": 0, "hasCar": "yes", "targetDays": "x"',
+    '"name": 12, "shifts": "day,night"',
+)
+SUBMIT_BODIES = (
+    '{"message": "  m $p ", "category": null}',
+    '{"message": "m $p", "name": "  "}',
+    '{"message": "   ", "name": "a"}',
+    '{"message": "m $p", "name": "a", "category": "bug"}',
+)
+BOOK_BODIES = (
+    '{"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": $p, "userId": "u$p"}',
+    '{"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": null, "userId": "u$p"}',
+    '{"date": "2026-01-05", "shift": "day", "kind": "desks", "userId": "u"}',
+    '{"date": "2026-01-05", "shift": ["day"], "kind": "desks", "slot": 1, "userId": "u"}',
+    '{"date": "2026-01-05", "shift": "day", "kind": "parking", "slot": true, "userId": 0}',
+    '{"date": 5, "shift": "day", "kind": "parking", "slot": "x", "userId": 7}',
+)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request log with JSON bodies, from ``part``: six requests per part, of all four kinds."""
+    p = F.col("p_partkey")
+
+    def of(bodies: tuple[str, ...]) -> Column:
+        body = F.element_at(F.array(*map(F.lit, bodies)), (p % len(bodies) + 1).cast("int"))
+        return F.replace(body, F.lit("$p"), p.cast("string"))
+
+    def given(prefix: str, step: int) -> Column:
+        return F.concat(F.lit(prefix), F.lower(F.lpad(F.hex(p * 10 + step), 8, "0")))
+
+    update = F.concat(F.lit('{"id": "'), given("e_", 2), F.lit('", '), of(UPDATE_FIELDS), F.lit("}"))
+    rows = (
+        (1, F.lit("config"), of(CONFIG_BODIES)),
+        (2, F.lit("employees/add"), of(ADD_BODIES)),
+        (3, F.lit("employees/update"), update),
+        (4, F.lit("feedback/submit"), of(SUBMIT_BODIES)),
+        (5, F.lit("feedback/delete"), F.concat(F.lit('{"id": "'), given("fb_", 4), F.lit('"}'))),
+        (6, F.lit("book"), of(BOOK_BODIES)),
+    )
+    entries = F.array(*[F.struct((p * 10 + step).alias("seq"), op.alias("op"), body.alias("body")) for step, op, body in rows])
+    return table(spark, sf_dir, "part").select(F.inline(entries)).select(
+        "seq",
+        F.lit(None).cast("timestamp").alias("ts"),
+        "op",
+        # Deleting feedback takes authority, which every third such request lacks.
+        ((F.col("op") != "feedback/delete") | (F.col("seq") % 3 != 0)).alias("is_admin"),
+        "body",
+    )

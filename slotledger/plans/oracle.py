@@ -88,6 +88,48 @@ union all
 select 10 * (conv_id * 100 + turn) + 5, case when conv_id % 3 = 0 then 'delete' else 'read' end,
   case when conv_id % 9 = 0 then -1 else conv_id * 100 end, null, null, null
 from conversations where turn > 0""",
+    # ---- the request log, one row per request; what each body means is written out by hand ----
+    "parts": "select p_partkey as p from part",
+    "settings_sent": """
+select p * 10 + 1 as seq, unnest(case p % 8
+  when 1 then [{'k': 'desks', 'v': p::varchar}]
+  when 2 then [{'k': 'desks', 'v': p::varchar}, {'k': 'parking', 'v': '7'}]
+  when 3 then [{'k': 'unavailableDesks', 'v': '1,3'}]
+  when 4 then [{'k': 'unavailableParking', 'v': '1,2'}, {'k': 'year', 'v': '2027'}]
+  when 6 then [{'k': 'targetDays', 'v': null::varchar}, {'k': 'desks', 'v': '1'}]
+  when 7 then [{'k': 'targetDays', 'v': '3'}]
+  else [{'k': null::varchar, 'v': null::varchar}] end) as e from parts""",
+    "settings_after": """
+select seq, coalesce(last_value(d ignore nulls) over w, '28') as desks, coalesce(last_value(k ignore nulls) over w, '10') as parking,
+  coalesce(last_value(t ignore nulls) over w, '2') as target, coalesce(last_value(y ignore nulls) over w, '2026') as yr,
+  coalesce(last_value(ud ignore nulls) over w, '') as ud, coalesce(last_value(up ignore nulls) over w, '') as up
+from (select seq, max(e.v) filter (e.k = 'desks') as d, max(e.v) filter (e.k = 'parking') as k,
+  max(e.v) filter (e.k = 'targetDays') as t, max(e.v) filter (e.k = 'year') as y,
+  max(e.v) filter (e.k = 'unavailableDesks') as ud, max(e.v) filter (e.k = 'unavailableParking') as up
+  from settings_sent group by seq)
+window w as (order by seq rows between unbounded preceding and current row)""",
+    "added": """
+select p, p * 10 + 2 as seq, 'e_' || lpad(lower(to_hex(p * 10 + 2)), 8, '0') || e.x as id, e.n as name,
+  case when p % 6 = 2 then 'ops' else '' end as department,
+  case p % 6 when 2 then 'night' when 4 then 'evening' else 'day' end as shift,
+  case when p % 6 = 4 then 4 end as target
+from (select p, unnest(case p % 6 when 0 then [{'x': '', 'n': 'A ' || p}, {'x': '_1', 'n': 'B'}]
+  when 2 then [{'x': '', 'n': 'N ' || p}] when 4 then [{'x': '', 'n': 'New Employee'}]
+  when 5 then [{'x': '', 'n': 'New Employee'}] end) as e from parts where p % 6 in (0, 2, 4, 5))""",
+    "submitted": """
+select p, p * 10 + 4 as seq, 'fb_' || lpad(lower(to_hex(p * 10 + 4)), 8, '0') as fb_id,
+  case p % 4 when 0 then 'Anonymous' when 1 then '' else 'a' end as name, 'm ' || p as message,
+  case p % 4 when 0 then null when 1 then 'general' else 'bug' end as category,
+  (p * 10 + 5) % 3 <> 0 as deleted
+from parts where p % 4 <> 2""",
+    "booked": """
+select p * 10 + 6 as seq, case when p % 6 = 5 then '5' else '2026-01-05' end as date,
+  case when p % 6 = 3 then '["day"]' else 'day' end as shift,
+  case when p % 6 >= 4 then 'parking' else 'desks' end as kind,
+  case p % 6 when 0 then p::varchar when 1 then 'None' when 2 then '' when 3 then '1' when 4 then 'True' else 'x' end as slot,
+  case p % 6 when 0 then 'u' || p when 1 then 'u' || p when 4 then null when 5 then '7' else 'u' end as user_id,
+  case p % 6 when 2 then 'Invalid request' when 3 then 'Invalid request' when 4 then 'No user selected' end as error
+from parts""",
     # ---- steps shared by several queries ----
     "worked": """
 select * from bookings
@@ -171,9 +213,27 @@ NEEDS = {
     "outcomes": ["replayed"],
     "moves": ["outcomes"],
     "spots": ["commands"],
+    "config_after": ["config_cmds"],
+    "settings_sent": ["parts"],
+    "settings_after": ["settings_sent"],
+    "added": ["parts"],
+    "submitted": ["parts"],
+    "booked": ["parts"],
 }
 
 
+def _add_config_view() -> None:
+    """Every setting after each command of the settings log, which sends one setting at a time."""
+    numbers = {"desks": ("desks", 28), "parking": ("parking", 10), "targetDays": ("target", 2), "year": ("yr", 2026)}
+    lists = {"unavailableDesks": "ud", "unavailableParking": "up"}
+    after = "coalesce(last_value(case when key = '{key}' then {value} end ignore nulls) over w, '{default}') as {name}"
+    readable = "case when regexp_full_match(raw_value, '[+-]?[0-9]+') then cast(try_cast(raw_value as bigint) as varchar) end"
+    columns = [after.format(key=k, value=readable, default=d, name=n) for k, (n, d) in numbers.items()]
+    columns += [after.format(key=k, value=_INT_ITEMS, default="", name=n) for k, n in lists.items()]
+    VIEWS["config_after"] = f"""
+select seq, {", ".join(columns)} from config_cmds window w as (order by seq rows between unbounded preceding and current row)"""
+
+
 def with_views(body: str, *views: str) -> str:
     """A statement over the named views, with everything they need before them."""
     order: list[str] = []
@@ -281,9 +341,12 @@ MONTH_DATES = [f"1998-02-{day:02d}" for day in range(1, 29)]
 _INT_ITEMS = f"""array_to_string(list_transform(list_filter(
   list_transform(string_split(raw_value, ','), lambda x: trim(x, {_CHARS})),
   lambda x: regexp_full_match(x, '[+-]?[0-9]+')), lambda x: cast(cast(x as bigint) as varchar)), ',')"""
+_CONFIG_JSON = """'{"desks":' || desks || ',"parking":' || parking || ',"targetDays":' || target || ',"year":' || yr
+  || ',"unavailableDesks":[' || ud || '],"unavailableParking":[' || up || ']}'"""
 _SHIFT_ITEMS = f"""list_filter(list_transform(string_split(shifts, ','), lambda x: trim(x, {_CHARS})),
   lambda x: x in ('day', 'evening', 'night', 'weekend'))"""
 _SHIFTS = f"case when len({_SHIFT_ITEMS}) > 0 then {_SHIFT_ITEMS} else ['day'] end"
+_add_config_view()
 
 _OUTCOMES = with_views("select seq, date, shift, kind, slot, outcome, \"by\" from outcomes", "outcomes")
 
@@ -423,20 +486,44 @@ from outcomes where outcome in ('booked', 'freed') group by date, shift, kind"""
   strftime(date, '%Y-%m-%d') || '|' || shift || '|' || kind || '|' || slot as ref,
   case when outcome <> 'freed' then user_id end as detail
 from outcomes where outcome in ('booked', 'rebook', 'freed')
-union all
-select 'settings', seq, 'config', key,
-  case when key in ('unavailableDesks', 'unavailableParking') then {_INT_ITEMS}
-    when regexp_full_match(raw_value, '[+-]?[0-9]+') then cast(cast(raw_value as bigint) as varchar) end
-from config_cmds
+union all select 'settings', seq, 'config', null, {_CONFIG_JSON} from config_after
 union all select 'employees', seq, 'employees', id, op from judged where error is null
-union all select 'feedback', seq, 'feedback_count', fb_id::varchar, count::varchar from feedback_counts""".replace(
-            "cast(cast(raw_value as bigint) as varchar)", "cast(try_cast(raw_value as bigint) as varchar)"
-        ),
+union all select 'feedback', seq, 'feedback_count', fb_id::varchar, count::varchar from feedback_counts""",
         "outcomes",
-        "config_cmds",
+        "config_after",
         "judged",
         "feedback_counts",
     ),
+    "change_feed_requests": with_views(
+        f"""select 'bookings' as log, seq, 'booking' as action, date || '|' || shift || '|' || kind || '|' || slot as ref, user_id as detail
+from (select *, row_number() over (partition by slot order by seq) as n from booked where error is null)
+where slot <> 'None' or n = 1
+union all select 'settings', seq, 'config', null, {_CONFIG_JSON} from settings_after
+union all select 'employees', seq, 'employees', string_agg(id, ',' order by id), 'add' from added group by seq
+union all select 'employees', p * 10 + 2, 'employees', '', 'add' from parts where p % 6 = 1
+union all select 'employees', p * 10 + 3, 'employees', id, 'update' from added where right(id, 2) <> '_1'
+union all select 'feedback', seq, 'feedback_count', fb_id, cast(sum(step) over (order by seq) as varchar) from (
+  select seq, fb_id, 1 as step from submitted union all select seq + 1, fb_id, -1 from submitted where deleted)""",
+        "booked",
+        "settings_after",
+        "added",
+        "submitted",
+    ),
+    "request_bookings": with_views("select seq, date, shift, kind, slot, user_id, error from booked", "booked"),
+    "request_settings": with_views("select seq, e.k as key, e.v as value from settings_sent", "settings_sent"),
+    "request_employees": with_views(
+        """select id, seq as ordinal, case when own and p % 5 = 0 then null when own and p % 5 = 4 then '12' else name end as name,
+  case when own and p % 5 in (1, 4) then 'day' when own and p % 5 = 2 then 'weekend' else shift end as shift,
+  case when own and p % 5 = 1 then 'day' when own and p % 5 = 4 then 'day,night' else shift end as shifts,
+  case when own and p % 5 = 1 then null else department end as department,
+  cast(case when own and p % 5 = 2 then 5 else coalesce(target, 2) end as bigint) as target_days,
+  case when own and p % 5 = 3 then false end as remote, case when own and p % 5 = 3 then true end as has_car
+from (select *, right(id, 2) <> '_1' as own from added)""",
+        "added",
+    ),
+    "request_feedback": with_views(
+        "select seq, fb_id, name, message, category, false as read from submitted where not deleted", "submitted"
+    ),
     "client_state": with_views("select type, id, reserved_by, seq from spots", "spots"),
     "slot_status": with_views(
         """select type, id, case when reserved_by is null then 'free' when reserved_by = 'e_7' then 'mine'

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotledger.functions.json import Field, body
-from slotledger.functions.text import comma_items, int_items, shift_items
-from slotledger.operators.employees import requested_names
+from slotledger.functions.text import comma_items, int_items, shift_items, strip
+from slotledger.operators.employees import ADD_NONE, requested_names
 from slotledger.operators.validation import ADMIN_EMPLOYEE_OPS, ADMIN_FEEDBACK_OPS, authority_error
 from slotledger.schemas import DEFAULT_SETTINGS, LIST_SETTINGS, REQUEST
 
@@ -47,7 +47,7 @@ def booking_commands(requests: DataFrame) -> DataFrame:
 
 
 def settings_commands(requests: DataFrame) -> DataFrame:
-    """``config`` requests as ``(seq, key, raw_value)``, a row per setting sent.
+    """``config`` requests as ``(seq, key, raw_value)``, a row per setting sent, or one with a NULL key where none is.
 
     A list setting sent as anything that cannot be gone through fails the whole request.
     """
@@ -65,7 +65,7 @@ def settings_commands(requests: DataFrame) -> DataFrame:
         failed = failed | F.coalesce(field.sent & ~(field.is_text | field.is_list | field.is_object), F.lit(False))
     return (
         requests.where((F.col("op") == "config") & ~failed)
-        .select("seq", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        .select("seq", F.inline_outer(F.filter(F.array(*entries), lambda e: e.isNotNull())))
         .select("seq", "key", "raw_value")
     )
 
@@ -88,7 +88,9 @@ def _allowed(requests: DataFrame, ops: tuple[str, ...]) -> DataFrame:
 def employee_commands(requests: DataFrame) -> DataFrame:
     """``employees/add``, ``/update`` and ``/delete`` requests as the employee log, refused ones left out.
 
-    Added employees get ids made from the arrival number, which makes them unique and repeatable.
+    Added employees get ids made from the arrival number, which makes them unique and repeatable. A list without a usable name
+    adds nobody but is a request all the same: its row has the operation ``ADD_NONE`` and no id. A name or department
+    sent as null is a value (``name_sent``, ``department_sent``).
     """
     parsed = body(F.col("body"))
     fields = {n: Field(parsed, n) for n in ("id", "name", "department", "shifts", "shift", "remote", "hasCar")}
@@ -118,7 +120,11 @@ def employee_commands(requests: DataFrame) -> DataFrame:
         target,
         none.cast("boolean").alias("remote"),
         none.cast("boolean").alias("has_car"),
+        F.lit(True).alias("name_sent"),
+        F.lit(True).alias("department_sent"),
     )
+    nobody = log.where(F.col("op") == "add").select("seq", names.alias("names"))
+    nobody = nobody.where((F.size("names") > 0) & ~F.exists("names", lambda n: strip(n) != ""))
     edits = log.where(F.col("op") != "add").select(
         "seq",
         fields["id"].text().alias("id"),
@@ -130,8 +136,11 @@ def employee_commands(requests: DataFrame) -> DataFrame:
         target,
         F.when(fields["remote"].sent, fields["remote"].truthy()).alias("remote"),
         F.when(fields["hasCar"].sent, fields["hasCar"].truthy()).alias("has_car"),
+        fields["name"].sent.alias("name_sent"),
+        fields["department"].sent.alias("department_sent"),
     )
-    return adds.unionByName(edits)
+    nobody = nobody.select("seq", F.lit(ADD_NONE).alias("op"))
+    return adds.unionByName(edits).unionByName(nobody, allowMissingColumns=True)
 
 
 def feedback_commands(requests: DataFrame) -> DataFrame:
@@ -147,5 +156,6 @@ def feedback_commands(requests: DataFrame) -> DataFrame:
         fields["name"].text().alias("name"),
         fields["message"].text().alias("message"),
         fields["category"].text().alias("category"),
+        fields["category"].sent.alias("category_sent"),
         F.date_trunc("second", "ts").alias("ts"),
     )

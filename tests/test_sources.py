@@ -130,13 +130,16 @@ def test_feed_from_requests(spark, tmp_path):
     )
     assert [tuple(r) for r in feed.orderBy("seq").collect()] == [
         ("bookings", 1, "booking", "2026-01-05|day|desks|1", "a"),
-        ("settings", 3, "config", "desks", None),
+        ("settings", 3, "config", None, DEFAULTS),
         ("bookings", 4, "booking", "2026-01-05|day|desks|1", None),
         ("employees", 6, "employees", "e_00000006", "add"),
         ("feedback", 7, "feedback_count", "fb_00000007", "1"),
     ]
 
 
+DEFAULTS = '{"desks":28,"parking":10,"targetDays":2,"year":2026,"unavailableDesks":[],"unavailableParking":[]}'
+
+
 def test_requests_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     log_file(tmp_path / "in", [("book", {"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": 1, "userId": "a"})] * 3)
