@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from slotledger.operators.room import BOOKED, FREED, SHOWN
 from slotledger.schemas import SLOT_KEYS
 
+# Before any command.
+NEVER = -(1 << 63)
 
-def settled_bookings(outcomes: DataFrame, keys: Sequence[str] = SLOT_KEYS) -> DataFrame:
-    """Slots still held at the end of the log: the last booking or release of each decides."""
-    last = F.max_by(F.struct("outcome", "user_id", "seq"), "seq").alias("last")
+
+def settled_bookings(outcomes: DataFrame, keys: Sequence[str] = SLOT_KEYS, held: DataFrame | None = None) -> DataFrame:
+    """Slots still held at the end of the log: the last booking or release of each decides.
+
+    ``held`` are the stored bookings the log went on from; slots it did not touch stay as they are.
+    """
+    rows = outcomes.where(F.col("outcome").isin(BOOKED, FREED)).select(*keys, "outcome", "user_id", "seq")
+    if held is not None:
+        since = F.col("booked_seq") if "booked_seq" in held.columns else F.lit(None)
+        before = held.select(*keys, F.lit(BOOKED).alias("outcome"), "user_id", since.cast("bigint").alias("seq"))
+        rows = before.unionByName(rows)
+    last = F.max_by(F.struct("outcome", "user_id", "seq"), F.coalesce("seq", F.lit(NEVER))).alias("last")
     return (
-        outcomes.where(F.col("outcome").isin(BOOKED, FREED))
-        .groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(last)
         .where(F.col("last.outcome") == BOOKED)
         .select(*keys, "last.user_id", F.col("last.seq").alias("booked_seq"))

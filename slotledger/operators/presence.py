@@ -97,10 +97,15 @@ def _people_with_days(bookings: DataFrame, employees: DataFrame, start: dt.date,
 
 
 def attainment(bookings: DataFrame, employees: DataFrame, settings: Settings, period: str, ref: str) -> DataFrame:
-    """Days present against the target, per employee, for a week or month."""
+    """Days present against the target, per employee.
+
+    Days are counted as distinct (user, date) pairs, whatever the length of the period; only the matrix needs the bits.
+    """
     start, end = resolve_period(period, ref)
-    total = F.bit_count("days").cast("bigint")
-    return _people_with_days(bookings, employees, start, end).select(
+    kept = applicable(within(bookings, start, end)).where(F.col("kind").isin(*KINDS))
+    days = kept.select(F.col("user_id").alias("id"), "date").distinct().groupBy("id").agg(F.count("*").alias("days"))
+    total = F.coalesce("days", F.lit(0).cast("bigint"))
+    return employees.join(days, "id", "left").select(
         "id", "ordinal", "name", *_attainment(total, settings, target_weeks(period, start, end))
     )
 

@@ -22,6 +22,7 @@ sticks where they are not, and the composition covers both, so few rounds are ne
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from itertools import islice
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slotledger.operators.room import BOOKED, FREED, Room
-from slotledger.operators.skew import MOST_GROUPS, large_groups
+from slotledger.operators.skew import MOST_GROUPS, LargeGroups, large_groups
 from slotledger.schemas import GROUP_KEYS
 from slotledger.session import checkpoint
 
@@ -42,7 +43,8 @@ CHUNK_ROWS = 4_000_000
 MAX_CHUNKS = MOST_GROUPS
 
 PAYLOAD = ("seq", "slot", "op", "user_id", "is_admin")
-PLACE = "place"
+# Rows that set a room up: from a guess of what came before, and from stored bookings.
+PLACE, STORED = "place", "stored"
 SET, FILL, KEEP = "set", "fill", "keep"
 BY_SLOT, BY_USER = "slot", "user"
 
@@ -52,21 +54,55 @@ def replay(
     keys: Sequence[str] = GROUP_KEYS,
     chunk_rows: int = CHUNK_ROWS,
     max_chunks: int = MAX_CHUNKS,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Outcome of every valid command: the payload plus ``outcome``, ``by`` and ``since``.
 
+    ``held`` are stored bookings (keys, slot, user_id, and ``booked_seq`` where known) that the log goes on from; their
+    numbers are below the log's. Rooms stored in a way the rule would not leave them (a user on two slots, an empty holder) are
+    replayed in one piece, whatever their size.
+
     ``by`` is the holder of the slot in question (after a booking, before a release, and in refusals);
     ``since`` is the ``seq`` of the command that holder booked with. ``seq`` must be unique within a group.
     """
     log = commands.select(*keys, *PAYLOAD)
+    stored = None if held is None else _stored_rows(held, log, keys)
     large = large_groups(log, keys, chunk_rows, max_chunks)
+    if large is not None and stored is not None:
+        large = _without_odd_rooms(large, stored, keys)
     if large is None:
-        return _replay_groups(log, keys)
+        return _replay_groups(_after(stored, log), keys)
     marks = F.broadcast(large.keys)  # fewer than max_chunks rows
     chunks = -(-large.rows // large.limit)
-    return _replay_groups(log.join(marks, list(keys), "left_anti"), keys).unionByName(
-        _replay_chunks(log.join(marks, list(keys), "left_semi"), keys, chunks)
+    rows = _after(stored, log)
+    return _replay_groups(rows.join(marks, list(keys), "left_anti"), keys).unionByName(
+        _replay_chunks(rows.join(marks, list(keys), "left_semi"), keys, chunks)
+    )
+
+
+def _stored_rows(held: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored bookings of the rooms that the log deals with, in the log's columns."""
+    since = F.col("booked_seq") if "booked_seq" in held.columns else F.lit(None)
+    rows = held.select(
+        *keys,
+        since.cast("bigint").alias("seq"),
+        "slot",
+        F.lit(STORED).alias("op"),
+        F.coalesce("user_id", F.lit("")).alias("user_id"),
+        F.lit(False).alias("is_admin"),
     )
+    return rows.join(log.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def _after(stored: DataFrame | None, log: DataFrame) -> DataFrame:
+    return log if stored is None else stored.unionByName(log)
+
+
+def _without_odd_rooms(large: LargeGroups, stored: DataFrame, keys: Sequence[str]) -> LargeGroups | None:
+    """Large groups whose stored rooms have one slot per user: what is composed along chunks is one slot per user."""
+    odd = stored.groupBy(*keys, "user_id").agg(F.count("*").alias("n")).where("n > 1 or user_id = ''").select(*keys)
+    kept = checkpoint(large.keys.join(odd.distinct(), list(keys), "left_anti"))
+    return None if kept.isEmpty() else replace(large, keys=kept)
 
 
 def _replay_groups(log: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,7 +181,7 @@ def _outcome_pass(keys: Sequence[str], names: Sequence[str]) -> Callable:
             answers = [answer for answer in answers if answer is not None]
             kept = batch.select(list(names))
             if len(answers) < batch.num_rows:
-                kept = kept.filter(pc.not_equal(batch.column("op"), PLACE))
+                kept = kept.filter(pc.invert(pc.is_in(batch.column("op"), pa.array([PLACE, STORED]))))
             outcome, by, since = zip(*answers) if answers else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(outcome, pa.string()), pa.array(by, pa.string()), pa.array(since, pa.int64())],
@@ -204,6 +240,8 @@ def _effect_pass(keys: Sequence[str], schema: pa.Schema) -> Callable:
                     answer = _apply(room, command)
                     if answer is not None:
                         room.note(command[1], command[3], answer[0])
+                    elif command[2] == STORED:  # the chunk starts with it, as if it had been booked there
+                        room.note(command[1], command[3], BOOKED)
             yield from drain()
         walk.finish()
         yield from drain()

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.text import comma_items, int_items, to_int
 from slotledger.operators.scan import as_of, running_last
-from slotledger.schemas import DEFAULT_SETTINGS, DEFAULT_TARGET_DAYS, LIST_SETTINGS
+from slotledger.schemas import DEFAULT_SETTINGS, DEFAULT_TARGET_DAYS, LIST_SETTINGS, Settings
 from slotledger.session import checkpoint
 
 
-def effective_settings(log: DataFrame) -> DataFrame:
+def effective_settings(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The last readable number of each numeric setting ``(key, value)``; keys never set keep their default.
 
-    Defaults join the log as a first command per key, so one aggregate yields every key.
+    ``stored`` are settings (key, value) that the log goes on from. They and the defaults join the log as first commands, so
+    one aggregate yields every key.
     """
     spark = log.sparkSession
     number = to_int(F.col("raw_value"))
@@ -33,10 +34,19 @@ def effective_settings(log: DataFrame) -> DataFrame:
             )
         )
     )
-    kept = sent.where(F.col("value").isNotNull()).unionByName(defaults)
-    # A default has no arrival number and so loses against any command.
-    last = F.max_by("value", F.struct(F.col("seq").isNotNull(), "seq"))
-    return kept.groupBy("key").agg(last.alias("value"))
+    kept = sent.where(F.col("value").isNotNull()).withColumn("rank", F.lit(2)).unionByName(defaults.withColumn("rank", F.lit(0)))
+    if stored is not None:
+        known = stored.where(F.col("key").isin(*DEFAULT_SETTINGS) & F.col("value").isNotNull())
+        nothing = F.lit(None).cast("bigint").alias("seq")
+        kept = kept.unionByName(known.select("key", nothing, F.col("value").cast("bigint").alias("value"), F.lit(1).alias("rank")))
+    # A default loses against what is stored, and that against any command.
+    return kept.groupBy("key").agg(F.max_by("value", F.struct("rank", "seq")).alias("value"))
+
+
+def settings_of(effective: DataFrame) -> Settings:
+    """Effective settings, a row per key, as the record the reports take: four numbers at most."""
+    values = {r["key"]: r["value"] for r in effective.where(F.col("key").isin(*DEFAULT_SETTINGS)).collect()}
+    return Settings(values["desks"], values["parking"], values["targetDays"])
 
 
 def effective_lists(log: DataFrame) -> DataFrame:

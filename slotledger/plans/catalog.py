@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REPORT = Settings(desks=28, parking=10, target_days=2)
 WEEK_REF, MONTH_REF, LONG_MONTH_REF = "1998-02-11", "1998-02-10", "1998-03-10"
 QUARTER_REF, YEAR_REF = "1998-02-10", "1998-06-01"
+LOG_MONTH_REF = "2024-01-10"
 VIEWER = "e_7"
 PERIOD_NAMES = ("week", "month", "quarter", "year", "Week")
 
@@ -249,6 +250,58 @@ def booking_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return _outcomes(spark, sf).select("seq", "date", "shift", "kind", "slot", "outcome", "by")
 
 
+def _cut(log: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """A log in two, at half of its largest number."""
+    cut = log.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+    return log.where(F.col("seq") <= cut), log.where(F.col("seq") > cut), cut
+
+
+@query
+def booking_outcomes_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The log in two halves, the second going on from what the first left."""
+    first, second, _ = _cut(validation.valid_commands(X.commands(spark, sf)))
+    before = checkpoint(replay(first))
+    after = replay(second, held=changes.settled_bookings(before))
+    return before.unionByName(after).select("seq", "date", "shift", "kind", "slot", "outcome", "by")
+
+
+@query
+def booking_outcomes_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The same outcomes with every room of more than 150 commands replayed in chunks."""
+    outcomes = replay(validation.valid_commands(X.commands(spark, sf)), chunk_rows=150)
+    return outcomes.select("seq", "date", "shift", "kind", "slot", "outcome", "by")
+
+
+@query
+def bookings_settled_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    first, second, _ = _cut(validation.valid_commands(X.commands(spark, sf)))
+    held = checkpoint(changes.settled_bookings(replay(first)))
+    return changes.settled_bookings(replay(second, held=held), held=held)
+
+
+@query
+def config_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    first, second, _ = _cut(X.config_cmds(spark, sf))
+    return settings.effective_settings(second, stored=settings.effective_settings(first))
+
+
+def _from_logs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Settings]:
+    """What the logs leave: settled bookings, employees and settings."""
+    held = changes.settled_bookings(_outcomes(spark, sf))
+    people = employees.current_employees(X.employee_cmds(spark, sf), X.config_cmds(spark, sf))
+    return held, people, settings.settings_of(settings.effective_settings(X.config_cmds(spark, sf)))
+
+
+@query
+def report_from_logs_month(spark: SparkSession, sf: str) -> DataFrame:
+    return U.summary(*_from_logs(spark, sf), "month", LOG_MONTH_REF)
+
+
+@query
+def attainment_from_logs_quarter(spark: SparkSession, sf: str) -> DataFrame:
+    return presence.attainment(*_from_logs(spark, sf), "quarter", LOG_MONTH_REF)
+
+
 @query
 def bookings_settled(spark: SparkSession, sf: str) -> DataFrame:
     return changes.settled_bookings(_outcomes(spark, sf))

@@ -596,3 +596,44 @@ where d.op = 'delete' and (h.deleted is null or h.deleted <> d.seq)""",
     ),
     "feedback_count_feed": with_views("select seq, fb_id, op, count from feedback_counts", "feedback_counts"),
 }
+
+# A log in halves gives what the whole log gives.
+SQL["booking_outcomes_resumed"] = SQL["booking_outcomes_cut"] = SQL["booking_outcomes"]
+SQL["bookings_settled_resumed"] = SQL["bookings_settled"]
+SQL["config_resumed"] = SQL["config_effective"]
+
+
+def from_logs(start: str, end: str, body: str) -> str:
+    """A report over what the logs leave: bookings, employees and settings."""
+    return f"""with held as ({SQL["bookings_settled"]}),
+people as ({SQL["employees_current"]}),
+n as (select max(value) filter (key = 'desks') as d, max(value) filter (key = 'parking') as p,
+  max(value) filter (key = 'targetDays') as t from ({SQL["config_effective"]})),
+w as (select * from held where date between date {start} and date {end}
+  and case when isodow(date) >= 6 then shift = 'weekend' else shift in ('day', 'evening', 'night') end),
+f as (select count(*) filter (kind = 'desks') as desks, count(*) filter (kind = 'parking') as parking from w),
+c as (select count(*) as cells from {calendar(start, end)})
+{body}"""
+
+
+SQL["report_from_logs_month"] = from_logs(
+    "'2024-01-01'",
+    "'2024-01-31'",
+    """select 1 as ordinal, 'Period' as metric, 'Month' as value_text, cast(null as double) as value_num
+union all select 2, 'Range', '2024-01-01 to 2024-01-31', null
+union all select 3, 'Total desks', null, d from n
+union all select 4, 'Total parking', null, p from n
+union all select 5, 'Employees', null, (select count(*) from people)
+union all select 6, 'Desk bookings', null, desks from f
+union all select 7, 'Parking bookings', null, parking from f
+union all select 8, 'Avg desk utilization', null, round(desks::double / (d * cells)::double, 6) from f, n, c
+union all select 9, 'Avg parking utilization', null, round(parking::double / (p * cells)::double, 6) from f, n, c""",
+)
+SQL["attainment_from_logs_quarter"] = from_logs(
+    "'2024-01-01'",
+    "'2024-03-31'",
+    """, a as (select user_id, count(distinct date) as days from w group by user_id)
+select id, ordinal, name, coalesce(days, 0) as total, coalesce(target_days, t) * 13 as target,
+  case when coalesce(days, 0) >= coalesce(target_days, t) * 13 then 'Yes' else 'No' end as met
+from people cross join n left join a on user_id = id""",
+)

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # Split skewed partitions even where the operator after the join then needs a shuffle of its own.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Listing a table of many dates should not take a task per date.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
 }
 
 

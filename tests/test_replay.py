@@ -160,3 +160,36 @@ def test_live_client_state(spark):
     shown = live.run_log(commands, lambda stream: live.live_client_state(spot_updates(stream)), "update")
     latest = shown.groupBy("type", "id").agg(F.max_by("reserved_by", "seq").alias("reserved_by"), F.max("seq").alias("seq"))
     assert rows(latest) == rows(client_state(spot_updates(commands)))
+
+
+def test_replay_goes_on_from_stored_rooms(spark):
+    stored = [("1", "ann", 5), ("2", "ann", 6), ("3", "", None), ("4", "", None), ("5", "bo", None)]
+    held = as_commands(spark, [cmd(1, "book", slot, user) for slot, user, _ in stored]).select("date", "shift", "kind", "slot", "user_id")
+    log = as_commands(spark, [
+        cmd(11, "unbook", "1", "ann"),
+        cmd(12, "book", "9", "ann"),  # still on slot 2
+        cmd(13, "book", "2", "ann"),
+        cmd(14, "book", "3", "cy"),  # an empty holder does not hold
+        cmd(15, "unbook", "4", "cy"),
+        cmd(16, "unbook", "4", None),
+        cmd(17, "book", "5", "dee"),
+        cmd(18, "unbook", "2", "ann"),
+        cmd(19, "book", "9", "ann"),
+    ])
+    for chunk_rows in (4_000_000, 3):
+        found = replay(log, held=held, chunk_rows=chunk_rows)
+        assert answers(found) == {
+            11: ("freed", "ann"), 12: ("already_booked", None), 13: ("rebook", "ann"), 14: ("booked", "cy"),
+            15: ("not_yours", ""), 16: ("freed", ""), 17: ("taken", "bo"), 18: ("freed", "ann"), 19: ("booked", "ann"),
+        }
+        settled = changes.settled_bookings(found, held=held)
+        assert rows(settled, "slot", "user_id") == [("3", "cy"), ("5", "bo"), ("9", "ann")]
+
+
+@pytest.mark.parametrize("cut,chunk_rows", [(150, 4_000_000), (150, 40), (290, 40)])
+def test_halves_give_the_whole(spark, cut, chunk_rows):
+    log = as_commands(spark, [cmd(i, "unbook" if i % 4 == 0 else "book", str(i * 7 % 12), f"u{i * 5 % 17}") for i in range(1, 301)])
+    whole = replay(log)
+    first = replay(log.where(f"seq <= {cut}"))
+    second = replay(log.where(f"seq > {cut}"), held=changes.settled_bookings(first), chunk_rows=chunk_rows)
+    assert rows(first.unionByName(second)) == rows(whole)
