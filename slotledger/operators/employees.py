@@ -31,19 +31,23 @@ def requested_names(requests: DataFrame, *kept: str) -> DataFrame:
     return requests.select("seq", *kept, F.posexplode(names).alias("position", "name"))
 
 
-def lifespans(log: DataFrame, large: LargeGroups | None = None) -> DataFrame:
+def lifespans(log: DataFrame, large: LargeGroups | None = None, people: DataFrame | None = None) -> DataFrame:
     """When each employee was added and first deleted after that, by ``seq``: one row per id.
 
+    ``people`` are stored employees, there since their ordinal.
+
     An add whose target cannot be read fails as a whole. Ids are given out by the add and never used again.
     """
     failed = F.col("target_days").isNotNull() & to_int(F.col("target_days")).isNull()
     adds = log.where((F.col("op") == "add") & ~failed).groupBy("id").agg(F.min("seq").alias("added"))
+    if people is not None:
+        adds = adds.unionByName(people.select("id", F.col("ordinal").cast("bigint").alias("added")))
     deletes = log.where(F.col("op") == "delete").select("id", "seq")
     later = join_unique(deletes, adds, "id", large, "inner").where(F.col("seq") > F.col("added"))
     return adds.join(later.groupBy("id").agg(F.min("seq").alias("ended")), "id", "left")
 
 
-def judge(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
+def judge(log: DataFrame, large_rows: int = LARGE_ROWS, people: DataFrame | None = None) -> DataFrame:
     """The log with ``added``, ``ended`` and ``error``: NULL for commands that were carried out.
 
     An id with very many commands is judged where its commands are, without shuffling them.
@@ -53,7 +57,7 @@ def judge(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
     alive = (seq > added) & (ended.isNull() | (seq <= ended))
     carried_out = F.when(F.col("op") == "add", seq == added).when(F.col("op") == ADD_NONE, True).otherwise(alive)
     reason = F.when(F.col("op") == "add", BAD_TARGET).otherwise(EMPLOYEE_NOT_FOUND)
-    return join_unique(log, lifespans(log, large), "id", large).withColumn(
+    return join_unique(log, lifespans(log, large, people), "id", large).withColumn(
         "error", F.when(~F.coalesce(carried_out, F.lit(False)), reason)
     )
 
@@ -82,7 +86,10 @@ def employee_changes(log: DataFrame) -> DataFrame:
 
 
 def current_employees(
-    log: DataFrame, settings_log: DataFrame | None = None, large_rows: int = LARGE_ROWS
+    log: DataFrame,
+    settings_log: DataFrame | None = None,
+    large_rows: int = LARGE_ROWS,
+    people: DataFrame | None = None,
 ) -> DataFrame:
     """The employees left at the end of the log, with the last value sent of every field.
 
@@ -90,8 +97,12 @@ def current_employees(
     A field that was not sent, or was sent with an unusable value, is NULL by then and does not count; a name or department that
     the log says was sent (``name_sent``, ``department_sent``) counts as NULL too. An add without
     a target takes the one configured at that time, which needs the settings log.
+
+    ``people`` are stored employees that the log goes on from; their ordinals are below the log's numbers. One stored without
+    a list of shifts gets it from the first single shift sent.
     """
-    alive = judge(log, large_rows).where(F.col("error").isNull() & F.col("ended").isNull() & (F.col("op") != ADD_NONE))
+    done = judge(log, large_rows, people).where(F.col("error").isNull())
+    alive = done.where(F.col("ended").isNull() & (F.col("op") != ADD_NONE))
     is_add = F.col("op") == "add"
     lone_shift = F.when(F.col("shifts").isNull() & F.col("shift").isin(*SHIFTS), F.col("shift"))
     # Only an update leaves the shifts alone when it does not send any; an add falls back to its single shift.
@@ -111,10 +122,17 @@ def current_employees(
         "remote",
         "has_car",
         *((_was_sent(log, name) | is_add).alias(f"{name}_sent") for name in NULLABLE),
+        lone_shift.alias("lone_shift"),
+        F.lit(False).alias("stored"),
     )
+    if people is not None:
+        deleted = done.where(F.col("op") == "delete").select("id").distinct()
+        sent = sent.unionByName(_as_sent(people.join(deleted, "id", "left_anti")))
     folded = sent.groupBy("id").agg(
         F.min("added").alias("seq"),
         *(_last_sent(name) for name in ("name", "department", "shift", "shifts", "target_days", "remote", "has_car")),
+        F.min_by("lone_shift", F.when(F.col("lone_shift").isNotNull(), F.col("seq"))).alias("lone_shift"),
+        F.bool_or("stored").alias("stored"),
     )
     target = F.lit(DEFAULT_TARGET_DAYS).cast("bigint")
     if settings_log is not None:
@@ -125,11 +143,31 @@ def current_employees(
         F.col("seq").alias("ordinal"),
         "name",
         "shift",
-        "shifts",
+        F.coalesce("shifts", F.when(F.col("lone_shift").isNotNull(), F.array("lone_shift"))).alias("shifts"),
         "department",
-        F.coalesce("target_days", target).alias("target_days"),
+        F.coalesce("target_days", F.when(~F.col("stored"), target)).alias("target_days"),
+        "remote",
+        "has_car",
+    )
+
+
+def _as_sent(people: DataFrame) -> DataFrame:
+    """Stored employees as the first thing sent of each."""
+    known = F.lit(True)
+    return people.select(
+        "id",
+        F.col("ordinal").cast("bigint").alias("seq"),
+        F.col("ordinal").cast("bigint").alias("added"),
+        "name",
+        "department",
+        F.when(F.size("shifts") > 0, F.col("shifts")).alias("shifts"),
+        "shift",
+        F.col("target_days").cast("bigint").alias("target_days"),
         "remote",
         "has_car",
+        *(known.alias(f"{name}_sent") for name in NULLABLE),
+        F.lit(None).cast("string").alias("lone_shift"),
+        known.alias("stored"),
     )
 
 

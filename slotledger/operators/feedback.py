@@ -48,9 +48,10 @@ def _stored(log: DataFrame) -> DataFrame:
     return clean_submissions(log).where(F.col("error").isNull())
 
 
-def _arrivals(log: DataFrame) -> DataFrame:
-    """Stored submissions as ``(fb_id, submitted)`` only, so the message text stays out of the joins."""
-    return _stored(log).select("fb_id", F.col("seq").alias("submitted"))
+def _arrivals(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Submissions as ``(fb_id, submitted)`` only, so the message text stays out of the joins. ``held`` were stored before the log."""
+    new = _stored(log).select("fb_id", F.col("seq").alias("submitted"))
+    return new if held is None else held.select("fb_id", F.col("seq").alias("submitted")).unionByName(new)
 
 
 def _large_ids(log: DataFrame, large_rows: int) -> LargeGroups | None:
@@ -58,17 +59,17 @@ def _large_ids(log: DataFrame, large_rows: int) -> LargeGroups | None:
     return large_groups(log.where(F.col("op").isin(*EDITS)), ["fb_id"], large_rows)
 
 
-def histories(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
+def histories(log: DataFrame, large_rows: int = LARGE_ROWS, held: DataFrame | None = None) -> DataFrame:
     """Per stored submission: when it was submitted, first deleted and first marked as read.
 
     Edits of ids that do not exist meet no submission and drop out before the aggregate.
     """
-    return _histories(log, _large_ids(log, large_rows))
+    return _histories(log, _large_ids(log, large_rows), held)
 
 
-def _histories(log: DataFrame, large: LargeGroups | None) -> DataFrame:
+def _histories(log: DataFrame, large: LargeGroups | None, held: DataFrame | None = None) -> DataFrame:
     edits = log.where(F.col("op").isin(*EDITS)).select("fb_id", "seq", "op")
-    arrivals = _arrivals(log)
+    arrivals = _arrivals(log, held)
     edited = (
         join_unique(edits, arrivals, "fb_id", large, "inner")
         .where(F.col("seq") > F.col("submitted"))
@@ -81,12 +82,18 @@ def _histories(log: DataFrame, large: LargeGroups | None) -> DataFrame:
     return arrivals.join(edited, "fb_id", "left")
 
 
-def current_feedback(log: DataFrame) -> DataFrame:
-    """Feedback still stored at the end of the log. Marking as read sticks; marking an unknown id does nothing."""
-    left = histories(log).where(F.col("deleted").isNull()).select(
-        "fb_id", F.col("first_read").isNotNull().alias("read")
+def current_feedback(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Feedback still stored at the end of the log. Marking as read sticks; marking an unknown id does nothing.
+
+    ``held`` is feedback (columns as here) that the log goes on from, with numbers below the log's.
+    """
+    left = histories(log, held=held).where(F.col("deleted").isNull()).select(
+        "fb_id", F.col("first_read").isNotNull().alias("marked")
     )
-    return _stored(log).drop("error").join(left, "fb_id")
+    rows = _stored(log).drop("error").withColumn("read", F.lit(False))
+    if held is not None:
+        rows = held.unionByName(rows, allowMissingColumns=True)
+    return rows.join(left, "fb_id").withColumn("read", F.col("read") | F.col("marked")).drop("marked")
 
 
 def feedback_rejects(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
@@ -105,14 +112,17 @@ def feedback_rejects(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
     return blank.unionByName(unknown)
 
 
-def feedback_counts(log: DataFrame) -> DataFrame:
-    """After each stored submission and each successful delete: how many pieces of feedback there are."""
-    spans = histories(log)
-    steps = spans.select(F.col("submitted").alias("seq"), "fb_id", F.lit("submit").alias("op"), F.lit(1).alias("step"))
+def feedback_counts(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """After each stored submission and each successful delete: how many pieces of feedback there are, ``held`` included."""
+    spans = histories(log, held=held)
+    before = 0 if held is None else held.count()
+    new = spans if held is None else spans.join(held.select("fb_id"), "fb_id", "left_anti")
+    steps = new.select(F.col("submitted").alias("seq"), "fb_id", F.lit("submit").alias("op"), F.lit(1).alias("step"))
     ends = spans.where(F.col("deleted").isNotNull()).select(
         F.col("deleted").alias("seq"), "fb_id", F.lit("delete").alias("op"), F.lit(-1).alias("step")
     )
-    return running_total(checkpoint(steps.unionByName(ends)), "seq", "step", "count").drop("step")
+    counts = running_total(checkpoint(steps.unionByName(ends)), "seq", "step", "count").drop("step")
+    return counts.withColumn("count", F.col("count") + F.lit(before).cast("bigint"))
 
 
 def feedback_changes(log: DataFrame) -> DataFrame:

@@ -366,6 +366,28 @@ def employees_current(spark: SparkSession, sf: str) -> DataFrame:
     return current.withColumn("shifts", F.array_join("shifts", ","))
 
 
+@query
+def employees_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    first, second, _ = _cut(X.employee_cmds(spark, sf))
+    people = checkpoint(employees.current_employees(first, X.config_cmds(spark, sf)))
+    current = employees.current_employees(second, X.config_cmds(spark, sf), people=people)
+    return current.withColumn("shifts", F.array_join("shifts", ","))
+
+
+@query
+def feedback_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    first, second, _ = _cut(X.feedback_cmds(spark, sf))
+    held = checkpoint(feedback.current_feedback(first))
+    return feedback.current_feedback(second, held)
+
+
+@query
+def feedback_count_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    first, second, _ = _cut(X.feedback_cmds(spark, sf))
+    held = checkpoint(feedback.current_feedback(first))
+    return feedback.feedback_counts(first).unionByName(feedback.feedback_counts(second, held))
+
+
 @query
 def employee_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return employees.employee_rejects(X.employee_cmds(spark, sf))

@@ -600,6 +600,9 @@ where d.op = 'delete' and (h.deleted is null or h.deleted <> d.seq)""",
 # A log in halves gives what the whole log gives.
 SQL["booking_outcomes_resumed"] = SQL["booking_outcomes_cut"] = SQL["booking_outcomes"]
 SQL["bookings_settled_resumed"] = SQL["bookings_settled"]
+SQL["employees_resumed"] = SQL["employees_current"]
+SQL["feedback_resumed"] = SQL["feedback_current"]
+SQL["feedback_count_resumed"] = SQL["feedback_count_feed"]
 SQL["config_resumed"] = SQL["config_effective"]
 
 

@@ -162,3 +162,24 @@ def test_client_view(spark):
         ("9", "taken", "bo"),
         ("10", "free", "Available"),
     ]
+
+
+def test_stored_employee_without_shifts_gets_them_from_a_single_one(spark):
+    people = spark.createDataFrame(
+        [("a", 0, "A", "day", None, "", 3, None, None), ("b", 1, "B", "day", ["night"], "", None, None, None), ("c", 2, "C", None, [], "", 1, None, None)],
+        "id string, ordinal long, name string, shift string, shifts array<string>, department string, target_days long, remote boolean, has_car boolean",
+    )
+    log = spark.createDataFrame(
+        [(10, "a", "evening"), (11, "a", "night"), (12, "b", "evening"), (13, "gone", "day")], "seq long, id string, shift string"
+    ).selectExpr(
+        "seq", "id", "'update' as op", "cast(null as string) name", "cast(null as string) department", "cast(null as string) shifts",
+        "shift", "cast(null as string) target_days", "cast(null as boolean) remote", "cast(null as boolean) has_car",
+    )
+    from slotledger.operators.employees import current_employees
+
+    found = {r["id"]: (r["shift"], r["shifts"], r["target_days"], r["name"]) for r in current_employees(log, people=people).collect()}
+    assert found == {
+        "a": ("night", ["evening"], 3, "A"),
+        "b": ("evening", ["night"], None, "B"),
+        "c": (None, None, 1, "C"),
+    }
