@@ -12,13 +12,12 @@ below a repeated anchor, and one position in about fourteen is an anchor.
    internal node at least that deep: a repeat. Comparison is by the words themselves.
 4. Join the covered spans to their documents and drop the words.
 
-It is one plan, in which the shuffled texts of steps 2 and 4 are the same exchange.
+Steps 2 to 4 are one plan, in which the shuffled texts of steps 2 and 4 are the same exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import KEY, key_columns, map_batches, read_table, text_or_empty
+from slotledger.llm.common import KEY, key_columns, map_batches, read_table, stored, text_or_empty
 
 # Fixed value of the operator.
 WINDOW = 35
@@ -36,7 +35,7 @@ CROWD = 16_000
 GROUP_ROWS = 8_000
 SALTS = 64
 OUT_ROWS = 2_000
-MOST_WORDS = 300_000
+STRETCH = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,33 +43,67 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 # ---- anchors ----------------------------------------------------------------------------------------------------
 
 
-class _Codes(dict):
-    """64-bit hashes of words, remembered; starts over when full."""
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PLACE_BITS = 30  # of an anchor's sort key, enough for any text; the others hold the hash
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
 
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64; kept, and made longer when needed."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, base))])
+    return _POWERS
 
-@lru_cache(maxsize=1)
-def _codes() -> _Codes:
-    return _Codes()
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends, in bytes."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    return turns[::2], turns[1::2]
 
-def anchors(words: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every run of windows with one anchor: the first window's start, how many windows, and the hash of the anchor's prefix."""
-    n = len(words)
-    if n < window:
+
+def word_codes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, from prefix sums over its bytes; long texts in stretches of whole words."""
+    raw, codes, i = np.frombuffer(data, np.uint8), np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
+        at = starts[i]
+        power, inverse = _powers(int(ends[j - 1] - at))
+        part = raw[at : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)])])
+        codes[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * inverse[starts[i:j] - at]
+        i = j
+    return codes
+
+
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours, by doubling."""
+    low, k = values, 1
+    while 2 * k <= width:
+        low, k = np.minimum(low[:-k], low[k:]), 2 * k
+    n = len(values) - width + 1
+    return np.minimum(low[:n], low[width - k : width - k + n])
+
+
+def anchors(codes: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every run of windows with one anchor: the first window's start, how many windows, and the hash of the anchor's prefix.
+
+    A hash collision makes an anchor look repeated that is not, which costs a comparison of words and changes no result.
+    """
+    if len(codes) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_codes().__getitem__, words), np.uint64, n)
-    hashes = np.zeros(n - seed + 1, np.uint64)
-    for j in range(seed):
-        hashes = hashes * _BASE + codes[j : n - seed + 1 + j]
+    hashes, k = codes, 1
+    while k < seed:  # a power of two
+        hashes = hashes[:-k] * _POWERS[0][k] + hashes[k:]
+        k *= 2
     hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     hashes ^= hashes >> np.uint64(29)
-    at = np.lib.stride_tricks.sliding_window_view(hashes, window - seed + 1).argmin(axis=1) + np.arange(n - window + 1)
+    place = np.uint64(_PLACE_BITS)
+    keys = (hashes >> place << place) | np.arange(len(hashes), dtype=np.uint64)
+    at = (_smallest(keys, window - seed + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     return first, np.diff(np.append(first, len(at))), hashes[at[first]]
 
@@ -85,7 +118,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(t.encode().split()) for t in batch.column("text").to_pylist()]
+            found = []
+            for text in batch.column("text").to_pylist():
+                data = text.encode()
+                found.append(anchors(word_codes(data, *word_places(data))))
             sizes = [len(f[0]) for f in found]
             repeated = [np.repeat(batch.column(c).to_numpy(), sizes) for c in KEY]
             first = np.concatenate([f[0] for f in found]).astype(np.int32)
@@ -115,15 +151,18 @@ def suffix_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "firsts", "crowded")))
             for k, h, text, firsts, crowded in rows:
-                words = text.encode().split()
+                data = b" ".join(text.encode().split())
+                starts, ends = word_places(data)
+                found = anchors(word_codes(data, starts, ends))
+                starts, ends = starts.tolist(), ends.tolist()
                 wanted, crowds = set(firsts), set(crowded)
-                for first, n, seed in zip(*(a.tolist() for a in anchors(words))):
+                for first, n, seed in zip(*(a.tolist() for a in found)):
                     if first in wanted:
                         group = seed - (1 << 64) if seed >> 63 else seed
-                        out.append((group, 0, k, h, first, n, b" ".join(words[first : first + n + WINDOW - 1])))
+                        out.append((group, 0, k, h, first, n, data[starts[first] : ends[first + n + WINDOW - 2]]))
                     elif first in crowds:
                         for p in range(first, first + n):
-                            digest = xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW]))
+                            digest = xxhash.xxh3_128_digest(data[starts[p] : ends[p + WINDOW - 1]])
                             out.append((int.from_bytes(digest[:8], "big", signed=True), 1 + (h ^ p) % SALTS, k, h, p, 1, digest))
                     if len(out) >= OUT_ROWS:
                         yield flush()
@@ -137,42 +176,50 @@ SUFFIX_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.i
 
 
 def deep_spans(rows: list[tuple], depth: int = WINDOW) -> list[tuple]:
-    """(k, h, start, stop) of what lies below internal nodes of at least ``depth`` words in the tree of the rows' suffixes.
+    """(k, h, start, stop, None) of what lies below internal nodes of at least ``depth`` words in the tree of the rows' suffixes.
 
-    Rows are (k, h, first, n, words): n suffixes that start at the first n words. Sorted suffixes are the leaves in order; the
-    node above two neighbours is deep where their first ``depth`` words agree.
+    Rows are (group, k, h, first, n, words): n suffixes that start at the first n words. Sorted suffixes are the leaves in order; the
+    node above two neighbours is deep where their first ``depth`` words agree. Rows alike in all words are one path of the tree with
+    several leaves at its end, deep from its first suffix to its last; and a group of one path has no other node.
     """
-    leaves = []
-    for r, (_, _, _, n, text) in enumerate(rows):
-        if n == 1:
-            leaves.append((text, r, 0))
-            continue
-        words = text.split(b" ")
-        at = 0
-        end = len(b" ".join(words[:depth]))
-        for i in range(n):
-            leaves.append((text[at:end], r, i))
-            at += len(words[i]) + 1
-            if i + 1 < n:
-                end += len(words[i + depth]) + 1
+    groups: dict[int, dict[bytes, list[int]]] = {}
+    for r, row in enumerate(rows):
+        groups.setdefault(row[0], {}).setdefault(row[5], []).append(r)
+    spans, leaves, alone = [], [], {}
+    for paths in groups.values():
+        for text, members in paths.items():
+            if len(members) > 1:
+                for r in members:
+                    _, k, h, first, n, _ = rows[r]
+                    spans.append((k, h, first, first + n + depth - 1, None))
+            else:
+                alone[members[0]] = set()
+            # A path may also repeat itself further along.
+            n = rows[members[0]][4]
+            if len(paths) > 1 or n > 1 and len(members) == 1:
+                words, at = text.split(b" "), 0
+                end = len(b" ".join(words[:depth]))
+                for i in range(n):
+                    leaves.append((text[at:end], members[0], i))
+                    if i + 1 < n:
+                        at, end = at + len(words[i]) + 1, end + len(words[i + depth]) + 1
     leaves.sort()
-    deep: dict[int, list[int]] = {}
     for (a, ra, ia), (b, rb, ib) in zip(leaves, leaves[1:]):
         if a == b:
-            deep.setdefault(ra, []).append(ia)
-            deep.setdefault(rb, []).append(ib)
-    spans = []
-    for r, places in deep.items():
-        k, h, first = rows[r][:3]
+            for r, i in ((ra, ia), (rb, ib)):
+                if r in alone:
+                    alone[r].add(i)
+    for r, places in alone.items():
+        _, k, h, first, _, _ = rows[r]
         start = stop = None
         for p in sorted(places):
-            if start is not None and first + p <= stop:
-                stop = first + p + depth
-                continue
-            if start is not None:
-                spans.append((k, h, start, stop, None))
-            start, stop = first + p, first + p + depth
-        spans.append((k, h, start, stop, None))
+            if start is None or first + p > stop:
+                if start is not None:
+                    spans.append((k, h, start, stop, None))
+                start = first + p
+            stop = first + p + depth
+        if start is not None:
+            spans.append((k, h, start, stop, None))
     return spans
 
 
@@ -203,7 +250,7 @@ def repeated_spans(suffixes: DataFrame) -> DataFrame:
                         held.clear()
                     group, salt = g, s
                 if s == 0:
-                    held.append((k, h, first, n, words))
+                    held.append((g, k, h, first, n, words))
                 elif words not in seen:
                     seen[words] = (k, h, first)
                 else:
@@ -224,8 +271,8 @@ SPAN_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 def settled(spans: DataFrame) -> DataFrame:
     """Spans for certain. A waiting window is repeated if another salt has it as well: at most ``SALTS`` rows meet."""
-    place = F.coalesce(F.col("rep"), F.concat(F.hex("k"), F.hex("h"), F.hex("start")).cast("binary"))
-    met = spans.withColumn("met", F.count("*").over(Window.partitionBy(place)))
+    place = F.when(F.col("rep").isNull(), F.col("h")).otherwise(F.xxhash64("rep"))  # the others stay with their document
+    met = spans.withColumn("met", F.count("*").over(Window.partitionBy(place, "rep")))
     return met.where("k is not null and (rep is null or met > 1)").select(*KEY, "start", "stop")
 
 
@@ -234,7 +281,8 @@ def settled(spans: DataFrame) -> DataFrame:
 
 def covered_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """key and its list of (start, stop) word spans to remove; ``docs`` as ``keyed`` gives them."""
-    counts = anchor_rows(docs).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join's two sides are plain shuffles, of which adaptive execution can split a hot prefix.
+    counts = stored(anchor_rows(docs).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "repeated-prefixes")
     wanted = anchor_rows(docs).join(counts, "seed")
     listed = wanted.groupBy(*KEY).agg(
         F.collect_list(F.when(F.col("n") <= crowd, F.col("first"))).alias("firsts"),
