@@ -57,6 +57,16 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def hash_share(*key) -> Column:
+    """A number from 0 to 1 that depends on the key alone, in the order of the key's signed hash."""
+    return F.xxhash64(*key) / F.lit(2.0**64) + 0.5
+
+
+#: A sample of the k smallest hashes among n rows looks only at rows whose share is below this many times k / n: few
+#: rows are ranked, however many tasks read them, and fewer than k of them are left with next to no chance.
+SAMPLE_SLACK = 4.0
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import KEY, crc_mod, key_columns, map_batches, read_table, stored
+from slotledger.llm.common import KEY, SAMPLE_SLACK, crc_mod, hash_share, key_columns, map_batches, read_table, stored
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 TRAIN_DOCS = 1_000
@@ -169,9 +169,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """The languages in order, and piece probabilities, from documents with an id, a language and a text."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
-    ranked = usable.select("doc_id", "lang").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    )
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row per language
+    near = usable.select("doc_id", "lang", hash_share("doc_id").alias("share")).join(F.broadcast(sizes), "lang")
+    near = near.where(F.col("share") * F.col("n") <= SAMPLE_SLACK * train_docs)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("share", "doc_id")))
     chosen = ranked.where(F.col("rank") <= train_docs).select("doc_id", "lang")
     # train_docs ids for each language
     counts = stored(word_counts(usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])), "language-words")

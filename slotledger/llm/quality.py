@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm.common import crc_mod, map_batches, read_table, text_or_empty
+from slotledger.llm.common import SAMPLE_SLACK, crc_mod, hash_share, map_batches, read_table, text_or_empty
 
 TRAIN_ROWS = 4_000
 SHAPES = 48
@@ -111,11 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = TRAIN_RO
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    prior = known.agg(F.avg("low")).first()[0]
+    prior, n_good = known.agg(F.avg("low"), F.count_if(F.col("high") == 1)).first()
     pool = docs.where(F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    order = F.xxhash64("doc_id")
-    chosen = known.where("high = 1").orderBy(order, "doc_id").limit(train_rows).select("doc_id", F.lit(1).alias("kind"))
-    others = pool.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(train_rows).select("doc_id", F.lit(0).alias("kind"))
+
+    def smallest(rows: DataFrame, n: int, kind: int, *salt) -> DataFrame:
+        near = rows.select("doc_id", hash_share("doc_id", *salt).alias("share")).where(F.col("share") * n <= SAMPLE_SLACK * train_rows)
+        return near.orderBy("share", "doc_id").limit(train_rows).select("doc_id", F.lit(kind).alias("kind"))
+
+    chosen = smallest(known.where("high = 1"), n_good, 1)
+    others = smallest(pool, pool.count(), 0, F.lit("u"))
     sample = pool.join(F.broadcast(chosen.unionAll(others)), "doc_id")  # at most twice train_rows ids
     table = _vectors(sample, "kind").toArrow()
     kinds = np.array(table["kind"].to_pylist(), int)
