@@ -17,9 +17,8 @@ from slotledger.schemas import GROUP_KEYS
 from slotledger.session import shared_path
 
 STATE = "slots array<string>, users array<string>, since array<bigint>"
-# Rows per micro-batch when a stored log is replayed as a stream.
-SLICE_ROWS = 2_000_000
-MIN_SLICES = 2
+# Micro-batches a stored log is replayed in as a stream. Each is a run of the streaming job, so choose by what one may hold.
+SLICES = 2
 
 
 def replay_stream(commands: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
@@ -53,7 +52,8 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     held = room.owners
     state.update((list(held), [user for user, _ in held.values()], [since for _, since in held.values()]))
     outcome, by, since = zip(*answers)
-    yield log.assign(outcome=outcome, by=by, since=pd.array(since, dtype="Int64"))
+    texts = {name: pd.array(values, dtype="string") for name, values in (("outcome", outcome), ("by", by))}
+    yield log.assign(**texts, since=pd.array(since, dtype="Int64"))
 
 
 def live_occupancy(outcomes: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
@@ -93,22 +93,22 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 # ---- a stored log as a stream -------------------------------------------------------------------------------------
 
 
-def _slices(log: DataFrame, slice_rows: int) -> Iterator[DataFrame]:
-    """The log in consecutive pieces of about equal size, as filters on ``seq`` at its quantiles."""
-    count = max(MIN_SLICES, -(-log.count() // slice_rows))
-    points = [n / count for n in range(1, count)]
-    bounds = sorted({int(p) for p in log.approxQuantile("seq", points, 1 / (10 * count))}) if points else []
+def _slices(log: DataFrame, slices: int) -> Iterator[DataFrame]:
+    """The log in consecutive pieces of about equal size, as filters on ``seq`` at its quantiles; rows without one come first."""
+    points = [n / slices for n in range(1, slices)]
+    cuts = log.agg(F.percentile_approx("seq", points, 100 * slices)).first()[0] if points else None
+    bounds = sorted(set(cuts or ()))
     seq = F.col("seq")
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = log if low is None else log.where(seq > low)
-        yield part if high is None else part.where(seq <= high)
+        yield part if high is None else part.where((seq <= high) | seq.isNull() if low is None else seq <= high)
 
 
 def run_log(
     commands: DataFrame,
     build: Callable[[DataFrame], DataFrame],
     mode: str = "append",
-    slice_rows: int = SLICE_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Feed a stored log to a streaming job piece by piece, and return what the job published.
 
@@ -119,7 +119,7 @@ def run_log(
     log = commands.select(*GROUP_KEYS, *PAYLOAD)
     inbox, outbox, progress = (shared_path(spark, label) for label in ("inbox", "outbox", "progress"))
     published = None
-    for number, part in enumerate(_slices(log, slice_rows)):
+    for number, part in enumerate(_slices(log, slices)):
         part.write.mode("overwrite").parquet(f"{inbox}/slice={number:05d}")
         stream = build(spark.readStream.schema(log.schema).parquet(f"{inbox}/slice=*"))
         write_changes(stream, outbox, progress, mode).awaitTermination()
@@ -127,9 +127,9 @@ def run_log(
     return read_changes(spark, outbox, published)
 
 
-def outcomes_of_log(commands: DataFrame) -> DataFrame:
+def outcomes_of_log(commands: DataFrame, slices: int = SLICES) -> DataFrame:
     """Outcomes of a stored log, computed by the streaming replay."""
-    return run_log(commands, replay_stream).drop("batch")
+    return run_log(commands, replay_stream, slices=slices).drop("batch")
 
 
 def occupancy_of_log(commands: DataFrame) -> DataFrame:

@@ -120,11 +120,10 @@ def test_batch_stream_and_model_agree(spark, drawn):
 
 
 @pytest.mark.parametrize("slices", [1, 3])
-def test_stream_matches_model_for_any_split(spark, slices, monkeypatch):
+def test_stream_matches_model_for_any_split(spark, slices):
     log = random_commands(seed=5, count=120)
     expected, held = replay_model(log)
-    monkeypatch.setattr(live, "MIN_SLICES", slices)
-    assert answers(live.outcomes_of_log(as_commands(spark, log))) == expected
+    assert answers(live.outcomes_of_log(as_commands(spark, log), slices)) == expected
 
 
 def test_live_occupancy_matches_model(spark):
