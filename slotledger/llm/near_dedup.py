@@ -130,7 +130,7 @@ def grouped(docs: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUC
     distinct = stored(rows.select("fp").distinct(), "distinct-fingerprints")
     roots = components(links(distinct, radius, small_bucket))
     placed = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows.join(placed, "fp")
+    return rows.join(stored(placed, "roots"), "fp")  # two written tables: adaptive execution can split a hot fingerprint
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, small_bucket: int = S
     rows only has a null id. Repeated rows stay, one each. An empty table gives none; other columns are ignored.
     """
     rows = stored(grouped(docs, radius, small_bucket), "near-groups")
-    lowest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    lowest = stored(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")  # as in ``grouped``, for a hot root
     return rows.join(lowest, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
