@@ -32,6 +32,8 @@ UNKNOWN = 1e-7
 SMOOTHING = 0.05
 MOST_LETTERS = 48
 MOST_WORDS = 200_000
+#: Chances below this power of two are multiplied by its inverse, and how often is counted.
+LEAST_POWER = -200
 UNDETERMINED = "und"
 
 # Fixed value: the word mark of the vocabulary.
@@ -93,18 +95,36 @@ class Lattice:
         found = np.minimum(np.searchsorted(self.hashes, h), n - 1)
         return np.where(self.hashes[found] == h, found, n if j - i == 1 else n + 1)
 
-    def forward(self, p: np.ndarray) -> tuple[list[np.ndarray], dict]:
-        """Chances of every prefix, summed over its segmentations, and the pieces met. ``p``: pieces x languages, with two rows more."""
-        alpha, met = [np.ones((len(self.prefix), p.shape[1]))], {}
+    def forward(self, p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], dict]:
+        """Chances of every prefix, summed over its segmentations, how often each was scaled up, and the pieces met.
+
+        ``p``: pieces x languages, with two rows more. A chance is its number times 2 ** LEAST_POWER for each time.
+        """
+        alpha, times, met = [np.ones((len(self.prefix), p.shape[1]))], [np.zeros((len(self.prefix), p.shape[1]), np.int32)], {}
+        live = alpha[:]  # on the scale of the last place
         for j in range(1, self.length + 1):
             total = np.zeros_like(alpha[0])
             for i in range(max(0, j - self.longest), j):
                 index = self.at(i, j)
                 if j - i == 1 or (index <= len(self.hashes)).any():
                     met[i, j] = index
-                    total += alpha[i] * p[index]
+                    total += live[i] * p[index]
+            total, scaled = _scaled_up(total, live, range(max(0, j + 1 - self.longest), j))
+            live.append(total)
             alpha.append(total)
-        return alpha, met
+            times.append(times[-1] + scaled)
+        return alpha, times, met
+
+
+def _scaled_up(total: np.ndarray, live: list, places: range) -> tuple[np.ndarray, np.ndarray]:
+    """The chances, with the small ones scaled up, and which these are; those of ``places``, still needed, follow."""
+    small = total < 2.0**LEAST_POWER
+    if not small.any():
+        return total, small
+    up = np.where(small, 2.0**-LEAST_POWER, 1.0)
+    for i in places:
+        live[i] = live[i] * up
+    return total * up, small
 
 
 def _by_length(words) -> dict[int, list]:
@@ -125,7 +145,8 @@ def word_logs(path: str, words: list[str], p: np.ndarray) -> np.ndarray:
     for places in _by_length(words).values():
         for start in range(0, len(places), 20_000):
             chosen = places[start : start + 20_000]
-            out[chosen] = np.log(Lattice(path, [words[i] for i in chosen]).forward(p)[0][-1])
+            alpha, times, _ = Lattice(path, [words[i] for i in chosen]).forward(p)
+            out[chosen] = np.log(alpha[-1]) + times[-1] * (LEAST_POWER * np.log(2))
     return out
 
 
@@ -135,14 +156,19 @@ def expected_pieces(path: str, words: list[str], counts: np.ndarray, p: np.ndarr
     out = np.zeros(n)
     for places in _by_length(words).values():
         lattice = Lattice(path, [words[i] for i in places])
-        alpha, met = lattice.forward(p)
+        alpha, times, met = lattice.forward(p)
         beta = [None] * lattice.length + [np.ones(len(places))]
+        live, back = beta[:], [None] * lattice.length + [np.zeros(len(places), np.int32)]
         weight = counts[places] / alpha[-1][:, 0]
         for i in range(lattice.length - 1, -1, -1):
-            beta[i] = sum(p[met[i, j], 0] * beta[j] for j in range(i + 1, lattice.length + 1) if (i, j) in met)
+            total = sum(p[met[i, j], 0] * live[j] for j in range(i + 1, lattice.length + 1) if (i, j) in met)
+            total, scaled = _scaled_up(total, live, range(i + 1, min(lattice.length, i - 1 + lattice.longest) + 1))
+            beta[i] = live[i] = total
+            back[i] = back[i + 1] + scaled
         for (i, j), index in met.items():
             known = index < n
             share = alpha[i][:, 0] * p[index, 0] * beta[j] * weight
+            share = np.ldexp(share, LEAST_POWER * (times[i][:, 0] + back[j] - times[-1][:, 0]))
             out += np.bincount(index[known], share[known], minlength=n)
     return out
 

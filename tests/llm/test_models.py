@@ -183,3 +183,36 @@ def test_mix_of_odd_rows(odd, none):
     assert taken.columns == odd.columns
     assert Counter(r.doc_id for r in taken.collect()) == Counter({i: n for i in {r.doc_id for r in found} if (n := sum(r.copies for r in found if r.doc_id == i))})
     assert mixing.document_mix(none).count() == 0 and mixing.take_mix(none).count() == 0
+
+
+# ---- long runs of unknown letters -------------------------------------------------------------------------------
+
+UNKNOWN_RUN = "".join(chr(0xA000 + 7 * i) for i in range(100))  # Yi syllables
+
+
+def test_unknown_runs_have_finite_logs():
+    n = len(language.vocabulary(language.VOCABULARY)[0])
+    p = language._padded(np.full((n, 2), 1 / n))
+    words = language.words_of(UNKNOWN_RUN)
+    assert [len(w) for w in words] == [48, 48, 4]
+    logs = language.word_logs(language.VOCABULARY, words, p)
+    known = language.word_logs(language.VOCABULARY, [words[0][:20], words[0][:21]], p)
+    a_letter = known[1] - known[0]  # one more unknown letter
+    assert np.allclose(logs[0], known[0] + 28 * a_letter) and np.allclose(a_letter, math.log(language.UNKNOWN))
+    mixed = words[0][:47] + "the"
+    counts = language.expected_pieces(language.VOCABULARY, [words[0], mixed[:48]], np.array([2.0, 3.0]), p[:, :1])
+    assert np.isfinite(counts).all() and math.isclose(counts.max(), 5.0, rel_tol=1e-3)  # the word mark of both
+
+
+def test_unknown_runs_leave_other_documents_alone(spark):
+    docs = [(i, f"the house of the {w} and the garden", "en") for i, w in enumerate(("cat", "dog", "bird", "tree") * 3)]
+    docs += [(100 + i, f"das Haus von dem {w} und der Garten", "de") for i, w in enumerate(("Kater", "Hund", "Vogel", "Baum") * 3)]
+    asked = [(200, f"{UNKNOWN_RUN} the house of the cat and the garden", None)]
+    trained = next(i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 4 != 2)
+    schema = "doc_id long, text string, lang string"
+    plain = {r.doc_id: r for r in language.identify(spark.createDataFrame(docs, schema)).collect()}
+    for more in (asked, [*asked, (trained, f"{UNKNOWN_RUN} the house", "en")]):
+        found = {r.doc_id: r for r in language.identify(spark.createDataFrame(docs + more, schema)).collect()}
+        assert found[200].lang_pred == "en" and all(0 <= r.score <= 1 for r in found.values())
+        assert {i: r.lang_pred for i, r in plain.items()} == {i: found[i].lang_pred for i in plain}
+        assert all(math.isclose(found[i].score, plain[i].score, abs_tol=1e-3 if len(more) > 1 else 1e-12) for i in plain)
