@@ -4,8 +4,9 @@ A term is a pair of neighbouring words, weighted by how often the text has it: e
 one or against. 128 bits come from two 64-bit hashes. Votes are integer sums, two bits to a 64-bit counter (32 bits each), so
 64 sums in one hash aggregate count them all, beside the rows and without a shuffle of terms.
 
-Search: fingerprints are cut into blocks. In each table the bits of some blocks come first, whatever the others hold; ``radius`` differing bits
-spoil ``radius`` blocks at most, so any fingerprint within it has equal leading blocks in the table of blocks that are left.
+Search: fingerprints are cut into blocks, and each table has the bits of one block first. ``radius`` differing bits leave some block with
+at most ``radius // blocks`` of them, so any fingerprint within the radius meets a query in the table of that block, if the query asks for
+every value of the block with so many bits turned. What meets is confirmed by counting bits.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from slotledger.llm.common import read_table, stored, text_or_empty
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 1 << 16
 QUERY_EVERY = 20
-RADIUS = 3
-BLOCKS = 5
+#: Near copies (0.8 or more of their five-word shingles in common) are 5 to 20 bits apart.
+NEAR_RADIUS = 20
+NEAR_BLOCKS = 7
 
 # ASCII white space separates words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -143,37 +145,40 @@ def fingerprint_rows(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFra
 # ---- search -----------------------------------------------------------------------------------------------------
 
 
-def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[int, int]]:
-    """Masks (of words a and b) for every choice of ``blocks - radius`` of the blocks of 128 bits."""
-    edges = [128 * k // blocks for k in range(blocks + 1)]
-    spans = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+def block_spans(blocks: int) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """The mask of each block of 128 bits, and its single bits, as pairs of signed words (a, b)."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    chosen = [sum(c) for c in combinations(spans, blocks - radius)]
-    return [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in chosen]
+    split = lambda x: (signed(x & (1 << 64) - 1), signed(x >> 64))
+    edges = [128 * k // blocks for k in range(blocks + 1)]
+    return [(split((1 << hi) - (1 << lo)), [split(1 << i) for i in range(lo, hi)]) for lo, hi in zip(edges, edges[1:])]
 
 
-def _table_rows(prints: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    tables = F.array(
-        *[
-            F.struct(F.lit(t).alias("t"), F.col("a").bitwiseAND(F.lit(ma)).alias("ka"), F.col("b").bitwiseAND(F.lit(mb)).alias("kb"))
-            for t, (ma, mb) in enumerate(masks)
-        ]
-    )
-    return prints.select("*", F.inline(tables))
+def turned(bits: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Every choice of at most ``most`` of the bits."""
+    chosen = [c for n in range(most + 1) for c in combinations(bits, n)]
+    return [(sum(x for x, _ in c), sum(y for _, y in c)) for c in chosen]
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """(a, b, found_a, found_b, found_rows): for every query fingerprint each distinct index fingerprint within the radius, once.
 
     Equal fingerprints are one row with a count on either side. A pair that agrees in several tables is kept in the first.
     """
-    masks = block_masks(radius, blocks)
-    asked = _table_rows(queries.select("a", "b").distinct(), masks)
-    held = _table_rows(index.groupBy("a", "b").agg(F.count("*").alias("rows")), masks)
+    spans, most = block_spans(blocks), radius // blocks
+    key = lambda x, y, ma, mb: (x.bitwiseAND(F.lit(ma)), y.bitwiseAND(F.lit(mb)))
+    tables = []
+    for t, ((ma, mb), _) in enumerate(spans):
+        ka, kb = key(F.col("a"), F.col("b"), ma, mb)
+        tables.append(F.struct(F.lit(t).alias("t"), ka.alias("ka"), kb.alias("kb")))
+    held = index.groupBy("a", "b").agg(F.count("*").alias("rows")).select("a", "b", "rows", F.inline(F.array(*tables)))
     held = held.select("t", "ka", "kb", F.col("a").alias("found_a"), F.col("b").alias("found_b"), F.col("rows").alias("found_rows"))
+    turns = [(t, da, db) for t, (_, bits) in enumerate(spans) for da, db in turned(bits, most)]
+    turns = queries.sparkSession.createDataFrame(turns, "t int, da long, db long")
+    asked = queries.select("a", "b").distinct().select("a", "b", F.inline(F.array(*tables)))
+    asked = asked.join(F.broadcast(turns), "t").select("a", "b", "t", F.col("ka").bitwiseXOR(F.col("da")).alias("ka"), F.col("kb").bitwiseXOR(F.col("db")).alias("kb"))
     xa, xb = F.col("a").bitwiseXOR(F.col("found_a")), F.col("b").bitwiseXOR(F.col("found_b"))
-    agrees = [(xa.bitwiseAND(F.lit(ma)) == 0) & (xb.bitwiseAND(F.lit(mb)) == 0) for ma, mb in masks]
-    first = reduce(lambda rest, k: F.when(agrees[k], k).otherwise(rest), reversed(range(len(masks))), F.lit(-1))
+    apart = [sum(F.bit_count(x) for x in key(xa, xb, ma, mb)) for (ma, mb), _ in spans]
+    first = reduce(lambda rest, k: F.when(apart[k] <= most, k).otherwise(rest), reversed(range(blocks)), F.lit(-1))
     met = asked.join(held, ["t", "ka", "kb"]).where((F.bit_count(xa) + F.bit_count(xb) <= radius) & (F.col("t") == first))
     return met.select("a", "b", "found_a", "found_b", "found_rows")
 
@@ -182,11 +187,11 @@ def document_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     """One row per document with its fingerprint, its edited text's and the next document's, and their likenesses.
 
     Null and empty texts have fingerprint zero. Repeated rows and null ids stay. A single document is its own next; an empty table
-    gives none. ``n_near`` counts the other rows within three bits for ids divisible by 20, and is null for the rest.
+    gives none. ``n_near`` counts the other rows within ``NEAR_RADIUS`` bits for ids divisible by 20, and is null for the rest.
     """
     rows = stored(fingerprint_rows(docs, bucket_rows), "fingerprints")
     asked = F.col("doc_id") % QUERY_EVERY == 0
-    near = within_radius(rows.where(asked), rows).groupBy("a", "b").agg((F.sum("found_rows") - 1).alias("n_near"))
+    near = within_radius(rows.where(asked), rows, NEAR_RADIUS, NEAR_BLOCKS).groupBy("a", "b").agg((F.sum("found_rows") - 1).alias("n_near"))
     found = rows.where(asked).join(near, ["a", "b"], "left")
     rest = rows.where(~F.coalesce(asked, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
     return found.select(*rest.columns).union(rest).select(
