@@ -35,6 +35,7 @@ MOST_WORDS = 200_000
 #: Chances below this power of two are multiplied by its inverse, and how often is counted.
 LEAST_POWER = -200
 UNDETERMINED = "und"
+SURE = 20.0
 
 # Fixed value: the word mark of the vocabulary.
 MARK = chr(0x2581)
@@ -192,16 +193,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """The languages in order, and piece probabilities, from documents with an id, a language and a text."""
+def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The documents to learn from: those of ``train_docs`` ids for each language, of all with an id, a language and a text."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row per language
     near = usable.select("doc_id", "lang", hash_share("doc_id").alias("share")).join(F.broadcast(sizes), "lang")
     near = near.where(F.col("share") * F.col("n") <= SAMPLE_SLACK * train_docs)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("share", "doc_id")))
     chosen = ranked.where(F.col("rank") <= train_docs).select("doc_id", "lang")
-    # train_docs ids for each language
-    counts = stored(word_counts(usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])), "language-words")
+    return usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+
+
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
+    """The languages in order, and piece probabilities, from documents with an id, a language and a text."""
+    counts = stored(word_counts(training_sample(docs, train_docs)), "language-words")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     n = len(vocabulary(path)[0])
     p = np.full((n, len(langs)), 1 / n)
@@ -261,10 +266,11 @@ def _worker_memory(path: str, table) -> Memory:
 
 
 def languages(docs: DataFrame, langs: list[str], p: np.ndarray, path: str = VOCABULARY, step: int = 200) -> DataFrame:
-    """doc_id, the row's key, lang_pred and score for every row, from the text alone.
+    """doc_id, the row's key, lang_pred, score, letters and fit for every row, from the text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. The score is the language's share of
-    the likelihoods. Repeated rows and null ids stay; ties go to the first language in order; an empty table gives none.
+    the likelihoods. ``letters`` counts letters; ``fit`` is the log-likelihood a letter (and word mark) in the best language, null
+    where the language is ``und``. Repeated rows and null ids stay; ties go to the first language in order; an empty table gives none.
     """
     table = docs.sparkSession.sparkContext.broadcast(_padded(p))
 
@@ -274,23 +280,28 @@ def languages(docs: DataFrame, langs: list[str], p: np.ndarray, path: str = VOCA
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 texts = [words_of(t) for t in part.column("text").to_pylist()]
-                pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                letters = [sum(map(len, words)) for words in texts]
+                pred, score, fit = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
                 if langs:
                     logs = memory.score(texts)
-                    logs -= logs.max(axis=1, keepdims=True)
+                    most = logs.max(axis=1, keepdims=True)
+                    logs -= most
                     share = np.exp(logs)
                     best, top = logs.argmax(axis=1), 1 / share.sum(axis=1)
                     for k, words in enumerate(texts):
                         if words:
-                            pred[k], score[k] = langs[best[k]], top[k]
+                            pred[k], score[k], fit[k] = langs[best[k]], top[k], most[k, 0] / (letters[k] + len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", *KEY)), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                    ["doc_id", *KEY, "lang_pred", "score"],
+                    [
+                        *(part.column(c) for c in ("doc_id", *KEY)),
+                        *(pa.array(v, kind) for v, kind in zip((pred, score, letters, fit), (pa.string(), pa.float64(), pa.int64(), pa.float64()))),
+                    ],
+                    ["doc_id", *KEY, "lang_pred", "score", "letters", "fit"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", *key_columns(), "text")
-    return map_batches(rows, run, f"doc_id {kind}, k long, h long, lang_pred string, score double")
+    return map_batches(rows, run, f"doc_id {kind}, k long, h long, lang_pred string, score double, letters long, fit double")
 
 
 def held_out(key):
@@ -304,6 +315,32 @@ def identify(docs: DataFrame) -> DataFrame:
     return languages(docs, langs, p).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def least_fit(sample: DataFrame, langs: list[str], p: np.ndarray) -> float | None:
+    """A fit far below that of every learned language: null where none was learned.
+
+    For each prediction among the training documents, twice as low as their middle, or as far below their lowest hundredth as that is
+    below the middle where this is lower; the lowest of these.
+    """
+    found = languages(sample, langs, p).where("fit is not null")  # a bounded number of ids for each language
+    middle, low = F.percentile("fit", F.lit(0.5)), F.percentile("fit", F.lit(0.01))
+    limits = found.groupBy("lang_pred").agg(F.least(2 * middle, 2 * low - middle).alias("limit"))
+    return limits.agg(F.min("limit")).first()[0]
+
+
+def foreign(docs: DataFrame) -> DataFrame:
+    """The keys of texts in none of the learned languages: without a letter, or less likely a letter than ``least_fit``.
+
+    The letters of a text must fall short of the limit by ``SURE`` in all, so that a few rare letters in a short text do not count.
+    Where nothing was learned, only texts without a letter are known to be none.
+    """
+    known = docs.where(~held_out(F.col("doc_id")))
+    langs, p = learn(known)
+    limit = least_fit(training_sample(known), langs, p)
+    found = languages(docs, langs, p)
+    short = (F.lit(limit).cast("double") - F.col("fit")) * F.col("letters")
+    return found.where((F.col("letters") == 0) | F.coalesce(short > SURE, F.lit(False))).select(*KEY)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
