@@ -12,6 +12,7 @@ from slotledger.llm.near_dedup import op1_near_dedup
 from slotledger.llm.quality import op10_quality
 from slotledger.llm.spelling import op13_spelling
 from slotledger.llm.substring_dedup import op3_substring_dedup
+from slotledger.llm.suffix_tree import op11_lm_score
 from slotledger.llm.token_counts import op5_token_counts
 from slotledger.llm.token_files import op6_token_files
 
@@ -28,6 +29,7 @@ QUERIES = {
         op8_chat,
         op9_fingerprints,
         op10_quality,
+        op11_lm_score,
         op12_filter_audit,
         op13_spelling,
     )
