@@ -32,6 +32,8 @@ UNKNOWN = 1e-7
 SMOOTHING = 0.05
 MOST_LETTERS = 48
 MOST_WORDS = 200_000
+#: Words whose lattices are in memory at a time.
+WORDS_AT_ONCE = 4_000
 #: Chances below this power of two are multiplied by its inverse, and how often is counted.
 LEAST_POWER = -200
 UNDETERMINED = "und"
@@ -144,8 +146,8 @@ def word_logs(path: str, words: list[str], p: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
     for places in _by_length(words).values():
-        for start in range(0, len(places), 20_000):
-            chosen = places[start : start + 20_000]
+        for start in range(0, len(places), WORDS_AT_ONCE):
+            chosen = places[start : start + WORDS_AT_ONCE]
             alpha, times, _ = Lattice(path, [words[i] for i in chosen]).forward(p)
             out[chosen] = np.log(alpha[-1]) + times[-1] * (LEAST_POWER * np.log(2))
     return out

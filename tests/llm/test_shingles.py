@@ -75,3 +75,19 @@ def test_groups_do_not_depend_on_a_stars_centre(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.k) for r in shingle_dedup.representatives(docs).collect()} == {0}
     assert len({r.s for r in shingle_dedup.grouped(docs).collect()}) == 12 and signed(1 << 63) < 0
+
+
+def test_crowd_below_the_threshold_is_hardly_compared(spark, monkeypatch):
+    """Texts that share a passage, 0.5 to 0.79 alike: they meet in the bands, and next to none of their pairs is compared."""
+    rng, compared = random.Random(14), []
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(rng.randrange(12, 24)))) for i in range(300)]
+    sets = {i: plain_set(t) for i, t in rows}
+    likeness = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(40) for j in range(i)]
+    assert 0.5 < min(likeness) and max(likeness) < 0.8
+    rows += [(1000 + i, t + f" more{i}") for i, t in rows[:20]]
+    exact = shingle_dedup.confirmed
+    monkeypatch.setattr(shingle_dedup, "confirmed", lambda pairs, sets: compared.append(pairs.count()) or exact(pairs, sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.k for r in shingle_dedup.representatives(docs).collect()) == list(range(300))
+    assert sum(compared) <= 20 + 10
