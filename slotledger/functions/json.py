@@ -12,10 +12,10 @@ def body(text: Column) -> Column:
 
 
 class Field:
-    """One field of a body: whether it was sent, of which kind it is, and its value in several readings."""
+    """One field of a body: whether it was sent, of which kind it is, and its value in several readings. Without a name, the body itself."""
 
-    def __init__(self, parsed: Column, name: str) -> None:
-        path = f"$.{name}"
+    def __init__(self, parsed: Column, name: str | None = None) -> None:
+        path = "$" if name is None else f"$.{name}"
         self.value = F.try_variant_get(parsed, path, "variant")
         self.kind = F.schema_of_variant(self.value)
         self.sent = self.value.isNotNull()
@@ -43,8 +43,13 @@ class Field:
         )
 
     def text(self) -> Column:
-        """Text as it is; other scalars as written in Python, NULL for null and when not sent."""
-        return F.when(self.is_flag, F.initcap(self._text)).otherwise(self._text)
+        """Text as it is; other scalars as written in Python, NULL for null and when not sent. Lists and objects stay JSON."""
+        whole = self.kind.startswith("DECIMAL") & self.kind.endswith(",0)") & self._long.isNotNull()  # a whole number with a point
+        return F.when(self.is_flag, F.initcap(self._text)).when(whole, F.concat(self._text, F.lit(".0"))).otherwise(self._text)
+
+    def text_or_falsy(self) -> Column:
+        """Whether the value can be taken for a text: it is one, or is missing, null, false, zero or empty."""
+        return F.coalesce(self.is_text, F.lit(False)) | ~self.truthy()
 
     def text_or_none(self) -> Column:
         """Like ``text``, with null turned into the text None."""
@@ -60,11 +65,33 @@ class Field:
         """The elements of a list as text, in order; NULL for anything but a list."""
         return F.when(self.is_list, F.transform(self._list, _item_text))
 
+    def text_items(self) -> Column:
+        """The elements of a list that are texts, in order; empty text in place of the others."""
+        text = lambda item: F.when(_kind(item) == "STRING", F.try_variant_get(item, "$", "string"))
+        return F.when(self.is_list, F.transform(self._list, lambda item: F.coalesce(text(item), F.lit(""))))
+
     def int_items(self) -> Column:
         """The elements of a list as ``int_text``."""
         return F.when(self.is_list, F.transform(self._list, _item_int))
 
 
+def object_or_falsy(parsed: Column) -> Column:
+    """Whether fields can be asked of a body: an object, or what counts as an empty one."""
+    whole = Field(parsed)
+    return F.coalesce(whole.is_object, F.lit(False)) | ~whole.truthy()
+
+
+def texts_or_falsy(field: Field) -> Column:
+    """Whether every element of a list can be taken for a text; true for anything but a list."""
+    return F.coalesce(F.when(field.is_list, F.forall(field._list, _item_is_text)), F.lit(True))
+
+
+def _item_is_text(item: Column) -> Column:
+    kind, text = _kind(item), F.try_variant_get(item, "$", "string")
+    empty = kind.isin("VOID", "STRING", "ARRAY<VOID>", "OBJECT<>") | (kind == "BOOLEAN") & (text == "false")
+    return F.coalesce(empty | (F.try_variant_get(item, "$", "double") == 0), text.isNull())
+
+
 def _kind(item: Column) -> Column:
     return F.schema_of_variant(item)
 

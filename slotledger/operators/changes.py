@@ -21,9 +21,7 @@ def settled_bookings(outcomes: DataFrame, keys: Sequence[str] = SLOT_KEYS, held:
     """
     rows = outcomes.where(F.col("outcome").isin(BOOKED, FREED)).select(*keys, "outcome", "user_id", "seq")
     if held is not None:
-        since = F.col("booked_seq") if "booked_seq" in held.columns else F.lit(None)
-        before = held.select(*keys, F.lit(BOOKED).alias("outcome"), "user_id", since.cast("bigint").alias("seq"))
-        rows = before.unionByName(rows)
+        rows = _as_booked(held, keys).unionByName(rows)
     last = F.max_by(F.struct("outcome", "user_id", "seq"), F.coalesce("seq", F.lit(NEVER))).alias("last")
     return (
         rows.groupBy(*keys)
@@ -33,14 +31,25 @@ def settled_bookings(outcomes: DataFrame, keys: Sequence[str] = SLOT_KEYS, held:
     )
 
 
-def occupancy_intervals(outcomes: DataFrame, keys: Sequence[str] = SLOT_KEYS) -> DataFrame:
+def _as_booked(held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored bookings as the outcomes that made them."""
+    since = F.col("booked_seq") if "booked_seq" in held.columns else F.lit(None)
+    return held.select(*keys, F.lit(BOOKED).alias("outcome"), "user_id", since.cast("bigint").alias("seq"))
+
+
+def occupancy_intervals(outcomes: DataFrame, keys: Sequence[str] = SLOT_KEYS, held: DataFrame | None = None) -> DataFrame:
     """Who held which slot from which command to which, open where it is still held.
 
+    ``held`` are the stored bookings the log went on from: their intervals start where they were booked (NULL where that is not
+    known) and are open unless the log ends them.
+
     A release names the booking it ends, so the two meet in an aggregate by that booking's ``seq``. The rows of a
     busy slot spread over all tasks, which a window over its history would not allow.
     """
     booked = F.col("outcome") == BOOKED
-    ends = outcomes.where(F.col("outcome").isin(BOOKED, FREED))
+    ends = outcomes.where(F.col("outcome").isin(BOOKED, FREED)).select(*keys, "outcome", "user_id", "seq", "since")
+    if held is not None:
+        ends = ends.unionByName(_as_booked(held, keys).withColumn("since", F.lit(None).cast("bigint")))
     return (
         ends.groupBy(*keys, F.when(booked, F.col("seq")).otherwise(F.col("since")).alias("valid_from"))
         .agg(

@@ -67,12 +67,12 @@ def employee_rejects(log: DataFrame) -> DataFrame:
     return judge(log).where(F.col("error").isNotNull()).select("seq", "id", "op", "error")
 
 
-def employee_changes(log: DataFrame) -> DataFrame:
-    """The change events of the employee log: one per request that was carried out.
+def employee_changes(log: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """The change events of the employee log: one per request that was carried out. ``people`` were stored before the log.
 
     ``ref`` has the ids it dealt with, several of an add with several names, none of one without a usable name.
     """
-    done = judge(log).where(F.col("error").isNull())
+    done = judge(log, people=people).where(F.col("error").isNull())
     is_add = F.col("op").isin("add", ADD_NONE)
     ids = F.coalesce(F.array_join(F.sort_array(F.collect_list("id")), ","), F.lit(""))
     adds = done.where(is_add).groupBy("seq").agg(ids.alias("id"), F.lit("add").alias("op"))
@@ -90,6 +90,7 @@ def current_employees(
     settings_log: DataFrame | None = None,
     large_rows: int = LARGE_ROWS,
     people: DataFrame | None = None,
+    target_before: int = DEFAULT_TARGET_DAYS,
 ) -> DataFrame:
     """The employees left at the end of the log, with the last value sent of every field.
 
@@ -98,7 +99,8 @@ def current_employees(
     the log says was sent (``name_sent``, ``department_sent``) counts as NULL too. An add without
     a target takes the one configured at that time, which needs the settings log.
 
-    ``people`` are stored employees that the log goes on from; their ordinals are below the log's numbers. One stored without
+    ``target_before`` is the target configured before the settings log. ``people`` are stored employees that the log goes on
+    from; their ordinals are below the log's numbers. One stored without
     a list of shifts gets it from the first single shift sent.
     """
     done = judge(log, large_rows, people).where(F.col("error").isNull())
@@ -136,7 +138,7 @@ def current_employees(
     )
     target = F.lit(DEFAULT_TARGET_DAYS).cast("bigint")
     if settings_log is not None:
-        folded = target_as_of(folded, settings_log, along=log.where(is_add))
+        folded = target_as_of(folded, settings_log, log.where(is_add), target_before)
         target = F.col("default_target")
     return folded.select(
         "id",

@@ -125,9 +125,9 @@ def feedback_counts(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
     return counts.withColumn("count", F.col("count") + F.lit(before).cast("bigint"))
 
 
-def feedback_changes(log: DataFrame) -> DataFrame:
-    """The change events of the feedback log: the new count after each edit that changed it."""
-    return feedback_counts(log).select(
+def feedback_changes(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The change events of the feedback log: the new count after each edit that changed it, ``held`` included."""
+    return feedback_counts(log, held).select(
         F.lit("feedback").alias("log"),
         "seq",
         F.lit("feedback_count").alias("action"),

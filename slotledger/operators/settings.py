@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.functions.text import comma_items, int_items, to_int
@@ -49,27 +49,53 @@ def settings_of(effective: DataFrame) -> Settings:
     return Settings(values["desks"], values["parking"], values["targetDays"])
 
 
-def effective_lists(log: DataFrame) -> DataFrame:
-    """The last list of each list setting ``(key, numbers)``; a list is replaced as a whole, junk in it is dropped."""
+def effective_lists(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The last list of each list setting ``(key, numbers)``; a list is replaced as a whole, junk in it is dropped.
+
+    ``stored`` are lists (key, numbers) that the log goes on from.
+    """
     sent = log.where(F.col("key").isin(*LIST_SETTINGS) & F.col("raw_value").isNotNull())
     last = sent.groupBy("key").agg(F.max_by("raw_value", "seq").alias("raw_value"))
-    return last.select("key", int_items(comma_items(F.col("raw_value"))).alias("numbers"))
+    lists = last.select("key", int_items(comma_items(F.col("raw_value"))).alias("numbers"))
+    if stored is None:
+        return lists
+    known = stored.where(F.col("key").isin(*LIST_SETTINGS) & F.col("numbers").isNotNull()).select("key", "numbers")
+    both = known.withColumn("rank", F.lit(0)).unionByName(lists.withColumn("rank", F.lit(1)))  # a row or two per key
+    return both.groupBy("key").agg(F.max_by("numbers", "rank").alias("numbers"))
+
+
+def _list_text(numbers: Column) -> Column:
+    return F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",")
 
 
-def settings_changes(log: DataFrame) -> DataFrame:
+def _known_texts(stored: DataFrame | None, lists: DataFrame | None) -> dict[str, str]:
+    """Every setting's text before the log: a few numbers and two lists."""
+    known = {key: str(default) for key, default in DEFAULT_SETTINGS.items()} | dict.fromkeys(LIST_SETTINGS, "")
+    if stored is not None:
+        numbers = stored.where(F.col("key").isin(*DEFAULT_SETTINGS) & F.col("value").isNotNull())
+        known |= {r["key"]: r["text"] for r in numbers.select("key", F.col("value").cast("string").alias("text")).collect()}
+    if lists is not None:
+        named = lists.where(F.col("key").isin(*LIST_SETTINGS) & F.col("numbers").isNotNull())
+        known |= {r["key"]: r["text"] for r in named.select("key", _list_text(F.col("numbers")).alias("text")).collect()}
+    return known
+
+
+def settings_changes(log: DataFrame, stored: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """The change events of the settings log: one per request, with all settings as they are after it.
 
+    ``stored`` (key, value) and ``lists`` (key, numbers) are the settings that the log goes on from.
+
     A request is one ``seq``, however many settings it sends. One that sends none, or nothing readable, is an event too; it
     has a row with a NULL key. The detail is a JSON object.
     """
+    known = _known_texts(stored, lists)
     number, listed = to_int(F.col("raw_value")), int_items(comma_items(F.col("raw_value")))
     numbers = [F.max(F.when(F.col("key") == key, number)).alias(key) for key in DEFAULT_SETTINGS]
-    texts = F.array_join(F.transform(listed, lambda n: n.cast("string")), ",")
-    lists = [F.max(F.when(F.col("key") == key, texts)).alias(key) for key in LIST_SETTINGS]
-    requests = checkpoint(log.groupBy("seq").agg(*numbers, *lists))
+    texts = [F.max(F.when(F.col("key") == key, _list_text(listed))).alias(key) for key in LIST_SETTINGS]
+    requests = checkpoint(log.groupBy("seq").agg(*numbers, *texts))
     after = running_last(requests, "seq", [*DEFAULT_SETTINGS, *LIST_SETTINGS])
-    fields = [F.coalesce(key, F.lit(default)).cast("string") for key, default in DEFAULT_SETTINGS.items()]
-    fields += [F.concat(F.lit("["), F.coalesce(key, F.lit("")), F.lit("]")) for key in LIST_SETTINGS]
+    fields = [F.coalesce(F.col(key).cast("string"), F.lit(known[key])) for key in DEFAULT_SETTINGS]
+    fields += [F.concat(F.lit("["), F.coalesce(key, F.lit(known[key])), F.lit("]")) for key in LIST_SETTINGS]
     named = [F.concat(F.lit(f'"{key}":'), field) for key, field in zip([*DEFAULT_SETTINGS, *LIST_SETTINGS], fields)]
     return after.select(
         F.lit("settings").alias("log"),
@@ -80,12 +106,12 @@ def settings_changes(log: DataFrame) -> DataFrame:
     )
 
 
-def target_as_of(adds: DataFrame, log: DataFrame, along: DataFrame | None = None) -> DataFrame:
-    """Employee adds with ``default_target``: the weekly target configured when each add arrived.
+def target_as_of(adds: DataFrame, log: DataFrame, along: DataFrame | None = None, before: int = DEFAULT_TARGET_DAYS) -> DataFrame:
+    """Employee adds with ``default_target``: the weekly target configured when each add arrived, ``before`` the log's first one.
 
     Both logs share one arrival order. See ``scan.as_of`` for ``along``.
     """
     history = log.where(F.col("key") == "targetDays").select("seq", to_int(F.col("raw_value")).alias("default_target"))
-    default = F.lit(DEFAULT_TARGET_DAYS).cast("bigint")
+    default = F.lit(before).cast("bigint")
     found = as_of(adds, history, "seq", "default_target", along)
     return found.withColumn("default_target", F.coalesce("default_target", default))

@@ -319,6 +319,30 @@ def change_feed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def occupancy_intervals_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """What ended in the first half of the log, and all intervals of the second half, which goes on from what the first left."""
+    first, second, _ = _cut(validation.valid_commands(X.commands(spark, sf)))
+    before = checkpoint(replay(first))
+    held = checkpoint(changes.settled_bookings(before))
+    ended = changes.occupancy_intervals(before).where("valid_to is not null")
+    return ended.unionByName(changes.occupancy_intervals(replay(second, held=held), held=held))
+
+
+@query
+def change_feed_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of the first halves of all four logs, and those of the second halves, which go on from the office left."""
+    logs = (validation.valid_commands(X.commands(spark, sf)), X.config_cmds(spark, sf), X.employee_cmds(spark, sf), X.feedback_cmds(spark, sf))
+    halves = [_cut(log) for log in logs]
+    first, second = (changefeed.Logs(*(half[k] for half in halves)) for k in (0, 1))
+    outcomes = checkpoint(changefeed.outcomes_of(first))
+    left = changefeed.office_after(first, outcomes)
+    office = changefeed.Office(**{name: checkpoint(table) for name, table in left.tables().items()})
+    rest = (second.settings, second.employees, second.feedback)
+    before = changefeed.change_feed(outcomes, first.settings, first.employees, first.feedback)
+    return before.unionByName(changefeed.change_feed(changefeed.outcomes_of(second, office), *rest, before=office))
+
+
 @query
 def client_state(spark: SparkSession, sf: str) -> DataFrame:
     return spots.client_state(spots.spot_updates(X.commands(spark, sf)))
@@ -343,6 +367,13 @@ def config_lists(spark: SparkSession, sf: str) -> DataFrame:
     return settings.effective_lists(X.config_cmds(spark, sf)).select("key", numbers.alias("numbers"))
 
 
+@query
+def config_lists_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    first, second, _ = _cut(X.config_cmds(spark, sf))
+    numbers = F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",")
+    return settings.effective_lists(second, settings.effective_lists(first)).select("key", numbers.alias("numbers"))
+
+
 @query
 def shifts_normalized(spark: SparkSession, sf: str) -> DataFrame:
     log = X.employee_cmds(spark, sf).where(F.col("shifts").isNotNull())

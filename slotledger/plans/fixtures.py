@@ -231,6 +231,9 @@ CONFIG_BODIES = (
     "not json",
     '{"targetDays": null, "desks": true}',
     '{"targetDays": " +3 ", "color": "blue"}',
+    "5",
+    '"x"',
+    "[1]",
 )
 ADD_BODIES = (
     '{"names": ["A $p", " ", "B"]}',
@@ -239,6 +242,8 @@ ADD_BODIES = (
     '{"name": "X", "targetDays": "bad"}',
     '{"targetDays": "4", "shift": "evening"}',
     "[1]",
+    '{"name": 12}',
+    '{"names": [5, "a"]}',
 )
 UPDATE_FIELDS = (
     '"name": null',
@@ -252,6 +257,8 @@ SUBMIT_BODIES = (
     '{"message": "m $p", "name": "  "}',
     '{"message": "   ", "name": "a"}',
     '{"message": "m $p", "name": "a", "category": "bug"}',
+    '{"message": 5}',
+    '{"message": "m", "name": 7}',
 )
 BOOK_BODIES = (
     '{"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": $p, "userId": "u$p"}',
@@ -260,6 +267,10 @@ BOOK_BODIES = (
     '{"date": "2026-01-05", "shift": ["day"], "kind": "desks", "slot": 1, "userId": "u"}',
     '{"date": "2026-01-05", "shift": "day", "kind": "parking", "slot": true, "userId": 0}',
     '{"date": 5, "shift": "day", "kind": "parking", "slot": "x", "userId": 7}',
+    '{"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": 1.0, "userId": "v$p"}',
+    '{"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": 1.50, "userId": "w$p"}',
+    '{"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": {}, "userId": "x$p"}',
+    "[7]",
 )
 
 

@@ -91,14 +91,14 @@ from conversations where turn > 0""",
     # ---- the request log, one row per request; what each body means is written out by hand ----
     "parts": "select p_partkey as p from part",
     "settings_sent": """
-select p * 10 + 1 as seq, unnest(case p % 8
+select p * 10 + 1 as seq, unnest(case p % 11
   when 1 then [{'k': 'desks', 'v': p::varchar}]
   when 2 then [{'k': 'desks', 'v': p::varchar}, {'k': 'parking', 'v': '7'}]
   when 3 then [{'k': 'unavailableDesks', 'v': '1,3'}]
   when 4 then [{'k': 'unavailableParking', 'v': '1,2'}, {'k': 'year', 'v': '2027'}]
   when 6 then [{'k': 'targetDays', 'v': null::varchar}, {'k': 'desks', 'v': '1'}]
   when 7 then [{'k': 'targetDays', 'v': '3'}]
-  else [{'k': null::varchar, 'v': null::varchar}] end) as e from parts""",
+  else [{'k': null::varchar, 'v': null::varchar}] end) as e from parts where p % 11 <> 8""",
     "settings_after": """
 select seq, coalesce(last_value(d ignore nulls) over w, '28') as desks, coalesce(last_value(k ignore nulls) over w, '10') as parking,
   coalesce(last_value(t ignore nulls) over w, '2') as target, coalesce(last_value(y ignore nulls) over w, '2026') as yr,
@@ -110,26 +110,27 @@ from (select seq, max(e.v) filter (e.k = 'desks') as d, max(e.v) filter (e.k = '
 window w as (order by seq rows between unbounded preceding and current row)""",
     "added": """
 select p, p * 10 + 2 as seq, 'e_' || lpad(lower(to_hex(p * 10 + 2)), 8, '0') || e.x as id, e.n as name,
-  case when p % 6 = 2 then 'ops' else '' end as department,
-  case p % 6 when 2 then 'night' when 4 then 'evening' else 'day' end as shift,
-  case when p % 6 = 4 then 4 end as target
-from (select p, unnest(case p % 6 when 0 then [{'x': '', 'n': 'A ' || p}, {'x': '_1', 'n': 'B'}]
-  when 2 then [{'x': '', 'n': 'N ' || p}] when 4 then [{'x': '', 'n': 'New Employee'}]
-  when 5 then [{'x': '', 'n': 'New Employee'}] end) as e from parts where p % 6 in (0, 2, 4, 5))""",
+  case when p % 8 = 2 then 'ops' else '' end as department,
+  case p % 8 when 2 then 'night' when 4 then 'evening' else 'day' end as shift,
+  case when p % 8 = 4 then 4 end as target
+from (select p, unnest(case p % 8 when 0 then [{'x': '', 'n': 'A ' || p}, {'x': '_1', 'n': 'B'}]
+  when 2 then [{'x': '', 'n': 'N ' || p}] when 4 then [{'x': '', 'n': 'New Employee'}] end) as e from parts where p % 8 in (0, 2, 4))""",
     "submitted": """
 select p, p * 10 + 4 as seq, 'fb_' || lpad(lower(to_hex(p * 10 + 4)), 8, '0') as fb_id,
-  case p % 4 when 0 then 'Anonymous' when 1 then '' else 'a' end as name, 'm ' || p as message,
-  case p % 4 when 0 then null when 1 then 'general' else 'bug' end as category,
+  case p % 6 when 0 then 'Anonymous' when 1 then '' else 'a' end as name, 'm ' || p as message,
+  case p % 6 when 0 then null when 1 then 'general' else 'bug' end as category,
   (p * 10 + 5) % 3 <> 0 as deleted
-from parts where p % 4 <> 2""",
+from parts where p % 6 in (0, 1, 3)""",
     "booked": """
-select p * 10 + 6 as seq, case when p % 6 = 5 then '5' else '2026-01-05' end as date,
-  case when p % 6 = 3 then '["day"]' else 'day' end as shift,
-  case when p % 6 >= 4 then 'parking' else 'desks' end as kind,
-  case p % 6 when 0 then p::varchar when 1 then 'None' when 2 then '' when 3 then '1' when 4 then 'True' else 'x' end as slot,
-  case p % 6 when 0 then 'u' || p when 1 then 'u' || p when 4 then null when 5 then '7' else 'u' end as user_id,
-  case p % 6 when 2 then 'Invalid request' when 3 then 'Invalid request' when 4 then 'No user selected' end as error
-from parts""",
+select p * 10 + 6 as seq, case when p % 10 = 5 then '5' else '2026-01-05' end as date,
+  case when p % 10 = 3 then '["day"]' else 'day' end as shift,
+  case when p % 10 in (4, 5) then 'parking' else 'desks' end as kind,
+  case p % 10 when 0 then p::varchar when 1 then 'None' when 2 then '' when 3 then '1' when 4 then 'True' when 5 then 'x'
+    when 6 then '1.0' when 7 then '1.5' else '{}' end as slot,
+  case p % 10 when 0 then 'u' || p when 1 then 'u' || p when 4 then null when 5 then '7' when 6 then 'v' || p when 7 then 'w' || p
+    when 8 then 'x' || p else 'u' end as user_id,
+  case p % 10 when 2 then 'Invalid request' when 3 then 'Invalid request' when 4 then 'No user selected' end as error
+from parts where p % 10 <> 9""",
     # ---- steps shared by several queries ----
     "worked": """
 select * from bookings
@@ -497,10 +498,10 @@ union all select 'feedback', seq, 'feedback_count', fb_id::varchar, count::varch
     "change_feed_requests": with_views(
         f"""select 'bookings' as log, seq, 'booking' as action, date || '|' || shift || '|' || kind || '|' || slot as ref, user_id as detail
 from (select *, row_number() over (partition by slot order by seq) as n from booked where error is null)
-where slot <> 'None' or n = 1
+where slot not in ('None', '1.0', '1.5', '{{}}') or n = 1
 union all select 'settings', seq, 'config', null, {_CONFIG_JSON} from settings_after
 union all select 'employees', seq, 'employees', string_agg(id, ',' order by id), 'add' from added group by seq
-union all select 'employees', p * 10 + 2, 'employees', '', 'add' from parts where p % 6 = 1
+union all select 'employees', p * 10 + 2, 'employees', '', 'add' from parts where p % 8 = 1
 union all select 'employees', p * 10 + 3, 'employees', id, 'update' from added where right(id, 2) <> '_1'
 union all select 'feedback', seq, 'feedback_count', fb_id, cast(sum(step) over (order by seq) as varchar) from (
   select seq, fb_id, 1 as step from submitted union all select seq + 1, fb_id, -1 from submitted where deleted)""",
@@ -604,6 +605,9 @@ SQL["employees_resumed"] = SQL["employees_current"]
 SQL["feedback_resumed"] = SQL["feedback_current"]
 SQL["feedback_count_resumed"] = SQL["feedback_count_feed"]
 SQL["config_resumed"] = SQL["config_effective"]
+SQL["config_lists_resumed"] = SQL["config_lists"]
+SQL["occupancy_intervals_resumed"] = SQL["occupancy_intervals"]
+SQL["change_feed_resumed"] = SQL["change_feed"]
 
 
 def from_logs(start: str, end: str, body: str) -> str:

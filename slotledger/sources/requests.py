@@ -1,7 +1,7 @@
 """The request log: one JSON line per request, split into the logs of bookings, settings, employees and feedback.
 
-Bodies are taken as received. One that is not JSON counts as empty, and a field is judged by the kind it was sent with.
-All of it is per row, so a log file and a stream of log files are read by the same code.
+Bodies are taken as received. One that is not JSON counts as empty, and a field is judged by the kind it was sent with. Requests whose body
+or fields are of a kind that the operation cannot work with fail as a whole, and leave no command. All of it is per row, so a log file and a stream of log files are read by the same code.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.functions.json import Field, body
+from slotledger.functions.json import Field, body, object_or_falsy, texts_or_falsy
 from slotledger.functions.text import comma_items, int_items, shift_items, strip
 from slotledger.operators.employees import ADD_NONE, requested_names
 from slotledger.operators.validation import ADMIN_EMPLOYEE_OPS, ADMIN_FEEDBACK_OPS, authority_error
@@ -30,11 +30,13 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 100
 def booking_commands(requests: DataFrame) -> DataFrame:
     """``book`` and ``unbook`` requests as commands; see ``validation`` for which of them are valid.
 
-    The slot becomes text before it is checked: a missing one is empty, a null one reads None.
+    The slot becomes text before it is checked: a missing one is empty, a null one reads None. A date that is a list or an object
+    cannot be stored under, if the rest is valid.
     """
     parsed = body(F.col("body"))
     date, shift, kind, slot, user = (Field(parsed, n) for n in ("date", "shift", "kind", "slot", "userId"))
-    return requests.where(F.col("op").isin("book", "unbook")).select(
+    stored = ~F.coalesce((date.is_list | date.is_object) & date.truthy(), F.lit(False))
+    return requests.where(F.col("op").isin("book", "unbook") & object_or_falsy(parsed) & stored).select(
         "seq",
         F.when(date.truthy(), date.text()).alias("date"),
         shift.text().alias("shift"),
@@ -49,9 +51,11 @@ def booking_commands(requests: DataFrame) -> DataFrame:
 def settings_commands(requests: DataFrame) -> DataFrame:
     """``config`` requests as ``(seq, key, raw_value)``, a row per setting sent, or one with a NULL key where none is.
 
-    A list setting sent as anything that cannot be gone through fails the whole request.
+    A list setting sent as anything that cannot be gone through fails the whole request. So does a body in which nothing can be
+    looked up (a number, or true); a list or a text does no harm unless it names a list setting.
     """
     parsed = body(F.col("body"))
+    whole = Field(parsed)
     numbers = {key: Field(parsed, key) for key in DEFAULT_SETTINGS}
     lists = {key: Field(parsed, key) for key in LIST_SETTINGS}
 
@@ -60,7 +64,11 @@ def settings_commands(requests: DataFrame) -> DataFrame:
 
     entries = [entry(key, field.sent, field.int_text()) for key, field in numbers.items()]
     entries += [entry(key, field.sent, _list_text(field)) for key, field in lists.items()]
-    failed = F.lit(False)
+    failed = (whole.is_number | whole.is_flag) & whole.truthy()
+    for key in LIST_SETTINGS:
+        named = F.when(whole.is_list, F.array_contains(whole.items(), key)).when(whole.is_text, F.contains(whole.text(), F.lit(key)))
+        failed = failed | F.coalesce(named, F.lit(False))
+    failed = F.coalesce(failed, F.lit(False))
     for field in lists.values():
         failed = failed | F.coalesce(field.sent & ~(field.is_text | field.is_list | field.is_object), F.lit(False))
     return (
@@ -95,9 +103,13 @@ def employee_commands(requests: DataFrame) -> DataFrame:
     parsed = body(F.col("body"))
     fields = {n: Field(parsed, n) for n in ("id", "name", "department", "shifts", "shift", "remote", "hasCar")}
     target = Field(parsed, "targetDays").int_text().alias("target_days")
-    names = Field(parsed, "names").items()
+    names = Field(parsed, "names").text_items()
     log = requests.withColumn("op", F.regexp_extract("op", r"\Aemployees/(add|update|delete)\z", 1)).where("op <> ''")
-    log = _allowed(log, ADMIN_EMPLOYEE_OPS)
+    log = _allowed(log, ADMIN_EMPLOYEE_OPS).where(object_or_falsy(parsed))
+    listed = Field(parsed, "names")
+    several = F.coalesce(listed.is_list & listed.truthy(), F.lit(False))
+    fit = F.when(several, texts_or_falsy(listed)).otherwise(fields["name"].text_or_falsy())
+    log = log.where((F.col("op") != "add") | fit)
     none = F.lit(None)
 
     single = F.when(fields["shift"].sent, shift_items(F.array(F.coalesce(fields["shift"].text(), F.lit("")))))
@@ -105,7 +117,7 @@ def employee_commands(requests: DataFrame) -> DataFrame:
         F.coalesce(F.array_join(single, ","), F.lit("day"))
     )
     requested = log.where(F.col("op") == "add").select(
-        "seq", names.alias("names"), fields["name"].text().alias("name"), "body"
+        "seq", names.alias("names"), F.when(fields["name"].truthy(), fields["name"].text()).alias("name"), "body"
     )
     number = F.lower(F.lpad(F.hex("seq"), 8, "0"))
     adds = requested_names(requested, "body").select(
@@ -149,12 +161,14 @@ def feedback_commands(requests: DataFrame) -> DataFrame:
     fields = {n: Field(parsed, n) for n in ("id", "name", "message", "category")}
     log = requests.withColumn("op", F.regexp_extract("op", r"\Afeedback/(submit|delete|read)\z", 1)).where("op <> ''")
     given = F.concat(F.lit("fb_"), F.lower(F.lpad(F.hex("seq"), 8, "0")))
+    fit = fields["name"].text_or_falsy() & fields["message"].text_or_falsy()
+    log = log.where(object_or_falsy(parsed) & ((F.col("op") != "submit") | fit))
     return _allowed(log, ADMIN_FEEDBACK_OPS).select(
         "seq",
         "op",
         F.when(F.col("op") == "submit", given).otherwise(fields["id"].text()).alias("fb_id"),
-        fields["name"].text().alias("name"),
-        fields["message"].text().alias("message"),
+        F.when(fields["name"].truthy(), fields["name"].text()).alias("name"),
+        F.when(fields["message"].truthy(), fields["message"].text()).alias("message"),
         fields["category"].text().alias("category"),
         fields["category"].sent.alias("category_sent"),
         F.date_trunc("second", "ts").alias("ts"),

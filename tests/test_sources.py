@@ -50,12 +50,48 @@ def test_booking_bodies(spark, tmp_path):
     commands = R.booking_commands(R.read_requests(spark, path))
     checked = validate_commands(commands).orderBy("seq").collect()
     bad, nobody = "Invalid request", "No user selected"
-    assert [r["error"] for r in checked] == [None, None, bad, bad, bad, bad, bad, nobody, nobody, None, bad, bad, bad, None, bad]
+    assert [r["error"] for r in checked] == [None, None, bad, bad, bad, bad, bad, nobody, nobody, None, bad, bad, None, bad]  # the list fails
     assert [r["slot"] for r in checked][:4] == ["3", "None", "", ""]
-    assert (checked[13]["slot"], checked[13]["user_id"]) == ("True", "7")
+    assert (checked[12]["slot"], checked[12]["user_id"]) == ("True", "7")
     assert rows(replay(valid_commands(commands)), "seq", "outcome") == [(1, "booked"), (10, "booked"), (14, "booked"), (2, "booked")]
 
 
+def test_bodies_and_kinds_that_fail(spark, tmp_path):
+    """Each request must leave no command, however it came to be: a wrong body, or a text that is none."""
+    slot = {"date": "2026-01-05", "shift": "day", "kind": "desks", "slot": 1, "userId": "a"}
+    refused = [
+        *((op, body, 1) for op in ("book", "unbook", "employees/add", "employees/update", "employees/delete") for body in ("[1]", "5", '"x"', "true")),
+        *((f"feedback/{op}", body, 1) for op in ("submit", "delete", "read") for body in ("[1]", '"x"')),
+        ("book", {**slot, "date": ["2026-01-05"]}),
+        *(("config", body) for body in ("5", "true", '["unavailableDesks"]', '"no unavailableParking"')),
+        *(("employees/add", body, 1) for body in ({"name": 12}, {"name": ["A"]}, {"names": [5, "a"]}, {"names": ["a", {"b": 1}]}, {"names": ["a", True]})),
+        *(("feedback/submit", body) for body in ({"message": 5}, {"message": "m", "name": 7}, {"message": {"a": 1}})),
+    ]
+    path = log_file(tmp_path, refused)
+    requests = R.read_requests(spark, path)
+    for commands in (R.booking_commands, R.settings_commands, R.employee_commands, R.feedback_commands):
+        assert commands(requests).collect() == [], commands
+
+
+def test_odd_bodies_that_do_not_fail(spark, tmp_path):
+    slot = {"date": "2026-01-05", "shift": "day", "kind": "desks", "userId": "a"}
+    texts = {"1.0": 1.0, "1.5": 1.5, "1": 1, "{}": {}, "True": True, "100.0": 100.0, "-3": -3, "0.25": 0.25}
+    path = log_file(
+        tmp_path,
+        [
+            *(("book", {**slot, "slot": value}) for value in texts.values()),
+            *(("config", body) for body in ("[]", "[1]", '"x"', "0", "null", '["desks"]')),
+            *(("employees/add", body, 1) for body in ("[]", "0", {"name": 0}, {"names": [], "name": False}, {"names": [0, "", None, False, [], "Al"]})),
+            ("feedback/submit", {"message": "m", "name": 0}),
+        ],
+    )
+    requests = R.read_requests(spark, path)
+    assert [r["slot"] for r in R.booking_commands(requests).orderBy("seq").collect()] == list(texts)
+    assert [r["key"] for r in R.settings_commands(requests).collect()] == [None] * 6
+    assert sorted(r["name"] for r in R.employee_commands(requests).collect()) == ["Al"] + ["New Employee"] * 4
+    assert [r["name"] for r in current_feedback(R.feedback_commands(requests)).collect()] == ["Anonymous"]
+
+
 def test_settings_bodies(spark, tmp_path):
     path = log_file(
         tmp_path,
