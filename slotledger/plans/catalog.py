@@ -21,7 +21,7 @@ from slotledger.session import checkpoint, shared_path, tune
 from slotledger.sinks import state
 from slotledger.sources import requests as R
 from slotledger.sources import snapshot
-from slotledger.streaming import live
+from slotledger.streaming import follow, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,23 @@ def snapshot_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return first
 
 
+@query
+def store_after_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Bookings stored after the first half of the log, with the days written back that the second half touched."""
+    first, second, _ = _cut(validation.valid_commands(X.commands(spark, sf)))
+    text = F.date_format("date", "yyyy-MM-dd").alias("date_raw")
+    columns = ("date", text, "shift", "kind", "slot", "user_id")
+    tables = {name: spark.createDataFrame([], schema) for name, schema in STORED_TABLES.items()}
+    tables["bookings"] = changes.settled_bookings(replay(first)).select(*columns)
+    state.write_tables(tables, store := shared_path(spark, "store"))
+    held = snapshot.read_tables(spark, store)["bookings"]
+    outcomes = checkpoint(replay(second, held=held))
+    touched = checkpoint(state.touched_dates(outcomes))
+    left = changes.settled_bookings(outcomes, held=held).join(touched, "date", "left_semi").select(*columns)
+    state.write_days(checkpoint(left), store, touched)
+    return snapshot.read_tables(spark, store)["bookings"].select("date", "shift", "kind", "slot", "user_id")
+
+
 @query
 def bookings_applicable(spark: SparkSession, sf: str) -> DataFrame:
     return B.applicable(X.bookings(spark, sf))
@@ -496,3 +513,17 @@ def booking_outcomes_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def util_shift_live(spark: SparkSession, sf: str) -> DataFrame:
     return live.occupancy_of_log(validation.valid_commands(X.commands(spark, sf)))
+
+
+@query
+def booking_outcomes_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream in three batches, each replayed from the bookings stored by the one before."""
+    path = follow.replayed_log(validation.valid_commands(X.commands(spark, sf)), follow.follow_bookings, 3)
+    return follow.published(spark, path, "outcomes").select("seq", "date", "shift", "kind", "slot", "outcome", "by")
+
+
+@query
+def change_feed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The change feed of requests of all four kinds as a stream in two batches."""
+    path = follow.replayed_log(X.requests(spark, sf), follow.follow_requests)
+    return follow.published(spark, path, "events").drop("batch")

@@ -605,6 +605,9 @@ SQL["employees_resumed"] = SQL["employees_current"]
 SQL["feedback_resumed"] = SQL["feedback_current"]
 SQL["feedback_count_resumed"] = SQL["feedback_count_feed"]
 SQL["config_resumed"] = SQL["config_effective"]
+SQL["booking_outcomes_batches"] = SQL["booking_outcomes"]
+SQL["change_feed_stream"] = SQL["change_feed_requests"]
+SQL["store_after_log"] = f'select date, shift, kind, slot, user_id from ({SQL["bookings_settled"]})'
 SQL["config_lists_resumed"] = SQL["config_lists"]
 SQL["occupancy_intervals_resumed"] = SQL["occupancy_intervals"]
 SQL["change_feed_resumed"] = SQL["change_feed"]

@@ -7,23 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotledger.operators.bookings import flatten_bookings, nest_bookings, with_dates
+from slotledger.operators.room import BOOKED, FREED
 from slotledger.schemas import DAY_DOCUMENT, STORED_TABLES
+from slotledger.sinks.versions import commit, committed, folder
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Replace the stored state. Give it another path than the tables were read from."""
+    """Replace the stored state, all tables at once: readers see the old state until the last table is written."""
+    spark = next(iter(tables.values())).sparkSession
+    last = committed(spark, path)
+    version = 0 if last is None else last + 1
     for name, table in tables.items():
         types = {f.name: f.dataType for f in STORED_TABLES[name]}
         table = table.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in table.columns])
         if name == "bookings":
-            _write_bookings(table, f"{path}/{name}", "static")
+            _write_bookings(table, f"{folder(path, version)}/{name}", "static")
         else:
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            table.write.mode("overwrite").parquet(f"{folder(path, version)}/{name}")
+    commit(spark, path, version)
 
 
-def write_days(bookings: DataFrame, path: str) -> None:
-    """Replace the dates that have rows here, and leave the other dates of the stored bookings alone."""
-    _write_bookings(bookings, f"{path}/bookings", "dynamic")
+def write_days(bookings: DataFrame, path: str, touched: DataFrame | None = None) -> None:
+    """Replace the dates that have rows here, and leave the files of the other dates of the stored bookings alone.
+
+    ``touched`` (date) are dates to replace even if nothing is left on them; such a date keeps one row without a slot, which readers
+    leave out. The rows must not come from the files that are replaced: pass a checkpoint.
+    """
+    spark = bookings.sparkSession
+    if touched is not None:
+        empty = touched.select("date").distinct().join(bookings.select("date").distinct(), "date", "left_anti")
+        bookings = bookings.unionByName(empty.withColumn("date_raw", F.date_format("date", "yyyy-MM-dd")), allowMissingColumns=True)
+    last = committed(spark, path)
+    _write_bookings(bookings, f"{folder(path, last or 0)}/bookings", "dynamic")
+    if last is None:
+        commit(spark, path, 0)
+
+
+def touched_dates(outcomes: DataFrame) -> DataFrame:
+    """The dates on which a log changed what is held."""
+    return outcomes.where(F.col("outcome").isin(BOOKED, FREED)).select("date").distinct()
 
 
 def _write_bookings(bookings: DataFrame, path: str, overwrite: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from slotledger.operators.bookings import flatten_bookings, with_dates
 from slotledger.schemas import DEFAULT_SETTINGS, LIST_SETTINGS, SNAPSHOT_DOCUMENT, STORED_TABLES, Settings
+from slotledger.sinks.versions import committed, folder
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -74,8 +75,13 @@ def report_settings(settings: DataFrame) -> Settings:
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables ``write_tables`` stored, empty ones included."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in STORED_TABLES.items()}
+    """The tables ``write_tables`` stored last, empty ones included."""
+    version = committed(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no complete state below {path}")
+    stored = folder(path, version)
+    tables = {name: spark.read.schema(schema).parquet(f"{stored}/{name}") for name, schema in STORED_TABLES.items()}
+    return tables | {"bookings": tables["bookings"].where("slot is not null")}
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:

@@ -93,7 +93,7 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 # ---- a stored log as a stream -------------------------------------------------------------------------------------
 
 
-def _slices(log: DataFrame, slices: int) -> Iterator[DataFrame]:
+def cut_log(log: DataFrame, slices: int) -> Iterator[DataFrame]:
     """The log in consecutive pieces of about equal size, as filters on ``seq`` at its quantiles; rows without one come first."""
     points = [n / slices for n in range(1, slices)]
     cuts = log.agg(F.percentile_approx("seq", points, 100 * slices)).first()[0] if points else None
@@ -119,7 +119,7 @@ def run_log(
     log = commands.select(*GROUP_KEYS, *PAYLOAD)
     inbox, outbox, progress = (shared_path(spark, label) for label in ("inbox", "outbox", "progress"))
     published = None
-    for number, part in enumerate(_slices(log, slices)):
+    for number, part in enumerate(cut_log(log, slices)):
         part.write.mode("overwrite").parquet(f"{inbox}/slice={number:05d}")
         stream = build(spark.readStream.schema(log.schema).parquet(f"{inbox}/slice=*"))
         write_changes(stream, outbox, progress, mode).awaitTermination()

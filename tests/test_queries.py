@@ -66,7 +66,7 @@ def test_stored_bookings_are_pruned_by_date(spark, small, tmp_path):
     from slotledger.sinks.state import write_days
 
     write_days(X.bookings(spark, small), str(tmp_path))
-    stored = spark.read.parquet(f"{tmp_path}/bookings")
+    stored = spark.read.parquet(f"{tmp_path}/version=0/bookings")
     text = plan(U.daily_means(stored, Settings(), "1998-02-10"))
     scan = next(line for line in text.splitlines() if "PartitionFilters" in line)
     assert "1998-02-01" in scan and "1998-02-28" in scan
