@@ -163,7 +163,7 @@ def take_mix(docs: DataFrame) -> DataFrame:
         F.xxhash64(*alike).alias("_key"), *[F.col(c).alias(f"_{c}") for c in [*alike, "copies", "rows"]]
     )
     size, source = word_count(F.col("text")), F.col("source").cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), size.alias("_n"), F.xxhash64("doc_id", source, size).alias("_at"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), size.alias("_n"), F.xxhash64("doc_id", source, size).alias("_at"))
     same = (
         (F.col("_at") == F.col("_key"))
         & F.col("_row.doc_id").eqNullSafe(F.col("_doc_id"))
