@@ -38,7 +38,8 @@ def period_counts(bookings: DataFrame, start: dt.date, end: dt.date) -> DataFram
     return complete_counts(within(bookings, start, end), shift_calendar(bookings.sparkSession, start, end))
 
 
-def _share(held: Column, capacity: int, cells: Column) -> Column:
+def share(held: Column, capacity: int, cells: Column) -> Column:
+    """Part of the capacity that is held over so many shifts; zero where there is no capacity."""
     if not capacity:
         return F.lit(0.0)
     return F.round(held.cast("double") / (F.lit(capacity) * cells).cast("double"), DIGITS)
@@ -46,8 +47,8 @@ def _share(held: Column, capacity: int, cells: Column) -> Column:
 
 def _shares(settings: Settings, cells: Column) -> list[Column]:
     return [
-        _share(F.col("desks"), settings.desks, cells).alias("desk_util"),
-        _share(F.col("parking"), settings.parking, cells).alias("parking_util"),
+        share(F.col("desks"), settings.desks, cells).alias("desk_util"),
+        share(F.col("parking"), settings.parking, cells).alias("parking_util"),
     ]
 
 
@@ -152,8 +153,8 @@ def summary(bookings: DataFrame, employees: DataFrame, settings: Settings, perio
         row(5, "Employees", number=F.col("people")),
         row(6, "Desk bookings", number=F.col("desks")),
         row(7, "Parking bookings", number=F.col("parking")),
-        row(8, "Avg desk utilization", number=_share(F.col("desks"), settings.desks, F.col("cells"))),
-        row(9, "Avg parking utilization", number=_share(F.col("parking"), settings.parking, F.col("cells"))),
+        row(8, "Avg desk utilization", number=share(F.col("desks"), settings.desks, F.col("cells"))),
+        row(9, "Avg parking utilization", number=share(F.col("parking"), settings.parking, F.col("cells"))),
     ]
     return totals.select(F.inline(F.array(*rows)))
 

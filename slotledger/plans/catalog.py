@@ -11,7 +11,7 @@ from slotledger.functions.periods import resolve_period
 from slotledger.functions.text import shift_list, to_int
 from slotledger.operators import bookings as B
 from slotledger.operators import calendar as C
-from slotledger.operators import changes, employees, feedback, presence, settings, spots, validation
+from slotledger.operators import changes, employees, feedback, presence, report_requests, settings, spots, validation
 from slotledger.operators import utilization as U
 from slotledger.operators.replay import replay
 from slotledger.plans import changefeed
@@ -121,14 +121,23 @@ def calendar_shifts(spark: SparkSession, sf: str) -> DataFrame:
     return C.span_calendar(X.table(spark, sf, "orders"), "o_orderdate")
 
 
-@query
-def period_bounds(spark: SparkSession, sf: str) -> DataFrame:
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A report request for every order date and period name."""
     dates = X.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
-    requests = dates.select(
+    return dates.select(
         F.explode(F.array(*map(F.lit, PERIOD_NAMES))).alias("period"),
         F.date_format("date", "yyyy-MM-dd").alias("ref"),
     )
-    return C.resolve_periods(requests)
+
+
+@query
+def period_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return C.resolve_periods(_requests(spark, sf))
+
+
+@query
+def summary_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return report_requests.request_summaries(X.bookings(spark, sf), _requests(spark, sf), REPORT)
 
 
 # ---- utilization ------------------------------------------------------------------------------------------------

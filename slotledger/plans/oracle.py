@@ -598,6 +598,22 @@ where d.op = 'delete' and (h.deleted is null or h.deleted <> d.seq)""",
     "feedback_count_feed": with_views("select seq, fb_id, op, count from feedback_counts", "feedback_counts"),
 }
 
+SQL["summary_requests"] = with_views(
+    f"""
+, r as ({SQL["period_bounds"]}),
+d as (select date, count(*) filter (where kind = 'desks') as desks, count(*) filter (where kind = 'parking') as parking
+  from worked group by date),
+c as (select date, case when isodow(date) >= 6 then 1 else 3 end as cells
+  from (select unnest(cast(generate_series(min(start_date), max(end_date), interval 1 day) as date[])) as date from r)),
+b as (select distinct start_date, end_date from r),
+n as (select start_date, end_date, sum(cells) as cells, coalesce(sum(desks), 0) as desks, coalesce(sum(parking), 0) as parking
+  from b join c on c.date between start_date and end_date left join d on d.date = c.date group by start_date, end_date)
+select period, ref, start_date, end_date, cells::bigint as cells, desks::bigint as desks, parking::bigint as parking,
+  round(desks::double / (28 * cells)::double, 6) as desk_util, round(parking::double / (10 * cells)::double, 6) as parking_util
+from r join n using (start_date, end_date)""",
+    "worked",
+)
+
 # A log in halves gives what the whole log gives.
 SQL["booking_outcomes_resumed"] = SQL["booking_outcomes_cut"] = SQL["booking_outcomes"]
 SQL["bookings_settled_resumed"] = SQL["bookings_settled"]
