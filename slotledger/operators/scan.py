@@ -16,19 +16,22 @@ from pyspark.sql import functions as F
 MAX_RANGES = 10_000
 
 
-def _cutter(rows: DataFrame, order: str) -> tuple[Callable[[DataFrame], DataFrame], int]:
-    """Cut the order at quantiles of these rows: what adds a row's ``range`` number, and how many ranges there are."""
+def cutter(rows: DataFrame, order: str) -> tuple[Callable[..., DataFrame], int]:
+    """Cut the order at quantiles of these rows: what adds a row's ``range`` number, and how many ranges there are.
+
+    Other rows can be cut at the same places, by any ``column``, and the number go by another ``name``.
+    """
     ranges = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     points = [n / ranges for n in range(1, ranges)]
     position = F.col(order).cast("double").alias("_order")
     inner = rows.select(position).approxQuantile("_order", points, 1 / (4 * ranges)) if points else []
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]
 
-    def cut(some: DataFrame) -> DataFrame:
+    def cut(some: DataFrame, column: str = order, name: str = "range") -> DataFrame:
         if len(splits) == 2:
-            return some.withColumn("range", F.lit(0.0))
-        buckets = Bucketizer(splits=splits, inputCol="_order", outputCol="range")
-        return buckets.transform(some.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+            return some.withColumn(name, F.lit(0.0))
+        buckets = Bucketizer(splits=splits, inputCol="_order", outputCol=name)
+        return buckets.transform(some.withColumn("_order", F.col(column).cast("double"))).drop("_order")
 
     return cut, len(splits) - 1
 
@@ -38,7 +41,7 @@ def running_total(rows: DataFrame, order: str, value: str, total: str) -> DataFr
 
     The rows are gone through three times (cut, summaries, scan): pass in a table or a checkpoint.
     """
-    cutter, _ = _cutter(rows, order)
+    cutter, _ = cutter(rows, order)
     cut = cutter(rows)
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = (
@@ -62,7 +65,7 @@ def as_of(rows: DataFrame, history: DataFrame, order: str, value: str, along: Da
     that are costly to compute: they are then gone through only once.
     """
     both = (rows if along is None else along).select(order).unionByName(history.select(order))
-    cut, ranges = _cutter(both, order)
+    cut, ranges = cutter(both, order)
     known = cut(history.select(order, value).where(F.col(value).isNotNull()))
     last = known.groupBy("range").agg(F.max_by(value, order).alias("_last"))
     every = rows.sparkSession.range(ranges).select(F.col("id").cast("double").alias("range"))
@@ -88,7 +91,7 @@ def running_last(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
 
     The rows are gone through three times (cut, summaries, scan): pass in a table or a checkpoint.
     """
-    cutter, _ = _cutter(rows, order)
+    cutter, _ = cutter(rows, order)
     cut = cutter(rows)
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     last = cut.groupBy("range").agg(

@@ -11,7 +11,7 @@ from slotledger.functions.periods import resolve_period
 from slotledger.functions.text import shift_list, to_int
 from slotledger.operators import bookings as B
 from slotledger.operators import calendar as C
-from slotledger.operators import changes, employees, feedback, presence, report_requests, settings, spots, validation
+from slotledger.operators import changes, employees, feedback, images, presence, report_requests, settings, spots, validation
 from slotledger.operators import utilization as U
 from slotledger.operators.replay import replay
 from slotledger.plans import changefeed
@@ -345,6 +345,11 @@ def change_feed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def booking_event_images(spark: SparkSession, sf: str) -> DataFrame:
+    return images.event_images(_outcomes(spark, sf))
+
+
 @query
 def occupancy_intervals_resumed(spark: SparkSession, sf: str) -> DataFrame:
     """What ended in the first half of the log, and all intervals of the second half, which goes on from what the first left."""

@@ -598,6 +598,13 @@ where d.op = 'delete' and (h.deleted is null or h.deleted <> d.seq)""",
     "feedback_count_feed": with_views("select seq, fb_id, op, count from feedback_counts", "feedback_counts"),
 }
 
+SQL["booking_event_images"] = with_views(
+    """, e as (select seq, date from outcomes where outcome in ('booked', 'rebook', 'freed')),
+t as (select date, seq, valid_to, shift || '|' || kind || '|' || slot || '=' || user_id as held from moves where outcome = 'booked')
+select e.seq, e.date, coalesce(string_agg(t.held, ',' order by t.held), '') as image
+from e left join t on t.date = e.date and t.seq <= e.seq and (t.valid_to is null or t.valid_to > e.seq) group by e.seq, e.date""",
+    "moves",
+)
 SQL["summary_requests"] = with_views(
     f"""
 , r as ({SQL["period_bounds"]}),
