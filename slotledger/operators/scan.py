@@ -41,8 +41,8 @@ def running_total(rows: DataFrame, order: str, value: str, total: str) -> DataFr
 
     The rows are gone through three times (cut, summaries, scan): pass in a table or a checkpoint.
     """
-    cutter, _ = cutter(rows, order)
-    cut = cutter(rows)
+    into_ranges, _ = cutter(rows, order)
+    cut = into_ranges(rows)
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = (
         cut.groupBy("range")
@@ -91,8 +91,8 @@ def running_last(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
 
     The rows are gone through three times (cut, summaries, scan): pass in a table or a checkpoint.
     """
-    cutter, _ = cutter(rows, order)
-    cut = cutter(rows)
+    into_ranges, _ = cutter(rows, order)
+    cut = into_ranges(rows)
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     last = cut.groupBy("range").agg(
         *(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_{v}") for v in values)
