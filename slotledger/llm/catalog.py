@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotledger.llm.chat import op8_chat
+from slotledger.llm.chat import OP8_SQL, op8_chat
 from slotledger.llm.decontamination import OP2_SQL, op2_decontamination
 from slotledger.llm.doc_fingerprints import op9_fingerprints
 from slotledger.llm.filter_audit import OP12_SQL, op12_filter_audit
@@ -11,7 +11,7 @@ from slotledger.llm.mixing import op7_mixing
 from slotledger.llm.near_dedup import op1_near_dedup
 from slotledger.llm.quality import op10_quality
 from slotledger.llm.spelling import op13_spelling
-from slotledger.llm.substring_dedup import op3_substring_dedup
+from slotledger.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from slotledger.llm.suffix_tree import op11_lm_score
 from slotledger.llm.token_counts import op5_token_counts
 from slotledger.llm.token_files import op6_token_files
@@ -35,4 +35,9 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op12_filter_audit": OP12_SQL}
+SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op8_chat": OP8_SQL,
+    "op12_filter_audit": OP12_SQL,
+}

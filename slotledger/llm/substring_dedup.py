@@ -327,3 +327,16 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(read_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35),
+v AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS w FROM p),
+b AS (SELECT r, i FROM v QUALIFY count(*) OVER (PARTITION BY w) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM b),
+x AS (SELECT r, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w FROM d),
+k AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY j) AS kept FROM x ANTI JOIN c USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
