@@ -5,7 +5,7 @@ taken to be bad. A linear model is trained to minimise the non-negative unbiased
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss, where ``prior`` is the share of good documents among the labelled
 ones of the training fold. Text becomes a bounded vector: shares of character classes, repetition of words and lines, lengths, and a
 hashed histogram of word shapes. Training uses at most ``train_rows`` positives and as many unlabelled documents, those with
-the smallest hash of their id, so the driver holds two small matrices whatever the corpus; every document is scored.
+the smallest hash of their id and one row of each id, so the driver holds two small matrices whatever the corpus; every document is scored.
 """
 
 from __future__ import annotations
@@ -116,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = TRAIN_RO
 
     def smallest(rows: DataFrame, n: int, kind: int, *salt) -> DataFrame:
         near = rows.select("doc_id", hash_share("doc_id", *salt).alias("share")).where(F.col("share") * n <= SAMPLE_SLACK * train_rows)
-        return near.orderBy("share", "doc_id").limit(train_rows).select("doc_id", F.lit(kind).alias("kind"))
+        return near.distinct().orderBy("share", "doc_id").limit(train_rows).select("doc_id", F.lit(kind).alias("kind"))
 
     chosen = smallest(known.where("high = 1"), n_good, 1)
-    others = smallest(pool, pool.count(), 0, F.lit("u"))
-    sample = pool.join(F.broadcast(chosen.unionAll(others)), "doc_id")  # at most twice train_rows ids
+    others = smallest(pool, pool.select("doc_id").distinct().count(), 0, F.lit("u"))
+    rows = pool.join(F.broadcast(chosen.unionAll(others)), "doc_id")
+    sample = rows.groupBy("doc_id", "kind").agg(F.min("text").alias("text"))  # at most twice train_rows rows
     table = _vectors(sample, "kind").toArrow()
     kinds = np.array(table["kind"].to_pylist(), int)
     x = np.array(table["x"].to_pylist(), float).reshape(-1, WIDTH)

@@ -114,6 +114,21 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert {r.score for r in flat} == {0.5}
 
 
+def test_one_row_of_each_chosen_id_is_trained_on(spark, monkeypatch):
+    docs = [(7, f"good text number {i}") for i in range(3000)] + [(i, f"text number {i}") for i in range(100, 160)]
+    labels = spark.createDataFrame([(7, 1), (101, 0)], "doc_id long, quality int")
+    brought = []
+    vectors = quality._vectors
+
+    def counted(rows, extra):
+        brought.append(rows.count())
+        return vectors(rows, extra)
+
+    monkeypatch.setattr(quality, "_vectors", counted)
+    quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels, lambda key: crc_mod(key, 5) == 0, train_rows=20)
+    assert 0 < brought[0] <= 40
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(9)
     good, bad = rng.normal(1, 0.4, (400, quality.WIDTH)), rng.normal(-1, 0.4, (400, quality.WIDTH))
