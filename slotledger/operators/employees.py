@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.text import or_default, shift_list, strip, to_int
 from slotledger.operators.settings import target_as_of
-from slotledger.operators.skew import LARGE_ROWS, LargeGroups, join_unique, large_groups
 from slotledger.schemas import DEFAULT_TARGET_DAYS, EMPLOYEE_NOT_FOUND, SHIFTS
+from slotledger.session import written
 
 # Fixed value: the name of an employee added without one.
 NEW_EMPLOYEE = "New Employee"
@@ -31,7 +31,7 @@ def requested_names(requests: DataFrame, *kept: str) -> DataFrame:
     return requests.select("seq", *kept, F.posexplode(names).alias("position", "name"))
 
 
-def lifespans(log: DataFrame, large: LargeGroups | None = None, people: DataFrame | None = None) -> DataFrame:
+def lifespans(log: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """When each employee was added and first deleted after that, by ``seq``: one row per id.
 
     ``people`` are stored employees, there since their ordinal.
@@ -43,21 +43,21 @@ def lifespans(log: DataFrame, large: LargeGroups | None = None, people: DataFram
     if people is not None:
         adds = adds.unionByName(people.select("id", F.col("ordinal").cast("bigint").alias("added")))
     deletes = log.where(F.col("op") == "delete").select("id", "seq")
-    later = join_unique(deletes, adds, "id", large, "inner").where(F.col("seq") > F.col("added"))
+    adds = written(adds, "added")
+    later = deletes.join(adds, "id").where(F.col("seq") > F.col("added"))
     return adds.join(later.groupBy("id").agg(F.min("seq").alias("ended")), "id", "left")
 
 
-def judge(log: DataFrame, large_rows: int = LARGE_ROWS, people: DataFrame | None = None) -> DataFrame:
+def judge(log: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """The log with ``added``, ``ended`` and ``error``: NULL for commands that were carried out.
 
-    An id with very many commands is judged where its commands are, without shuffling them.
+    The lifespans are written first, so that adaptive execution can split an id with very many commands.
     """
-    large = large_groups(log, ["id"], large_rows)
     seq, added, ended = F.col("seq"), F.col("added"), F.col("ended")
     alive = (seq > added) & (ended.isNull() | (seq <= ended))
     carried_out = F.when(F.col("op") == "add", seq == added).when(F.col("op") == ADD_NONE, True).otherwise(alive)
     reason = F.when(F.col("op") == "add", BAD_TARGET).otherwise(EMPLOYEE_NOT_FOUND)
-    return join_unique(log, lifespans(log, large, people), "id", large).withColumn(
+    return log.join(written(lifespans(log, people), "lifespans"), "id", "left").withColumn(
         "error", F.when(~F.coalesce(carried_out, F.lit(False)), reason)
     )
 
@@ -88,7 +88,6 @@ def employee_changes(log: DataFrame, people: DataFrame | None = None) -> DataFra
 def current_employees(
     log: DataFrame,
     settings_log: DataFrame | None = None,
-    large_rows: int = LARGE_ROWS,
     people: DataFrame | None = None,
     target_before: int = DEFAULT_TARGET_DAYS,
 ) -> DataFrame:
@@ -103,7 +102,7 @@ def current_employees(
     from; their ordinals are below the log's numbers. One stored without
     a list of shifts gets it from the first single shift sent.
     """
-    done = judge(log, large_rows, people).where(F.col("error").isNull())
+    done = judge(log, people).where(F.col("error").isNull())
     alive = done.where(F.col("ended").isNull() & (F.col("op") != ADD_NONE))
     is_add = F.col("op") == "add"
     lone_shift = F.when(F.col("shifts").isNull() & F.col("shift").isin(*SHIFTS), F.col("shift"))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from slotledger.functions.text import or_default, strip
 from slotledger.operators.scan import running_total
-from slotledger.operators.skew import LARGE_ROWS, LargeGroups, join_unique, large_groups
 from slotledger.schemas import FEEDBACK_NOT_FOUND, MESSAGE_REQUIRED
-from slotledger.session import checkpoint
+from slotledger.session import checkpoint, written
 
 # What stored feedback is cut to, and what missing parts become.
 NAME_LENGTH, MESSAGE_LENGTH = 80, 1000
@@ -54,24 +53,15 @@ def _arrivals(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
     return new if held is None else held.select("fb_id", F.col("seq").alias("submitted")).unionByName(new)
 
 
-def _large_ids(log: DataFrame, large_rows: int) -> LargeGroups | None:
-    """Ids edited very often, existing or not. Submissions have an id each and need no counting."""
-    return large_groups(log.where(F.col("op").isin(*EDITS)), ["fb_id"], large_rows)
-
-
-def histories(log: DataFrame, large_rows: int = LARGE_ROWS, held: DataFrame | None = None) -> DataFrame:
+def histories(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Per stored submission: when it was submitted, first deleted and first marked as read.
 
     Edits of ids that do not exist meet no submission and drop out before the aggregate.
     """
-    return _histories(log, _large_ids(log, large_rows), held)
-
-
-def _histories(log: DataFrame, large: LargeGroups | None, held: DataFrame | None = None) -> DataFrame:
     edits = log.where(F.col("op").isin(*EDITS)).select("fb_id", "seq", "op")
-    arrivals = _arrivals(log, held)
+    arrivals = written(_arrivals(log, held), "arrivals")
     edited = (
-        join_unique(edits, arrivals, "fb_id", large, "inner")
+        edits.join(arrivals, "fb_id")
         .where(F.col("seq") > F.col("submitted"))
         .groupBy("fb_id")
         .agg(
@@ -96,16 +86,15 @@ def current_feedback(log: DataFrame, held: DataFrame | None = None) -> DataFrame
     return rows.join(left, "fb_id").withColumn("read", F.col("read") | F.col("marked")).drop("marked")
 
 
-def feedback_rejects(log: DataFrame, large_rows: int = LARGE_ROWS) -> DataFrame:
+def feedback_rejects(log: DataFrame) -> DataFrame:
     """Blank submissions, and deletes of ids that are not stored at that time."""
-    large = _large_ids(log, large_rows)
     blank = clean_submissions(log).where(F.col("error").isNotNull()).select(
         "seq", F.lit("submit").alias("op"), "fb_id", "error"
     )
     deletes = log.where(F.col("op") == "delete").select("seq", "op", "fb_id")
     first = F.coalesce(F.col("seq") == F.col("deleted"), F.lit(False))
     unknown = (
-        join_unique(deletes, _histories(log, large).select("fb_id", "deleted"), "fb_id", large)
+        deletes.join(written(histories(log).select("fb_id", "deleted"), "deletions"), "fb_id", "left")
         .where(~first)
         .select("seq", "op", "fb_id", F.lit(FEEDBACK_NOT_FOUND).alias("error"))
     )

@@ -1,4 +1,4 @@
-"""Finding groups too large for one task, and joining a log to one row per key without gathering them."""
+"""Finding groups too large for one task."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that may meet in one task of a shuffled join.
+# Rows of one group that one task may work through.
 LARGE_ROWS = 2_000_000
 # The limit grows with the data so that there are never more large groups than this.
 MOST_GROUPS = 20_000
@@ -41,21 +41,3 @@ def large_groups(
         return None
     found = rows.sparkSession.createDataFrame(large, sizes.schema).select(*keys)
     return LargeGroups(found, sum(row["rows"] for row in large), limit)
-
-
-def join_unique(rows: DataFrame, table: DataFrame, key: str, large: LargeGroups | None, how: str = "left") -> DataFrame:
-    """Join rows to a table with one row per key, ``how`` being "left" or "inner".
-
-    The rows of large keys are not shuffled at all: the few table rows they need are broadcast to them. All others
-    go through an ordinary join.
-    """
-    if large is None:
-        return rows.join(table, key, how)
-    marks = F.broadcast(large.keys)
-    few = F.broadcast(table.join(marks, key, "left_semi"))  # one row per large key at most
-    known = rows.where(F.col(key).isNotNull())
-    small = known.join(marks, key, "left_anti").join(table, key, how)
-    joined = small.unionByName(known.join(marks, key, "left_semi").join(few, key, how))
-    if how == "left":
-        joined = joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
-    return joined

@@ -66,6 +66,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a result below the shared folder and read it again, as rows in no particular partitioning.
+
+    A join with the copy shuffles both its sides plainly, which lets adaptive execution split a hot key of the other one.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and go on from the written copy, which outlives lost executors."""
     spark = df.sparkSession

@@ -49,10 +49,32 @@ def test_employee_fold_matches_model(spark, seed):
     assert {i: {k: got[i][k] for k in people[i]} for i in got} == people
     assert sorted((r["seq"], r["op"]) for r in employees.employee_rejects(df).collect()) == refused
     assert employees.employee_changes(df).count() == len(log) - len(refused)
-    # with busy ids handled apart
-    again = {r["id"]: r.asDict() for r in employees.current_employees(df, large_rows=30).collect()}
-    assert again == got
-    assert employees.judge(df, large_rows=30).where("error is not null").count() == len(refused)
+    assert employees.judge(df).where("error is not null").count() == len(refused)
+
+
+def test_adaptive_execution_splits_a_busy_employee(spark):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+    }
+    names = [part.split()[0] for part in EMPLOYEE_DDL.split(", ")]
+    empty = dict.fromkeys(names)
+    log = [empty | {"seq": i, "id": f"e{i}", "op": "add", "name": f"n{i}"} for i in range(50)]
+    log += [empty | {"seq": 50 + i, "id": "e7", "op": "update", "name": f"again {i}"} for i in range(20_000)]
+    df = spark.createDataFrame([tuple(c[n] for n in names) for c in log], EMPLOYEE_DDL).repartition(8)
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        judged = employees.judge(df)
+        assert len(judged.where("error is null").collect()) == len(log)
+        judged.collect()
+        assert "skew=true" in judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_failed_add_leaves_nothing(spark):
@@ -115,9 +137,8 @@ def test_feedback_fold_matches_model(spark, seed):
     busy = [(1000 + n, "read" if n % 3 else "delete", 2 if n % 2 else None, None, None, None) for n in range(60)]
     more = df.unionByName(df.sparkSession.createDataFrame(busy, df.schema))
     stored, refused, _ = feedback_model(log + [(q, o, i, None) for q, o, i, *_ in busy])
-    assert sorted(r["seq"] for r in feedback.feedback_rejects(more, large_rows=10).collect()) == refused
     assert sorted(r["seq"] for r in feedback.feedback_rejects(more).collect()) == refused
-    left = feedback.histories(more, large_rows=10).where("deleted is null")
+    left = feedback.histories(more).where("deleted is null")
     assert {r["fb_id"]: r["first_read"] is not None for r in left.collect()} == stored
 
 
