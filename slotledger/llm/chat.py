@@ -45,7 +45,7 @@ def unescape(text: str) -> str:
 def pieces(path: str) -> list[bytes]:
     """The bytes of every id, by id."""
     letters = byte_letters()
-    vocab = load(path)[0].get_vocab()
+    vocab = load(path).get_vocab()
     table = [b""] * (max(vocab.values()) + 1)
     for piece, i in vocab.items():
         table[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()

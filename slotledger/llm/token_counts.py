@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotledger.llm.common import map_batches, read_table, text_or_empty
-from slotledger.llm.tokens import TOKENIZER_PATH, Remembered, byte_letters, chunks_apart, encode_whole, load
+from slotledger.llm.tokens import TOKENIZER_PATH, Remembered, byte_letters, chunks, encode_all, encode_whole, load
 
 
 def frequent_lengths(path: str) -> dict[str, int]:
@@ -19,15 +19,15 @@ def frequent_lengths(path: str) -> dict[str, int]:
     At most as many as the vocabulary has entries, whatever the corpus.
     """
     letters = byte_letters()
-    table = {}
-    for piece in load(path)[0].get_vocab():
+    found = []
+    for piece in load(path).get_vocab():
         try:
             text = bytes(letters[c] for c in piece).decode()
         except (KeyError, UnicodeDecodeError):
             continue
-        if text[:1] == " " and " " not in text[1:] and chunks_apart(text):
-            table[text[1:]] = len(encode_whole(path, text))
-    return table
+        if text[:1] == " " and chunks(text) == ["", text[1:]]:
+            found.append(text)
+    return {text[1:]: len(ids) for text, ids in zip(found, encode_all(path, found))}
 
 
 @lru_cache(maxsize=4)
@@ -37,10 +37,8 @@ def _worker_lengths(path: str, table) -> Remembered:
 
 
 def count_text(path: str, lengths: Remembered, text: str) -> int:
-    if not chunks_apart(text):
-        return len(encode_whole(path, text))
-    head, *rest = text.split(" ")
-    return len(encode_whole(path, head)) + sum(map(lengths.__getitem__, rest))
+    head, *rest = chunks(text)
+    return len(encode_whole(path, head)) + sum(lengths.values_of(rest))
 
 
 def token_counts(docs: DataFrame, limit: int = 512, path: str = TOKENIZER_PATH) -> DataFrame:

@@ -1,57 +1,37 @@
-"""Exact token ids of a byte-level BPE file, remembered by space-led chunk.
+"""Exact token ids of a byte-level BPE file from the tokenizers library, remembered by space-led chunk.
 
 A byte-level BPE splits text before it merges. A space between two other non-space characters always starts a new
-pre-token, so a text without adjacent white space falls into chunks (one space and what follows up to the next space)
-that are encoded on their own, whatever surrounds them. Other texts are encoded whole.
+pre-token, so a text falls into chunks (one such space and what follows up to the next one) that are encoded on their own,
+whatever surrounds them. Other white space stays inside its chunk. Chunks that are not remembered are encoded together.
 """
 
 from __future__ import annotations
 
-import json
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-import tiktoken
 from tokenizers import Tokenizer
 
 TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 
-# White space other than the plain space and the line feed.
-OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0" + "".join(
-    map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-)
-ADJACENT = ("  ", " \n", "\n ")
+# A task has one core: Spark spreads the work, not the library's threads.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: The compiled merges are used for code points below this; tests compare them with the tokenizer library there.
-COMPILED_BELOW = chr(0x250)
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]|  | \n|\n ")
+
+#: Longer chunks are encoded each time they occur.
+LONGEST_KEPT = 100
+#: Chunks looked up between two looks at the memory's size.
+CHUNKS_AT_ONCE = 10_000
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> tuple[Tokenizer, tiktoken.Encoding | None, tuple[str, ...]]:
-    """The library's tokenizer, the same merges compiled, and the special strings."""
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    specials = tuple(t["content"] for t in spec.get("added_tokens", ()))
-    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-    in_order = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
-    plain = spec.get("normalizer") is None and spec["pre_tokenizer"] == {
-        "type": "ByteLevel",
-        "add_prefix_space": False,
-        "trim_offsets": True,
-        "use_regex": True,
-    }
-    if not (in_order and plain):
-        return tokenizer, None, specials
-    letters = byte_letters()
-    ranks = {bytes(letters[c] for c in piece): i for piece, i in vocab.items()}
-    return (
-        tokenizer,
-        tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}),
-        specials,
-    )
+def load(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,17 +41,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def encode_all(path: str, texts: list[str]) -> list[list[int]]:
+    """Ids of texts, without begin, end or added tokens."""
+    return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def encode_whole(path: str, text: str) -> list[int]:
-    """Ids of one text, without begin, end or added tokens."""
-    tokenizer, compiled, specials = load(path)
-    if compiled is not None and (not text or max(text) < COMPILED_BELOW) and not any(s in text for s in specials):
-        return compiled.encode_ordinary(text)
-    return tokenizer.encode(text, add_special_tokens=False).ids
+    return encode_all(path, [text])[0]
 
 
-def chunks_apart(text: str) -> bool:
-    """Whether splitting at plain spaces cuts only where a pre-token starts."""
-    return not any(p in text for p in ADJACENT) and not any(c in text for c in OTHER_SPACES)
+def chunks(text: str) -> list[str]:
+    """The text cut at the spaces where a pre-token is sure to start; these spaces are left out."""
+    return _BORDER.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
 
 
 class Remembered(dict):
@@ -81,12 +62,22 @@ class Remembered(dict):
         super().__init__(first or {})
         self.path, self.make, self.first, self.most = path, make, first or {}, most
 
-    def __missing__(self, part: str):
-        if len(self) >= self.most + len(self.first):
-            self.clear()
-            self.update(self.first)
-        value = self[part] = self.make(encode_whole(self.path, " " + part))
-        return value
+    def values_of(self, parts: list[str]) -> list:
+        """The chunks' values in order."""
+        out = []
+        for start in range(0, len(parts), CHUNKS_AT_ONCE):
+            some = parts[start : start + CHUNKS_AT_ONCE]
+            if len(self) >= self.most + len(self.first):
+                self.clear()
+                self.update(self.first)
+            new = list(dict.fromkeys(p for p in some if p not in self))
+            if new:
+                self.update(zip(new, map(self.make, encode_all(self.path, [" " + p for p in new]))))
+            out += map(self.__getitem__, some)
+            for part in new:
+                if len(part) > LONGEST_KEPT:
+                    del self[part]
+        return out
 
 
 def as_words(ids: list[int]) -> bytes:
@@ -102,7 +93,5 @@ def worker_ids(path: str) -> Remembered:
 
 def text_ids(path: str, text: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers, out of the worker's memory where chunks repeat."""
-    if not chunks_apart(text):
-        return as_words(encode_whole(path, text))
-    head, *rest = text.split(" ")
-    return as_words(encode_whole(path, head)) + b"".join(map(worker_ids(path).__getitem__, rest))
+    head, *rest = chunks(text)
+    return as_words(encode_whole(path, head)) + b"".join(worker_ids(path).values_of(rest))

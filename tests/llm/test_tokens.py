@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from slotledger.llm import chat, token_counts, token_files, tokens
+from slotledger.llm.common import read_table
 
 from conftest import rows  # noqa: E402
 from llm.conftest import ODD_TEXTS
@@ -30,18 +31,34 @@ def test_chunks_give_the_library_ids():
 
 def test_every_vocabulary_piece_encodes_alike():
     letters = tokens.byte_letters()
-    for piece in list(LIBRARY.get_vocab())[::7]:
+    for piece in LIBRARY.get_vocab():
         try:
             text = bytes(letters[c] for c in piece).decode()
         except (KeyError, UnicodeDecodeError):
             continue
-        assert tokens.encode_whole(tokens.TOKENIZER_PATH, text) == library_ids(text)
+        for around in (text, f"a{text}b", f"a {text} b"):
+            assert np.frombuffer(tokens.text_ids(tokens.TOKENIZER_PATH, around), "<u4").tolist() == library_ids(around), repr(around)
+
+
+def test_whole_documents_give_the_library_ids(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()
+    spaced = [(r.text or "").replace(". ", ".  ").replace(", ", ",\n ") for r in docs]  # adjacent white space in each
+    for text in [*(r.text or "" for r in docs), *spaced]:
+        assert np.frombuffer(tokens.text_ids(tokens.TOKENIZER_PATH, text), "<u4").tolist() == library_ids(text)
+
+
+def test_chunks_are_cut_next_to_other_white_space_too():
+    assert tokens.chunks("a b  c d\n e f ") == ["a", "b  c", "d\n e", "f "]
+    assert tokens.chunks(" a b") == ["", "a", "b"]
 
 
 def test_memory_starts_over_when_full():
     small = tokens.Remembered(tokens.TOKENIZER_PATH, len, {"the": 1}, most=2)
-    assert [small[w] for w in ("cat", "dog", "bird", "the", "cat")] == [len(library_ids(" " + w)) for w in ("cat", "dog", "bird", "the", "cat")]
-    assert len(small) <= 4
+    long = "x1" * tokens.LONGEST_KEPT
+    for w in ("cat", "dog", "bird", "the", "cat", long):
+        assert small.values_of([w, w]) == [len(library_ids(" " + w))] * 2
+        assert len(small) <= 3 and long not in small
+    assert small.values_of([]) == []
 
 
 def test_counts(odd, none):
