@@ -5,8 +5,9 @@ encoded separately, so no mark can come out of content and no token spans a bord
 backslashes, ``|`` gets one backslash more, which keeps control strings from appearing in the formatted text and is undone
 exactly. The loss mask is 1 on the tokens of assistant texts: +1 where such a text starts, -1 where it ends, summed up.
 
-Turns are encoded where they are read. Only ids are shuffled, and a conversation is a sorted stream cut into parts of whole turns,
-so no conversation is ever held, however long.
+Turns are dealt by ranges of their order, so a long conversation is encoded by many tasks. Each range is a sorted stream cut into
+parts of whole turns, and no conversation is ever held. Parts are decoded where they are read; only a conversation's running hash
+takes its turns one after another.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,22 +62,15 @@ def mark_ids(path: str) -> tuple[int, int, int]:
 
 
 def format_conversations(turns: DataFrame, out: str, path: str = TOKENIZER_PATH, part_tokens: int = PART_TOKENS) -> None:
-    """Write (conv_id, part, ids, mask) rows as Parquet: unsigned 32-bit ids and one mask bit per id, both as bytes.
+    """Write (conv_id, stretch, part, ids, mask) rows as Parquet: unsigned 32-bit ids and one mask bit per id, both as bytes.
 
-    Turns come in order of turn (null first), then role, then the bytes of the text's token ids. Null roles and texts are empty. Turns
-    without a conversation id form one of their own.
+    Turns come in order of turn (null first), then role, then text. Null roles and texts are empty. Turns without a conversation id form one
+    of their own. A conversation's parts are in order of stretch, which is the range they were dealt to, and part.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [[text_ids(path, escape(t)) for t in batch.column(c).to_pylist()] for c in ("role", "text")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("conv_id", "turn", "role")), *(pa.array(v, pa.binary()) for v in ids)],
-                ["conv_id", "turn", "role", "role_ids", "text_ids"],
-            )
-
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, sep, end = (np.array([i], "<u4").tobytes() for i in mark_ids(path))
+        stretch = TaskContext.get().partitionId()
         conv, part, held, edges, size = (), 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -83,11 +78,13 @@ def format_conversations(turns: DataFrame, out: str, path: str = TOKENIZER_PATH,
             for at, step in edges:
                 steps[at] += step
             mask = np.packbits(np.cumsum(steps[:-1], dtype=np.int64).astype(bool), bitorder="little").tobytes()
-            row = [pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([mask], pa.binary())]
-            return pa.RecordBatch.from_arrays(row, ["conv_id", "part", "ids", "mask"])
+            row = zip((conv, stretch, part, b"".join(held), mask), (*3 * [pa.int64()], *2 * [pa.binary()]))
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in row], ["conv_id", "stretch", "part", "ids", "mask"])
 
         for batch in batches:
-            for c, role, role_ids, ids in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "role_ids", "text_ids"))):
+            for i in range(batch.num_rows):
+                c, role, text = (batch.column(k)[i].as_py() for k in ("conv_id", "role", "text"))
+                role_ids, ids = text_ids(path, escape(role)), text_ids(path, escape(text))
                 if held and (c != conv or size >= part_tokens):
                     yield closed()
                     part, held, edges, size = part + 1, [], [], 0
@@ -107,56 +104,70 @@ def format_conversations(turns: DataFrame, out: str, path: str = TOKENIZER_PATH,
         text_or_empty(F.col("role")).alias("role"),
         text_or_empty(F.col("text")).alias("text"),
     )
-    encoded = map_batches(rows, encode, "conv_id long, turn long, role string, role_ids binary, text_ids binary")
-    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_ids")
-    map_batches(ordered, assemble, "conv_id long, part long, ids binary, mask binary").write.parquet(out)
+    # A text's first letters order ranges as the text does, and keep long texts out of the ranges' borders.
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32))
+    ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text")
+    map_batches(ordered, assemble, PARTS).write.parquet(out)
 
 
 def read_conversations(spark: SparkSession, out: str, path: str = TOKENIZER_PATH) -> DataFrame:
     """What the files say of each conversation: turns, the text under the mask, and the formatted length."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (start, sep, end) = pieces(path), mark_ids(path)
-        conv, n, chars, loss_chars, turns, loss = (), 0, 0, 0, None, None
 
         def text_of(ids: np.ndarray) -> str:
             return b"".join(map(table.__getitem__, ids.tolist())).decode()
 
-        def closed() -> pa.RecordBatch:
-            row = [conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, TYPES)], NAMES)
-
         for batch in batches:
             for i in range(batch.num_rows):
-                c, ids, mask = (batch.column(k)[i].as_py() for k in ("conv_id", "ids", "mask"))
-                if conv == () or c != conv:
-                    if conv != ():
-                        yield closed()
-                    conv, n, chars, loss_chars, turns, loss = c, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                n, chars, loss_chars, turns, loss = 0, 0, 0, [], []
+                ids, mask = (batch.column(k)[i].as_py() for k in ("ids", "mask"))
                 ids = np.frombuffer(ids, "<u4")
                 masked = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(ids), bitorder="little").view(bool)
                 starts, seps, ends = (np.flatnonzero(ids == m).tolist() for m in (start, sep, end))
                 for a, b, e in zip(starts, seps, ends, strict=True):
                     role, text = text_of(ids[a + 1 : b]), text_of(ids[b + 1 : e])
                     n, chars = n + 1, chars + len(role) + len(text) + sum(map(len, MARKS))
-                    turns.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                    turns.append(f"{unescape(role)}\n{unescape(text)}\n".encode())
                     learned = unescape(text_of(ids[a : e + 1][masked[a : e + 1]]))
                     loss_chars += len(learned)
-                    loss.update(learned.encode())
+                    loss.append(learned.encode())
+                counts = [pa.array([v], pa.int64()) for v in (n, loss_chars, chars)]
+                said = [pa.array([b"".join(v)], pa.binary()) for v in (turns, loss)]
+                place = [batch.column(k).slice(i, 1) for k in ("conv_id", "stretch", "part")]
+                yield pa.RecordBatch.from_arrays([*place, *counts, *said], ["conv_id", "stretch", "part", *COUNTS, "turns", "loss"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, sums, turns, loss = (), None, None, None
+
+        def closed() -> pa.RecordBatch:
+            row = [conv, *sums.tolist(), turns.hexdigest(), loss.hexdigest()]
+            kinds = [*4 * [pa.int64()], pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["conv_id", *COUNTS, "turns_sha256", "loss_sha256"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, *counts, said, learned = (batch.column(k)[i].as_py() for k in ("conv_id", *COUNTS, "turns", "loss"))
+                if conv == () or c != conv:
+                    if conv != ():
+                        yield closed()
+                    conv, sums, turns, loss = c, np.zeros(len(COUNTS), np.int64), hashlib.sha256(), hashlib.sha256()
+                sums += counts
+                turns.update(said)
+                loss.update(learned)
         if conv != ():
             yield closed()
 
-    parts = spark.read.schema("conv_id long, part long, ids binary, mask binary").parquet(out)
-    ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return map_batches(
-        ordered,
-        read,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
-    )
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    decoded = map_batches(spark.read.schema(PARTS).parquet(out), decode, f"conv_id long, stretch long, part long, {counts}, turns binary, loss binary")
+    ordered = decoded.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "part")
+    found = map_batches(ordered, digest, f"conv_id long, {counts}, turns_sha256 string, loss_sha256 string")
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+PARTS = "conv_id long, stretch long, part long, ids binary, mask binary"
+COUNTS = ["n_turns", "loss_chars", "formatted_chars"]
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:

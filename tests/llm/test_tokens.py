@@ -137,3 +137,27 @@ def test_parts_are_cut_between_turns(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/c").count() > 5
     row = chat.read_conversations(spark, f"{tmp_path}/c").first()
     assert row.n_turns == 50 and row.loss_sha256 == hashlib.sha256("".join(f"turn number {i}" for i in range(50)).encode()).hexdigest()
+
+
+def test_a_long_conversation_is_dealt_to_many_tasks(spark, tmp_path):
+    texts = [chr(97 + i % 26) + " b" * (i % 7) for i in range(600)]
+    turns = [(None, i // 3, "assistant" if i % 2 else "user", texts[i]) for i in range(600)]  # ties in turn, other texts
+    turns += [(7, None, "user", t) for t in texts[:200]]
+    random.Random(3).shuffle(turns)
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(6)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # else so small a table is one task
+    try:
+        chat.format_conversations(table, f"{tmp_path}/c")
+    finally:
+        spark.conf.set(key, before)
+    parts = spark.read.parquet(f"{tmp_path}/c")
+    assert parts.where("conv_id is null").select("stretch").distinct().count() > 1
+    found = {r.conv_id: r for r in chat.read_conversations(spark, f"{tmp_path}/c").collect()}
+    for conv in (None, 7):
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] or 0, t[2], t[3]))
+        said = "".join(f"{r}\n{x}\n" for _, _, r, x in own)
+        learned = "".join(x for _, _, r, x in own if r == "assistant")
+        assert (found[conv].n_turns, found[conv].turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert found[conv].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
