@@ -5,8 +5,9 @@ sum over all ways to cut it into pieces, by the forward algorithm over many word
 expectation maximisation (forward-backward) from word counts of at most ``train_docs`` documents per language, those with the
 smallest hash of their id. Counts stay in Spark; the driver holds one number per piece and language.
 
-A word is a run of letters in lower case with the vocabulary's word mark before it; runs over 48 letters are cut there.
-Pieces do not cross words, so a text's likelihood is the product of its words', which each worker remembers.
+A word is a run of letters in lower case with the vocabulary's word mark before it, however long. Pieces do not cross words, so a
+text's likelihood is the product of its words', which each worker remembers. Words of over 48 letters take the same sums one word
+at a time, in stretches of places with the last chances carried over, and are not remembered.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ TRAIN_DOCS = 1_000
 ROUNDS = 3
 UNKNOWN = 1e-7
 SMOOTHING = 0.05
-MOST_LETTERS = 48
+#: Longer words are not laid out whole.
+LATTICE_LETTERS = 48
+#: Places of a longer word that are in memory at a time.
+PLACES_AT_ONCE = 4_096
 MOST_WORDS = 200_000
 #: Words whose lattices are in memory at a time.
 WORDS_AT_ONCE = 4_000
@@ -42,7 +46,7 @@ SURE = 20.0
 # Fixed value: the word mark of the vocabulary.
 MARK = chr(0x2581)
 
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{MOST_LETTERS}}}")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,13 +134,84 @@ def _scaled_up(total: np.ndarray, live: list, places: range) -> tuple[np.ndarray
     return total * up, small
 
 
+class LongWord(Lattice):
+    """The pieces of one word, for a stretch of places at a time."""
+
+    def __init__(self, path: str, word: str):
+        super().__init__(path, [word])
+
+    def chances(self, p: np.ndarray, start: int, stop: int, ahead: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes and chances of the pieces of each length (column) that end one place after each of ``start`` up to ``stop``.
+
+        With ``ahead``, of those that start at these places. Pieces that would leave the word have no chance.
+        """
+        none = len(self.hashes) + 1
+        index = np.full((stop - start, self.longest), none)
+        for d in range(1, self.longest + 1):
+            first, last = (start, min(stop, self.length + 1 - d)) if ahead else (max(start, d - 1), stop)
+            if first < last:
+                begin = np.arange(first, last) - (0 if ahead else d - 1)
+                h = self.prefix[0, begin + d] - self.prefix[0, begin] * self.powers[d]
+                found = np.minimum(np.searchsorted(self.hashes, h), none - 2)
+                index[first - start : last - start, d - 1] = np.where(self.hashes[found] == h, found, none - 1 if d == 1 else none)
+        return index, p[index]
+
+    def stretches(self) -> list[tuple[int, int]]:
+        return [(a, min(a + PLACES_AT_ONCE, self.length)) for a in range(0, self.length, PLACES_AT_ONCE)]
+
+    def logs(self, p: np.ndarray) -> np.ndarray:
+        """Log-likelihood in each language."""
+        for last in _sums((self.chances(p, a, b)[1] for a, b in self.stretches()), self.longest, p.shape[1]):
+            total, times = last
+        return np.log(total) + times * (LEAST_POWER * np.log(2))
+
+    def expected(self, p: np.ndarray, count: float, out: np.ndarray) -> None:
+        """Add how often each piece is expected, ``count`` times, in one language."""
+        alpha, times = np.ones(self.length + 1), np.zeros(self.length + 1, np.int64)
+        for j, (total, scaled) in enumerate(_sums((self.chances(p, a, b)[1] for a, b in self.stretches()), self.longest, 1), 1):
+            alpha[j], times[j] = total[0], scaled[0]
+        beta, back = np.ones(self.length + 1), np.zeros(self.length + 1, np.int64)
+        backward = (self.chances(p, a, b, ahead=True)[1][::-1] for a, b in reversed(self.stretches()))
+        for j, (total, scaled) in enumerate(_sums(backward, self.longest, 1), 1):
+            beta[self.length - j], back[self.length - j] = total[0], scaled[0]
+        for a, b in self.stretches():
+            index, chance = self.chances(p, a, b, ahead=True)
+            ends = np.minimum(np.arange(a, b)[:, None] + np.arange(1, self.longest + 1), self.length)
+            share = alpha[a:b, None] * chance[:, :, 0] * beta[ends] * (count / alpha[-1])
+            share = np.ldexp(share, LEAST_POWER * (times[a:b, None] + back[ends] - times[-1]))
+            known = index < len(self.hashes)
+            out += np.bincount(index[known], share[known], minlength=len(out))
+
+
+def _sums(stretches: Iterator[np.ndarray], longest: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chances of all prefixes one after another, each with how often it was scaled up. Only the last ``longest`` are held."""
+    window, times = np.zeros((longest, width)), np.zeros(width, np.int64)
+    window[0] = 1
+    for stretch in stretches:
+        for chances in stretch:
+            total = (chances * window).sum(axis=0)
+            window[1:] = window[:-1].copy()
+            window[0] = total
+            small = total < 2.0**LEAST_POWER
+            if small.any():
+                window[:, small] *= 2.0**-LEAST_POWER
+                times = times + small
+            yield window[0], times
+
+
 def _by_length(words) -> dict[int, list]:
+    """Places of the words that a lattice holds, by their length."""
     out = defaultdict(list)
     for i, w in enumerate(words):
-        out[len(w)].append(i)
+        if len(w) <= LATTICE_LETTERS:
+            out[len(w)].append(i)
     return out
 
 
+def _long(words) -> list[int]:
+    return [i for i, w in enumerate(words) if len(w) > LATTICE_LETTERS]
+
+
 def _padded(p: np.ndarray) -> np.ndarray:
     """Probabilities with a row for unknown letters and one for what is no piece."""
     return np.concatenate([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])
@@ -150,6 +225,8 @@ def word_logs(path: str, words: list[str], p: np.ndarray) -> np.ndarray:
             chosen = places[start : start + WORDS_AT_ONCE]
             alpha, times, _ = Lattice(path, [words[i] for i in chosen]).forward(p)
             out[chosen] = np.log(alpha[-1]) + times[-1] * (LEAST_POWER * np.log(2))
+    for i in _long(words):
+        out[i] = LongWord(path, words[i]).logs(p)
     return out
 
 
@@ -173,6 +250,8 @@ def expected_pieces(path: str, words: list[str], counts: np.ndarray, p: np.ndarr
             share = alpha[i][:, 0] * p[index, 0] * beta[j] * weight
             share = np.ldexp(share, LEAST_POWER * (times[i][:, 0] + back[j] - times[-1][:, 0]))
             out += np.bincount(index[known], share[known], minlength=n)
+    for i in _long(words):
+        LongWord(path, words[i]).expected(p, counts[i], out)
     return out
 
 
@@ -250,15 +329,21 @@ class Memory:
         if len(self.rows) > MOST_WORDS:
             self.rows.clear()
         new = list({w for words in texts for w in words if w not in self.rows})
+        out = np.zeros((len(texts), self.p.shape[1]))
+        if _long(new):
+            new = [w for w in new if len(w) <= LATTICE_LETTERS]
+            for k, words in enumerate(texts):
+                long = Counter(words[i] for i in _long(words))
+                out[k] = sum(n * word_logs(self.path, [w], self.p)[0] for w, n in long.items())
+            texts = [[w for w in words if len(w) <= LATTICE_LETTERS] for words in texts]
         first, need = len(self.rows), len(self.rows) + len(new)
         if need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(need - len(self.table), len(self.table)), self.p.shape[1]))])
         self.table[first:need] = word_logs(self.path, new, self.p)
         self.rows.update(zip(new, range(first, need)))
-        out = np.zeros((len(texts), self.p.shape[1]))
         for k, words in enumerate(texts):
             if words:
-                out[k] = self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                out[k] += self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
         return out
 
 

@@ -208,8 +208,8 @@ UNKNOWN_RUN = "".join(chr(0xA000 + 7 * i) for i in range(100))  # Yi syllables
 def test_unknown_runs_have_finite_logs():
     n = len(language.vocabulary(language.VOCABULARY)[0])
     p = language._padded(np.full((n, 2), 1 / n))
-    words = language.words_of(UNKNOWN_RUN)
-    assert [len(w) for w in words] == [48, 48, 4]
+    assert language.words_of(UNKNOWN_RUN) == [UNKNOWN_RUN]
+    words = [UNKNOWN_RUN[:48]]
     logs = language.word_logs(language.VOCABULARY, words, p)
     known = language.word_logs(language.VOCABULARY, [words[0][:20], words[0][:21]], p)
     a_letter = known[1] - known[0]  # one more unknown letter
@@ -219,6 +219,36 @@ def test_unknown_runs_have_finite_logs():
     assert np.isfinite(counts).all() and math.isclose(counts.max(), 5.0, rel_tol=1e-3)  # the word mark of both
 
 
+def test_long_words_take_the_same_sums(monkeypatch):
+    path = language.VOCABULARY
+    n = len(language.vocabulary(path)[0])
+    rng = np.random.default_rng(11)
+    p = language._padded(rng.random((n, 3)) / n)
+    words = ["internationalisation" * 2, "überall", "a", UNKNOWN_RUN[:45], "the" + UNKNOWN_RUN[:30] + "house", "donaudampfschifffahrt"]
+    counts = np.array([2.0, 1.0, 5.0, 3.0, 1.0, 4.0])
+    logs, seen = language.word_logs(path, words, p), language.expected_pieces(path, words, counts, p[:, :1])
+    monkeypatch.setattr(language, "LATTICE_LETTERS", 0)
+    for places in (4_096, 7):
+        monkeypatch.setattr(language, "PLACES_AT_ONCE", places)
+        assert np.allclose(language.word_logs(path, words, p), logs, rtol=1e-12)
+        assert np.allclose(language.expected_pieces(path, words, counts, p[:, :1]), seen, rtol=1e-9, atol=1e-300)
+
+
+def test_a_word_of_any_length_is_one_word():
+    path = language.VOCABULARY
+    n = len(language.vocabulary(path)[0])
+    p = language._padded(np.random.default_rng(12).random((n, 2)) / n)
+    memory = language.Memory(path, p)
+    long = "thehouseofthecat" * 2000
+    found = memory.score([["the", long, long], ["the"], [long], []])
+    alone = language.word_logs(path, ["the", long], p)
+    assert np.isfinite(found).all() and np.allclose(found, [alone[0] + 2 * alone[1], alone[0], alone[1], [0, 0]])
+    assert set(memory.rows) == {"the"}
+    seen = language.expected_pieces(path, [long], np.array([1.0]), p[:, :1])
+    cut = language.expected_pieces(path, ["thehouseofthecat" * 2], np.array([1.0]), p[:, :1])
+    assert 900 * cut.sum() < seen.sum() < 1100 * cut.sum()
+
+
 def test_unknown_runs_leave_other_documents_alone(spark):
     docs = [(i, f"the house of the {w} and the garden", "en") for i, w in enumerate(("cat", "dog", "bird", "tree") * 3)]
     docs += [(100 + i, f"das Haus von dem {w} und der Garten", "de") for i, w in enumerate(("Kater", "Hund", "Vogel", "Baum") * 3)]
