@@ -275,14 +275,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The documents to learn from: those of ``train_docs`` ids for each language, of all with an id, a language and a text."""
+    """doc_id, lang and text to learn from: one row of each of ``train_docs`` ids a language, of all with an id, a language and a text."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row per language
-    near = usable.select("doc_id", "lang", hash_share("doc_id").alias("share")).join(F.broadcast(sizes), "lang")
+    ids = usable.select("doc_id", "lang").distinct()
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))  # a row per language
+    near = ids.withColumn("share", hash_share("doc_id")).join(F.broadcast(sizes), "lang")
     near = near.where(F.col("share") * F.col("n") <= SAMPLE_SLACK * train_docs)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("share", "doc_id")))
     chosen = ranked.where(F.col("rank") <= train_docs).select("doc_id", "lang")
-    return usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"])
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
