@@ -2,8 +2,9 @@
 
 Trusted positives are the documents that the labels call good; everything else is unlabelled web text, and no document is
 taken to be bad. A linear model is trained to minimise the non-negative unbiased risk
-``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss, where ``prior`` is the share of good documents among the labelled
-ones of the training fold. Text becomes a bounded vector: shares of character classes, repetition of words and lines, lengths, and a
+``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss. The ``prior``, the share of good documents among the unlabelled,
+is estimated from the same two samples (best bin: the smallest share of unlabelled over positives above a score that tells them
+apart), never from labels that call a document bad. Text becomes a bounded vector: shares of character classes, repetition of words and lines, lengths, and a
 hashed histogram of word shapes. Training uses at most ``train_rows`` positives and as many unlabelled documents, those with
 the smallest hash of their id and one row of each id, so the driver holds two small matrices whatever the corpus; every document is scored.
 """
@@ -85,33 +86,88 @@ def _vectors(rows: DataFrame, extra: str) -> DataFrame:
     return map_batches(rows.select(extra, "text"), run, f"{extra} int, x array<double>")
 
 
-def train(positives: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-4):
-    """Weights, and the means and scales of the features. Full-batch Adam on the non-negative risk; deterministic."""
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def scales(positives: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and scales of the features; the first, which is 1, stays."""
     everything = np.concatenate([positives, unlabelled])
     mean, scale = everything.mean(axis=0), everything.std(axis=0) + 1e-3
     mean[0], scale[0] = 0.0, 1.0
-    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    return mean, scale
+
+
+def descend(gradient, width: int, rounds: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights by full-batch Adam; deterministic."""
+    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     for t in range(1, rounds + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        good = prior * (p * (sp - 1)[:, None]).mean(axis=0)
-        bad = (u * su[:, None]).mean(axis=0) - prior * (p * sp[:, None]).mean(axis=0)
-        bad_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gradient = (good + bad if bad_risk >= 0 else -bad) + decay * w
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+        g = gradient(w) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w, mean, scale
+    return w
+
+
+def risk_step(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the risk; where its part for bad documents is below 0, the gradient that raises this part."""
+    zp, zu = p @ w, u @ w
+    sp, su = logistic(zp), logistic(zu)
+    good = prior * (p * (sp - 1)[:, None]).mean(axis=0)
+    bad = (u * su[:, None]).mean(axis=0) - prior * (p * sp[:, None]).mean(axis=0)
+    bad_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return good + bad if bad_risk >= 0 else -bad
+
+
+def train(positives: np.ndarray, unlabelled: np.ndarray, prior: float):
+    """Weights that minimise the non-negative risk, and the means and scales of the features."""
+    mean, scale = scales(positives, unlabelled)
+    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
+    return descend(lambda w: risk_step(w, p, u, prior), p.shape[1]), mean, scale
+
+
+def best_bin(good: np.ndarray, mixed: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives in a mixture, from scores of both: unlabelled over positives at or above the best score to cut at.
+
+    That cut has the least upper bound of the ratio, which keeps it off tails that hold few positives.
+    """
+    cuts = np.sort(good)
+    above_good = 1 - np.searchsorted(cuts, cuts, side="left") / len(good)
+    above_mixed = 1 - np.searchsorted(np.sort(mixed), cuts, side="left") / len(mixed)
+    spread = sum(math.sqrt(math.log(4 / doubt) / (2 * len(x))) for x in (good, mixed))
+    best = np.argmin((above_mixed + (1 + slack) * spread) / above_good)
+    return float(min(1.0, above_mixed[best] / above_good[best]))
+
+
+def class_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled: each half of the rows is measured by a classifier of the other half.
+
+    0.5 where either has less than two rows.
+    """
+    if min(len(positives), len(unlabelled)) < 2:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        p, u = positives[half::2], unlabelled[half::2]
+        mean, scale = scales(p, u)
+        p, u = (p - mean) / scale, (u - mean) / scale
+
+        def gradient(w: np.ndarray) -> np.ndarray:
+            return (p * (logistic(p @ w) - 1)[:, None]).mean(axis=0) + (u * logistic(u @ w)[:, None]).mean(axis=0)
+
+        w = descend(gradient, p.shape[1])
+        good, mixed = (((x[1 - half :: 2] - mean) / scale) @ w for x in (positives, unlabelled))
+        found.append(best_bin(good, mixed))
+    return sum(found) / 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = TRAIN_ROWS):
     """A model from the rows outside ``held_out``: positives by label, and unlabelled rows of any kind.
 
-    Labels that contradict each other are not trusted. Without positives the model gives every text the prior (0.5 without labels).
+    Labels that contradict each other are not trusted. Without positives the model gives every text 0.5.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    prior, n_good = known.agg(F.avg("low"), F.count_if(F.col("high") == 1)).first()
+    n_good = known.where("high = 1").count()
     pool = docs.where(F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty(F.col("text")).alias("text"))
 
     def smallest(rows: DataFrame, n: int, kind: int, *salt) -> DataFrame:
@@ -125,14 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = TRAIN_RO
     table = _vectors(sample, "kind").toArrow()
     kinds = np.array(table["kind"].to_pylist(), int)
     x = np.array(table["x"].to_pylist(), float).reshape(-1, WIDTH)
-    if not (kinds == 1).any() or prior is None:
-        bias = 0.5 if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
-        w = np.zeros(WIDTH)
-        w[0] = math.log(bias / (1 - bias))
-        return w, np.zeros(WIDTH), np.ones(WIDTH)
+    if not (kinds == 1).any():
+        return np.zeros(WIDTH), np.zeros(WIDTH), np.ones(WIDTH)
     order = np.lexsort(x.T[::-1])  # rows arrive in any order; sums must not depend on it
     x, kinds = x[order], kinds[order]
-    return train(x[kinds == 1], x[kinds == 0], min(max(prior, 1e-3), 1 - 1e-3))
+    good, unlabelled = x[kinds == 1], x[kinds == 0]
+    return train(good, unlabelled, min(max(class_prior(good, unlabelled), 1e-3), 1 - 1e-3))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out=lambda key: crc_mod(key, 5) == 0, threshold: float = THRESHOLD) -> DataFrame:

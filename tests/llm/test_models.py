@@ -129,6 +129,51 @@ def test_one_row_of_each_chosen_id_is_trained_on(spark, monkeypatch):
     assert 0 < brought[0] <= 40
 
 
+@pytest.mark.parametrize("seed, prior", [(1, 0.3), (2, 0.3), (3, 0.95), (4, 0.95)])
+def test_steps_follow_the_non_negative_risk(seed, prior):
+    rng = np.random.default_rng(seed)
+    p, u, w = rng.normal(size=(7, 4)), rng.normal(size=(9, 4)) - 2 * (seed % 2), rng.normal(size=4)
+
+    def loss(z):
+        return sum(math.log1p(math.exp(-x)) for x in z) / len(z)
+
+    def bad(w):
+        return loss(-(u @ w)) - prior * loss(-(p @ w))
+
+    def objective(w):
+        return prior * loss(p @ w) + bad(w)
+
+    aim = objective if bad(w) >= 0 else lambda w: -bad(w)
+    steps = 1e-6 * np.eye(4)
+    assert np.allclose(quality.risk_step(w, p, u, prior), [(aim(w + s) - aim(w - s)) / 2e-6 for s in steps], atol=1e-6)
+
+
+def test_best_cut_by_brute_force():
+    rng = np.random.default_rng(13)
+    good, mixed = rng.normal(1, 1, 60).round(1), rng.normal(0, 1, 80).round(1)
+    spread = sum(math.sqrt(math.log(40) / 2 / n) for n in (60, 80))
+    ratios = [((mixed >= c).mean(), (good >= c).mean()) for c in good]
+    best = min(ratios, key=lambda r: (r[0] + 1.01 * spread) / r[1])
+    assert math.isclose(quality.best_bin(good, mixed), min(1, best[0] / best[1]))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled_alone(share):
+    rng = np.random.default_rng(14)
+    good, bad = rng.normal(1, 0.5, (3000, quality.WIDTH)), rng.normal(-1, 0.5, (2000, quality.WIDTH))
+    good[:, 0] = bad[:, 0] = 1.0
+    n = int(2000 * share)
+    mixed = np.concatenate([good[1000 : 1000 + n], bad[: 2000 - n]])
+    assert abs(quality.class_prior(good[:1000], rng.permutation(mixed)) - share) < 0.06
+    assert quality.class_prior(good[:1], mixed) == 0.5
+
+
+def test_bad_labels_change_nothing(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    a, b = ({r.doc_id: r.score for r in quality.quality_scores(docs, x).collect()} for x in (labels, labels.where("quality = 1")))
+    assert a == b
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(9)
     good, bad = rng.normal(1, 0.4, (400, quality.WIDTH)), rng.normal(-1, 0.4, (400, quality.WIDTH))
@@ -249,6 +294,12 @@ def test_a_word_of_any_length_is_one_word():
     assert 900 * cut.sum() < seen.sum() < 1100 * cut.sum()
 
 
+def test_a_repeated_id_is_one_training_document(spark):
+    docs = [(7, f"text {i}", "en") for i in range(500)] + [(i, f"other text {i}", "en") for i in range(100, 150)] + [(None, "x", "en")]
+    chosen = language.training_sample(spark.createDataFrame(docs, "doc_id long, text string, lang string"), 40).collect()
+    assert len(chosen) == len({r.doc_id for r in chosen}) == 40
+
+
 def test_unknown_runs_leave_other_documents_alone(spark):
     docs = [(i, f"the house of the {w} and the garden", "en") for i, w in enumerate(("cat", "dog", "bird", "tree") * 3)]
     docs += [(100 + i, f"das Haus von dem {w} und der Garten", "de") for i, w in enumerate(("Kater", "Hund", "Vogel", "Baum") * 3)]
