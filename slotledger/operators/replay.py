@@ -12,22 +12,25 @@ A group that outgrows one task is cut along the log into chunks that run side by
    each slot: set it (freed on the way), filled it if empty, or kept it;
 3. those reports are composed along the chunks with windows, one row per chunk and slot, which gives every chunk a
    new guess of the slots and users it deals with;
-4. chunks whose guess changed run again, until none does.
+4. chunks whose guess changed run again, until none does;
+5. where that takes more than ``SAME_CHUNKS`` rounds, ``MERGED`` neighbouring chunks become one in every further round.
 
 The first chunk of a group starts from an empty room and is right at once, and a chunk is right when all before it
 are. So a state where no guess changes is the sequential result, exactly. Occupancy is forgotten as slots are freed and
-sticks where they are not, and the composition covers both, so few rounds are needed in practice.
+sticks where they are not, and the composition covers both, so few rounds are needed in practice. A log that forgets too slowly
+for its chunks gets longer ones, so the rounds grow with the logarithm of a group's chunks, and the longest task of all rounds together
+is no more than a pass or two over a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
-from itertools import islice
+from itertools import count, islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,6 +45,10 @@ CHUNK_ROWS = 4_000_000
 # Chunks grow with the log beyond this many, so lists of chunks and of large groups stay this short.
 MAX_CHUNKS = MOST_GROUPS
 
+# Rounds with chunks as they were cut, and how many of them become one in each round after these.
+SAME_CHUNKS = 2
+MERGED = 4
+
 PAYLOAD = ("seq", "slot", "op", "user_id", "is_admin")
 # Rows that set a room up: from a guess of what came before, and from stored bookings.
 PLACE, STORED = "place", "stored"
@@ -74,9 +81,11 @@ def replay(
         return _replay_groups(_after(stored, log), keys)
     marks = F.broadcast(large.keys)  # fewer than max_chunks rows
     chunks = -(-large.rows // large.limit)
+    shuffle = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(chunks, max(shuffle, -(-large.rows // CHUNK_ROWS)))  # small chunks share a task
     rows = _after(stored, log)
     return _replay_groups(rows.join(marks, list(keys), "left_anti"), keys).unionByName(
-        _replay_chunks(rows.join(marks, list(keys), "left_semi"), keys, chunks)
+        _replay_chunks(rows.join(marks, list(keys), "left_semi"), keys, chunks, tasks)
     )
 
 
@@ -252,28 +261,61 @@ def _effect_pass(keys: Sequence[str], schema: pa.Schema) -> Callable:
 # ---- chunked replay -------------------------------------------------------------------------------------------
 
 
-def _replay_chunks(log: DataFrame, keys: Sequence[str], chunks: int) -> DataFrame:
+def _replay_chunks(log: DataFrame, keys: Sequence[str], chunks: int, tasks: int) -> DataFrame:
     """Replay large groups chunk by chunk until no chunk's starting room changes any more."""
     unit = [*keys, "chunk"]
     cut = log.repartitionByRange(chunks, *keys, "seq").withColumn("chunk", F.spark_partition_id())
-    cut = checkpoint(cut)  # the cut comes from a sample, so it must be taken only once
+    cut = checkpoint(cut.coalesce(tasks))  # the cut comes from a sample, so it must be taken only once
 
-    effects = checkpoint(_chunk_effects(cut, None, unit, chunks))
+    effects = checkpoint(_chunk_effects(cut, None, unit, tasks))
     rooms = checkpoint(_starting_rooms(effects, keys))
     changed = rooms.select("chunk").distinct()
-    while not changed.isEmpty():
-        again = F.broadcast(changed)  # chunk numbers only, at most max_chunks of them
-        redone = _chunk_effects(
-            cut.join(again, "chunk", "left_semi"), rooms.join(again, "chunk", "left_semi"), unit, chunks
-        )
-        effects = checkpoint(effects.join(again, "chunk", "left_anti").unionByName(redone))
+    for turn in count():
+        if changed.isEmpty():
+            break
+        if turn < SAME_CHUNKS:
+            again = F.broadcast(changed)  # chunk numbers only, at most max_chunks of them
+            redone = _chunk_effects(
+                cut.join(again, "chunk", "left_semi"), rooms.join(again, "chunk", "left_semi"), unit, tasks
+            )
+            effects = checkpoint(effects.join(again, "chunk", "left_anti").unionByName(redone))
+        else:  # all of them run again: a merged chunk's guess may be another than its parts had
+            cut = cut.withColumn("chunk", _merged_chunk())
+            rooms = checkpoint(_starting_rooms(_merged_effects(effects, keys), keys))
+            effects = checkpoint(_chunk_effects(cut, rooms, unit, tasks))
         previous, rooms = rooms, checkpoint(_starting_rooms(effects, keys))
-        changed = _changed_chunks(previous, rooms)
-    return _outcomes(_with_rooms(cut, rooms, unit, chunks), unit, log)
+        changed = checkpoint(_changed_chunks(previous, rooms))
+    return _outcomes(_with_rooms(cut, rooms, unit, tasks), unit, log)
+
+
+def _merged_chunk() -> Column:
+    return F.floor(F.col("chunk") / MERGED).cast("int")
+
+
+def _merged_effects(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What ``MERGED`` neighbouring chunks did together to each slot, as ``_chunk_effects`` reports it for one."""
+    told = F.struct("chunk", "effect", "user_id", "since")
+    merged = effects.groupBy(*keys, _merged_chunk().alias("merged"), "side", "name").agg(
+        F.array_sort(F.collect_list(told)).alias("told")  # at most MERGED of them
+    )
+    last_set = F.array_max(F.transform(F.filter("told", lambda t: t.effect == SET), lambda t: t.chunk))
+    left = F.filter(
+        "told", lambda t: (t.chunk >= F.coalesce(last_set, t.chunk)) & (t.effect != KEEP) & t.user_id.isNotNull()
+    )
+    filled = F.exists("told", lambda t: t.effect == FILL)
+    return merged.select(
+        *keys,
+        F.col("merged").alias("chunk"),
+        "side",
+        "name",
+        F.when(last_set.isNotNull(), SET).when(filled, FILL).otherwise(KEEP).alias("effect"),
+        F.get(left, 0).user_id.alias("user_id"),
+        F.get(left, 0).since.alias("since"),
+    )
 
 
-def _with_rooms(cut: DataFrame, rooms: DataFrame | None, unit: Sequence[str], chunks: int) -> DataFrame:
-    """Each chunk in a partition of its own, its placements first: they carry the ``seq`` of earlier commands."""
+def _with_rooms(cut: DataFrame, rooms: DataFrame | None, unit: Sequence[str], tasks: int) -> DataFrame:
+    """Each chunk in one partition, its placements first: they carry the ``seq`` of earlier commands."""
     names = [*unit, *PAYLOAD]
     rows = cut.select(*names)
     if rooms is not None:
@@ -286,14 +328,14 @@ def _with_rooms(cut: DataFrame, rooms: DataFrame | None, unit: Sequence[str], ch
             F.lit(False).alias("is_admin"),
         )
         rows = rows.unionByName(placements)
-    return rows.repartitionById(chunks, F.col("chunk")).sortWithinPartitions(*unit, "seq")
+    return rows.repartition(tasks, *unit).sortWithinPartitions(*unit, "seq")
 
 
-def _chunk_effects(cut: DataFrame, rooms: DataFrame | None, unit: Sequence[str], chunks: int) -> DataFrame:
+def _chunk_effects(cut: DataFrame, rooms: DataFrame | None, unit: Sequence[str], tasks: int) -> DataFrame:
     fields = [T.StructField(name, cut.schema[name].dataType) for name in unit]
     texts = [T.StructField(name, T.StringType()) for name in ("side", "name", "effect", "user_id")]
     schema = T.StructType([*fields, *texts, T.StructField("since", T.LongType())])
-    ordered = _with_rooms(cut, rooms, unit, chunks)
+    ordered = _with_rooms(cut, rooms, unit, tasks)
     return ordered.mapInArrow(_effect_pass(unit, to_arrow_schema(schema)), schema)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from model import as_commands, random_commands, replay_model
 from slotledger.operators import changes
+import slotledger.operators.replay as replay_module
 from slotledger.operators.replay import replay
 from slotledger.operators.spots import client_state, spot_updates
 from slotledger.plans.changefeed import messages
@@ -192,3 +193,29 @@ def test_halves_give_the_whole(spark, cut, chunk_rows):
     first = replay(log.where(f"seq <= {cut}"))
     second = replay(log.where(f"seq > {cut}"), held=changes.settled_bookings(first), chunk_rows=chunk_rows)
     assert rows(first.unionByName(second)) == rows(whole)
+
+
+def test_rounds_do_not_grow_with_the_chunks(spark, monkeypatch):
+    log = random_commands(seed=12, count=1500, slots=60, users=45, rooms=1, unbooks=0.05)  # forgets slowly
+    passes = []
+    effects = replay_module._chunk_effects
+    monkeypatch.setattr(replay_module, "_chunk_effects", lambda *args: passes.append(args[-1]) or effects(*args))
+    found = replay(as_commands(spark, log), chunk_rows=10)
+    assert answers(found) == replay_model(log)[0]
+    assert len(passes) <= 8  # of 150 chunks: as they are cut, twice again, and four of them as one until one is left
+    assert max(passes) <= max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))  # small chunks share tasks
+
+
+def test_merged_effects_are_what_neighbours_did_one_after_the_other(spark):
+    told = [
+        (0, "a", "set", "x", 1), (1, "a", "fill", "y", 2), (2, "a", "keep", None, None),
+        (0, "b", "set", None, None), (3, "b", "fill", "y", 3),
+        (0, "c", "fill", "x", 1), (1, "c", "fill", "z", 4), (4, "c", "set", "w", 9),
+        (1, "d", "keep", "x", 1),
+        (0, "e", "fill", "x", 1), (2, "e", "set", "z", 5),
+    ]
+    effects = spark.createDataFrame([("k", c, "slot", *rest) for c, *rest in told], "g string, chunk int, side string, name string, effect string, user_id string, since bigint")
+    assert rows(replay_module._merged_effects(effects, ["g"]), "chunk", "name", "effect", "user_id", "since") == [
+        (0, "a", "set", "x", 1), (0, "b", "set", "y", 3), (0, "c", "fill", "x", 1), (0, "d", "keep", None, None), (0, "e", "set", "z", 5),
+        (1, "c", "set", "w", 9),
+    ]
