@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,11 @@ class Field:
     """One field of a body: whether it was sent, of which kind it is, and its value in several readings. Without a name, the body itself."""
 
     def __init__(self, parsed: Column, name: str | None = None) -> None:
-        path = "$" if name is None else f"$.{name}"
-        self.value = F.try_variant_get(parsed, path, "variant")
-        self.kind = F.schema_of_variant(self.value)
+        value = F.try_variant_get(parsed, "$" if name is None else f"$.{name}", "variant")
+        self._hold(value, F.schema_of_variant(value))
+
+    def _hold(self, value: Column, kind: Column) -> None:
+        self.value, self.kind = value, kind
         self.sent = self.value.isNotNull()
         self.is_null = self.sent & F.is_variant_null(self.value)
         self.is_text = self.kind == "STRING"
@@ -25,11 +27,22 @@ class Field:
         self.is_flag = self.kind == "BOOLEAN"
         self.is_number = self.kind.isin("BIGINT", "DOUBLE") | self.kind.startswith("DECIMAL")
         self.is_object = self.kind.startswith("OBJECT")
-        self._text = F.try_variant_get(parsed, path, "string")
-        self._long = F.try_variant_get(parsed, path, "bigint")
-        self._double = F.try_variant_get(parsed, path, "double")
-        self._flag = F.try_variant_get(parsed, path, "boolean")
-        self._list = F.try_variant_get(parsed, path, "array<variant>")
+        self._text = F.try_variant_get(value, "$", "string")
+        self._long = F.try_variant_get(value, "$", "bigint")
+        self._double = F.try_variant_get(value, "$", "double")
+        self._flag = F.try_variant_get(value, "$", "boolean")
+        self._list = F.try_variant_get(value, "$", "array<variant>")
+
+    def found(self) -> Column:
+        """The value and its kind, as a struct. ``at`` makes a field of it again."""
+        return F.struct(self.value.alias("value"), self.kind.alias("kind"))
+
+    @classmethod
+    def at(cls, column: str) -> Field:
+        """The field that a column holds as ``found``."""
+        field = cls.__new__(cls)
+        field._hold(F.col(f"{column}.value"), F.col(f"{column}.kind"))
+        return field
 
     def truthy(self) -> Column:
         """False for null, false, zero, and empty text, list and object; NULL becomes false as well."""
@@ -75,9 +88,21 @@ class Field:
         return F.when(self.is_list, F.transform(self._list, _item_int))
 
 
-def object_or_falsy(parsed: Column) -> Column:
+def read_bodies(rows: DataFrame, *names: str) -> tuple[DataFrame, Field, dict[str, Field]]:
+    """Rows with their bodies read: the rows, the body itself as a field, and its fields of these names.
+
+    ``inline`` of one struct keeps the optimizer from putting the parsing into every place where a field is asked for: a body is parsed once,
+    and a field and its kind are found once a row.
+    """
+    parsed = rows.select("*", F.inline(F.array(F.struct(body(F.col("body")).alias("_parsed")))))
+    columns = {name: f"_body_{name}" for name in ("", *names)}
+    found = (Field(F.col("_parsed"), name or None).found().alias(column) for name, column in columns.items())
+    whole, *fields = map(Field.at, columns.values())
+    return parsed.select("*", F.inline(F.array(F.struct(*found)))).drop("_parsed"), whole, dict(zip(names, fields))
+
+
+def object_or_falsy(whole: Field) -> Column:
     """Whether fields can be asked of a body: an object, or what counts as an empty one."""
-    whole = Field(parsed)
     return F.coalesce(whole.is_object, F.lit(False)) | ~whole.truthy()
 
 

@@ -277,7 +277,8 @@ def booking_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cut(log: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """A log in two, at half of its largest number."""
+    """A log in two, at half of its largest number. It is written first, so that both halves are read and not made again."""
+    log = checkpoint(log)
     cut = log.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
     return log.where(F.col("seq") <= cut), log.where(F.col("seq") > cut), cut
 
@@ -495,24 +496,21 @@ def request_settings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_employees(spark: SparkSession, sf: str) -> DataFrame:
-    requests = X.requests(spark, sf)
-    current = employees.current_employees(R.employee_commands(requests))
+    log = checkpoint(R.employee_commands(X.requests(spark, sf)))  # gone through several times
+    current = employees.current_employees(log)
     return current.withColumn("shifts", F.array_join("shifts", ","))
 
 
 @query
 def request_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    log = R.feedback_commands(X.requests(spark, sf))
+    log = checkpoint(R.feedback_commands(X.requests(spark, sf)))  # gone through several times
     return feedback.current_feedback(log).select("seq", "fb_id", "name", "message", "category", "read")
 
 
 @query
 def change_feed_requests(spark: SparkSession, sf: str) -> DataFrame:
-    requests = X.requests(spark, sf)
-    outcomes = replay(validation.valid_commands(R.booking_commands(requests)))
-    return changefeed.change_feed(
-        outcomes, R.settings_commands(requests), R.employee_commands(requests), R.feedback_commands(requests)
-    )
+    logs = follow.split_requests(X.requests(spark, sf))
+    return changefeed.change_feed(changefeed.outcomes_of(logs), logs.settings, logs.employees, logs.feedback)
 
 
 # ---- streaming twins --------------------------------------------------------------------------------------------

@@ -295,7 +295,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (6, F.lit("book"), of(BOOK_BODIES)),
     )
     entries = F.array(*[F.struct((p * 10 + step).alias("seq"), op.alias("op"), body.alias("body")) for step, op, body in rows])
-    return table(spark, sf_dir, "part").select(F.inline(entries)).select(
+    # A small file is one task's, and its requests are not small: the parts are dealt out first.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = table(spark, sf_dir, "part").select("p_partkey").repartition(tasks, "p_partkey")
+    return parts.select(F.inline(entries)).select(
         "seq",
         F.lit(None).cast("timestamp").alias("ts"),
         "op",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.functions.json import Field, body, object_or_falsy, texts_or_falsy
+from slotledger.functions.json import Field, object_or_falsy, read_bodies, texts_or_falsy
 from slotledger.functions.text import comma_items, int_items, shift_items, strip
 from slotledger.operators.employees import ADD_NONE, requested_names
 from slotledger.operators.validation import ADMIN_EMPLOYEE_OPS, ADMIN_FEEDBACK_OPS, authority_error
@@ -33,10 +33,10 @@ def booking_commands(requests: DataFrame) -> DataFrame:
     The slot becomes text before it is checked: a missing one is empty, a null one reads None. A date that is a list or an object
     cannot be stored under, if the rest is valid.
     """
-    parsed = body(F.col("body"))
-    date, shift, kind, slot, user = (Field(parsed, n) for n in ("date", "shift", "kind", "slot", "userId"))
+    log, whole, fields = read_bodies(requests.where(F.col("op").isin("book", "unbook")), "date", "shift", "kind", "slot", "userId")
+    date, shift, kind, slot, user = fields.values()
     stored = ~F.coalesce((date.is_list | date.is_object) & date.truthy(), F.lit(False))
-    return requests.where(F.col("op").isin("book", "unbook") & object_or_falsy(parsed) & stored).select(
+    return log.where(object_or_falsy(whole) & stored).select(
         "seq",
         F.when(date.truthy(), date.text()).alias("date"),
         shift.text().alias("shift"),
@@ -54,10 +54,9 @@ def settings_commands(requests: DataFrame) -> DataFrame:
     A list setting sent as anything that cannot be gone through fails the whole request. So does a body in which nothing can be
     looked up (a number, or true); a list or a text does no harm unless it names a list setting.
     """
-    parsed = body(F.col("body"))
-    whole = Field(parsed)
-    numbers = {key: Field(parsed, key) for key in DEFAULT_SETTINGS}
-    lists = {key: Field(parsed, key) for key in LIST_SETTINGS}
+    log, whole, fields = read_bodies(requests.where(F.col("op") == "config"), *DEFAULT_SETTINGS, *LIST_SETTINGS)
+    numbers = {key: fields[key] for key in DEFAULT_SETTINGS}
+    lists = {key: fields[key] for key in LIST_SETTINGS}
 
     def entry(key: str, sent: Column, value: Column) -> Column:
         return F.when(sent, F.struct(F.lit(key).alias("key"), value.alias("raw_value")))
@@ -72,7 +71,7 @@ def settings_commands(requests: DataFrame) -> DataFrame:
     for field in lists.values():
         failed = failed | F.coalesce(field.sent & ~(field.is_text | field.is_list | field.is_object), F.lit(False))
     return (
-        requests.where((F.col("op") == "config") & ~failed)
+        log.where(~failed)
         .select("seq", F.inline_outer(F.filter(F.array(*entries), lambda e: e.isNotNull())))
         .select("seq", "key", "raw_value")
     )
@@ -100,13 +99,13 @@ def employee_commands(requests: DataFrame) -> DataFrame:
     adds nobody but is a request all the same: its row has the operation ``ADD_NONE`` and no id. A name or department
     sent as null is a value (``name_sent``, ``department_sent``).
     """
-    parsed = body(F.col("body"))
-    fields = {n: Field(parsed, n) for n in ("id", "name", "department", "shifts", "shift", "remote", "hasCar")}
-    target = Field(parsed, "targetDays").int_text().alias("target_days")
-    names = Field(parsed, "names").text_items()
     log = requests.withColumn("op", F.regexp_extract("op", r"\Aemployees/(add|update|delete)\z", 1)).where("op <> ''")
-    log = _allowed(log, ADMIN_EMPLOYEE_OPS).where(object_or_falsy(parsed))
-    listed = Field(parsed, "names")
+    sent = ("id", "name", "department", "shifts", "shift", "remote", "hasCar", "targetDays", "names")
+    log, whole, fields = read_bodies(_allowed(log, ADMIN_EMPLOYEE_OPS), *sent)
+    log = log.where(object_or_falsy(whole))
+    target = fields["targetDays"].int_text().alias("target_days")
+    listed = fields["names"]
+    names = listed.text_items()
     several = F.coalesce(listed.is_list & listed.truthy(), F.lit(False))
     fit = F.when(several, texts_or_falsy(listed)).otherwise(fields["name"].text_or_falsy())
     log = log.where((F.col("op") != "add") | fit)
@@ -117,19 +116,24 @@ def employee_commands(requests: DataFrame) -> DataFrame:
         F.coalesce(F.array_join(single, ","), F.lit("day"))
     )
     requested = log.where(F.col("op") == "add").select(
-        "seq", names.alias("names"), F.when(fields["name"].truthy(), fields["name"].text()).alias("name"), "body"
+        "seq",
+        names.alias("names"),
+        F.when(fields["name"].truthy(), fields["name"].text()).alias("name"),
+        F.coalesce(fields["department"].text(), F.lit("")).alias("department"),
+        add_shifts.alias("shifts"),
+        target,
     )
     number = F.lower(F.lpad(F.hex("seq"), 8, "0"))
-    adds = requested_names(requested, "body").select(
+    adds = requested_names(requested, "department", "shifts", "target_days").select(
         "seq",
         F.concat(F.lit("e_"), number, F.when(F.col("position") > 0, F.concat(F.lit("_"), "position")).otherwise(""))
         .alias("id"),
         F.lit("add").alias("op"),
         "name",
-        F.coalesce(fields["department"].text(), F.lit("")).alias("department"),
-        add_shifts.alias("shifts"),
+        "department",
+        "shifts",
         none.cast("string").alias("shift"),
-        target,
+        "target_days",
         none.cast("boolean").alias("remote"),
         none.cast("boolean").alias("has_car"),
         F.lit(True).alias("name_sent"),
@@ -157,13 +161,12 @@ def employee_commands(requests: DataFrame) -> DataFrame:
 
 def feedback_commands(requests: DataFrame) -> DataFrame:
     """``feedback/submit``, ``/delete`` and ``/read`` requests as the feedback log, refused ones left out."""
-    parsed = body(F.col("body"))
-    fields = {n: Field(parsed, n) for n in ("id", "name", "message", "category")}
     log = requests.withColumn("op", F.regexp_extract("op", r"\Afeedback/(submit|delete|read)\z", 1)).where("op <> ''")
+    log, whole, fields = read_bodies(_allowed(log, ADMIN_FEEDBACK_OPS), "id", "name", "message", "category")
     given = F.concat(F.lit("fb_"), F.lower(F.lpad(F.hex("seq"), 8, "0")))
     fit = fields["name"].text_or_falsy() & fields["message"].text_or_falsy()
-    log = log.where(object_or_falsy(parsed) & ((F.col("op") != "submit") | fit))
-    return _allowed(log, ADMIN_FEEDBACK_OPS).select(
+    log = log.where(object_or_falsy(whole) & ((F.col("op") != "submit") | fit))
+    return log.select(
         "seq",
         "op",
         F.when(F.col("op") == "submit", given).otherwise(fields["id"].text()).alias("fb_id"),

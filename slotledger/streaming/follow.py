@@ -65,13 +65,14 @@ def advance_bookings(batch: DataFrame, before: Tables | None) -> tuple[Tables, T
 
 
 def split_requests(requests: DataFrame) -> Logs:
-    """The four logs of a request log."""
-    return Logs(
+    """The four logs of a request log, written, since what follows goes through each of them several times."""
+    logs = (
         valid_commands(R.booking_commands(requests)),
         R.settings_commands(requests),
         R.employee_commands(requests),
         R.feedback_commands(requests),
     )
+    return Logs(*map(checkpoint, logs))
 
 
 def advance_office(batch: DataFrame, before: Tables | None) -> tuple[Tables, Tables]:

@@ -9,6 +9,8 @@ from slotledger.operators.feedback import current_feedback
 from slotledger.operators.replay import replay
 from slotledger.operators.settings import effective_lists, effective_settings
 from slotledger.operators.validation import valid_commands, validate_commands
+from slotledger.plans import catalog
+from slotledger.plans import fixtures as X
 from slotledger.plans.changefeed import change_feed
 from slotledger.sinks.state import read_day_documents, write_day_documents, write_days, write_tables
 from slotledger.sources import requests as R
@@ -287,3 +289,19 @@ def test_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+@pytest.mark.parametrize("commands", [R.booking_commands, R.settings_commands, R.employee_commands, R.feedback_commands])
+def test_bodies_are_parsed_once_a_row(spark, small, commands):
+    plan = commands(X.requests(spark, small))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == plan.count("Relation")
+
+
+def test_requests_of_a_small_file_are_many_tasks(spark, small):
+    assert X.requests(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_halves_of_a_log_are_read_and_not_made_again(spark, small):
+    first, second, _ = catalog._cut(X.commands(spark, small))
+    plans = [half._jdf.queryExecution().optimizedPlan().toString() for half in (first, second)]
+    assert not any("get_json_object" in plan for plan in plans)
