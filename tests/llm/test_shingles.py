@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from slotledger.llm import shingle_dedup
 from slotledger.llm.near_dedup import signed
@@ -91,3 +93,27 @@ def test_crowd_below_the_threshold_is_hardly_compared(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.k for r in shingle_dedup.representatives(docs).collect()) == list(range(300))
     assert sum(compared) <= 20 + 10
+
+
+def test_parities_never_exceed_the_difference():
+    rng = random.Random(15)
+    for _ in range(300):
+        a, b = (np.unique(np.array([rng.randrange(400) * 7919 for _ in range(rng.randrange(200))], np.uint64)) for _ in range(2))
+        apart = sum(int(x).bit_count() for x in (shingle_dedup.parities(a) ^ shingle_dedup.parities(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_crowd_of_common_edits_is_hardly_compared(spark, monkeypatch):
+    """Copies that took about half of the same twelve edits: every shingle is common, and few pairs are alike in 0.8."""
+    rng, compared, rows = random.Random(16), [], []
+    for i in range(80):
+        words = [f"b{k}" for k in range(150)]
+        for at in range(6, 150, 12):
+            if rng.random() < 0.5:
+                words[at] = f"e{at}"
+        rows.append((i, " ".join(words)))
+    exact = shingle_dedup.confirmed
+    monkeypatch.setattr(shingle_dedup, "confirmed", lambda pairs, sets: compared.append(pairs.count()) or exact(pairs, sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((False, r.k) for r in shingle_dedup.representatives(docs).collect()) == kept_of(rows)
+    assert sum(compared[-1:]) <= 20 and len(compared) <= 6
