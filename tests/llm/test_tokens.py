@@ -161,3 +161,22 @@ def test_a_long_conversation_is_dealt_to_many_tasks(spark, tmp_path):
         learned = "".join(x for _, _, r, x in own if r == "assistant")
         assert (found[conv].n_turns, found[conv].turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
         assert found[conv].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+
+
+def test_chunks_not_remembered_are_one_text_for_the_library(monkeypatch):
+    """Each chunk has the ids it has alone, and a word is not encoded again for the marks behind it or after a full memory."""
+    rng, asked = random.Random(3), []
+    letters = ["a", "Bc", "é", "1", "'s", "'", ",", "!!", "\n", "\t", "\xa0", "漢", "<|endoftext|>", "\x1c", "\x85", "."]
+    parts = list({"".join(rng.choice(letters) for _ in range(rng.randrange(6))) for _ in range(2000)}) + ["two words", "word.", "word,", "word"]
+    whole = tokens.encode_all
+    monkeypatch.setattr(tokens, "encode_all", lambda path, texts: asked.extend(texts) or whole(path, texts))
+    memory = tokens.Remembered(tokens.TOKENIZER_PATH, tokens.as_words, most=len(parts) + 10)
+    for _ in range(2):
+        for part, value in zip(parts, memory.values_of(parts), strict=True):
+            assert np.frombuffer(value, "<u4").tolist() == library_ids(" " + part), repr(part)
+    assert len(asked) < len(parts) / 2
+    small = tokens.Remembered(tokens.TOKENIZER_PATH, len, most=2)
+    for w in ("cat", "dog", "bird", "cat", "cat."):
+        asked.clear()
+        assert small.values_of([w]) == [len(library_ids(" " + w))]
+    assert " cat" not in asked
